@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peerlens.llm import leaks, splitting, tokens, topn
+from peerlens.llm import leaks, similar, spans, splitting, tokens, topn
 from peerlens.sources import table
 
 
@@ -27,6 +27,18 @@ def p3_bisect(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(table(spark, d, "filing_item"), "row_id", "text_content", 2000, 1000, 200, "bisect")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return similar.similar_pairs(table(spark, d, "filing_item"), "row_id", "text_content", shingle=3, threshold=0.6, least_words=20)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared_spans(table(spark, d, "filing_item"), "row_id", "text_content", 200)
+
+
+def p5_share(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared_share(table(spark, d, "filing_item"), "row_id", "text_content", 200)
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents"), "doc_id", "text")
 
@@ -36,7 +48,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p3_found, p3_bisect, p6_ids, p7_found)}
+    return {f.__name__: f for f in (p2_found, p3_found, p3_bisect, p4_found, p5_found, p5_share, p6_ids, p7_found)}
 
 
 def oracle_sql() -> dict[str, str]:
