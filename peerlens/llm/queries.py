@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peerlens.llm import leaks, similar, spans, splitting, tokens, topn
+from peerlens.llm import leaks, neighbors, similar, spans, splitting, tokens, topn
 from peerlens.sources import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbors.neighbour_pairs(table(spark, d, "vector_matrix"), "vec_id", "mat", dim=64, k=10, least=0.85)
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "peer_ranking")
     focal, peer = topn.padded_id(t.focal_firm), topn.padded_id(t.peer_firm)
@@ -48,7 +52,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p3_found, p3_bisect, p4_found, p5_found, p5_share, p6_ids, p7_found)}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_bisect, p4_found, p5_found, p5_share, p6_ids, p7_found)}
 
 
 def oracle_sql() -> dict[str, str]:
