@@ -114,7 +114,7 @@ class Tree:
         return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def _kmeans(points: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
+def _kmeans(points: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
     centre = points[rng.choice(len(points), k, replace=False)].copy()
     label = np.zeros(len(points), dtype=np.int64)
     for _ in range(rounds):
@@ -329,7 +329,7 @@ def _leaf_neighbours(dim: int, k: int, least: float):
     return run
 
 
-def nearest(df: DataFrame, id_col: str, vector_col: str, dim: int = 64, k: int = 10, least: float = 0.85, recall: float = 0.999, leaf_size: int = 1024, branch: int = 16, most: int = 16, sample: int = SAMPLE, calibrate: int = CALIBRATE) -> DataFrame:
+def nearest(df: DataFrame, id_col: str, vector_col: str, dim: int = 64, k: int = 10, least: float = 0.85, recall: float = 0.998, leaf_size: int = 2048, branch: int = 128, most: int = 8, sample: int = SAMPLE, calibrate: int = CALIBRATE) -> DataFrame:
     """For every vector its k most similar others: id, other, sim (cosine in double precision, rounded to 6 places).
 
     Ties go to the smaller id; of the k only those with sim >= least are rows. Vectors that are null, of another
@@ -342,7 +342,7 @@ def nearest(df: DataFrame, id_col: str, vector_col: str, dim: int = 64, k: int =
     rows = df.select(df[id_col].cast("bigint").alias("id"), df[vector_col].cast("array<float>").alias("vec")).where(f"id IS NOT NULL AND size(vec) = {dim}")
     n = max(1, df.count())
     chance = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / (1 << 30)
-    drawn = rows.withColumn("chance", chance).where(F.col("chance") < min(1.0, 0.95 * sample / n)).select("id", "vec", "chance").limit(2 * sample).toArrow()
+    drawn = rows.withColumn("chance", chance).where(F.col("chance") < min(1.0, 0.95 * sample / n)).select("id", "vec", "chance").toArrow()
     at, x = _vectors(drawn.column("vec").combine_chunks(), dim)
     ids, chance_of = drawn.column("id").to_numpy()[at], drawn.column("chance").to_numpy()[at]
     _, first = np.unique(ids, return_index=True)
