@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peerlens.llm import leaks, neighbors, similar, spans, splitting, tokens, topn
+from peerlens.llm import leaks, neighbors, similar, spans, splitting, tokens, topn, truncation
 from peerlens.sources import table
 
 
@@ -51,8 +51,16 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.find_leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_passages"), "passage_id", "passage", 13)
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncated(table(spark, d, "documents"), "doc_id", "text", "lang", "source").where("cut").select(F.col("id").alias("doc_id")).distinct()
+
+
+def p8_rates(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncation_rates(table(spark, d, "documents"), "doc_id", "text", "source", "lang")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_bisect, p4_found, p5_found, p5_share, p6_ids, p7_found)}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_bisect, p4_found, p5_found, p5_share, p6_ids, p7_found, p8_found, p8_rates)}
 
 
 def oracle_sql() -> dict[str, str]:
