@@ -121,3 +121,22 @@ def orthogonal_residuals(vectors: DataFrame, dim: int, floor: float = 0.10) -> D
     rows = rows.withColumn("common_loading", dot(F.col("_u"), F.col("_c")))
     rows = rows.withColumn("_r", F.zip_with("_u", "_c", lambda u, c: u - F.col("common_loading") * c)).withColumn("residual_norm", norm(F.col("_r")))
     return rows.select("firm", "year", "item_id", "common_loading", "residual_norm", F.when(F.col("residual_norm") >= floor, unit(F.col("_r"))).alias("residual"))
+
+
+def orthogonal_candidates(vectors: DataFrame, dim: int, focal: Column, q_share: float = 0.20, k: int = 20, floor: float = 0.10) -> DataFrame:
+    """The k best peers by what is specific to them: focal_firm, year, item_id, peer_firm, sim_common, sim_specific,
+    source, rank.
+
+    Candidates are screened by plain cosine (sim_common), then ranked by the cosine of their residuals; where either
+    residual is missing, the plain cosine stands in and source says `pooled` instead of `residual`.
+    """
+    screened = candidates(vectors, focal, q_share)
+    rest = orthogonal_residuals(vectors, dim, floor).select("firm", "year", "item_id", "residual")
+    side = lambda who: rest.select(F.col("firm").alias(f"{who}_firm"), "year", "item_id", F.col("residual").alias(f"_{who}"))
+    both = screened.join(side("focal"), ["focal_firm", "year", "item_id"]).join(side("peer"), ["peer_firm", "year", "item_id"])
+    there = F.col("_focal").isNotNull() & F.col("_peer").isNotNull()
+    both = both.withColumn("sim_specific", F.when(there, F.round(dot(F.col("_focal"), F.col("_peer")), 6) + 0.0).otherwise(F.col("cosine_score")))
+    both = both.withColumn("source", F.when(there, "residual").otherwise("pooled"))
+    w = Window.partitionBy("item_id", "year", "focal_firm").orderBy(F.desc("sim_specific"), "peer_firm")
+    ranked = both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return ranked.select("focal_firm", "year", "item_id", "peer_firm", F.col("cosine_score").alias("sim_common"), "sim_specific", "source", "rank")

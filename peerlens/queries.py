@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from peerlens.config import FORM_ITEMS
 from peerlens.functions import text as X
 from peerlens.functions import vectors as V
-from peerlens.operators import chunks, evaluate, index_records, peers, vectors
+from peerlens.operators import chunks, evaluate, filings, index_records, models, peers, vectors
 from peerlens.sources import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -350,3 +350,81 @@ def eval_metrics(spark: SparkSession, d: str) -> DataFrame:
 SELECT focal_firm, prev_year, year, 10 AS top_k, round(len(list_intersect(p, pp)) / len(list_distinct(list_concat(p, pp))), 6) AS jaccard FROM l WHERE prev_year IS NOT NULL""")
 def yoy_stability(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.stability(_ranking(spark, d))
+
+
+@query(f"""WITH {_RESIDUALS}, {_SCORED.replace(_KEYED + ", ", "")}, sr AS (SELECT *, row_number() OVER (PARTITION BY focal_firm, item_id, year ORDER BY cosine_score DESC, peer_firm) AS rn FROM q), sc AS (SELECT * FROM sr WHERE rn <= least(universe_n, greatest(2, ceil(universe_n * 0.2) + 1)) AND focal_firm <> peer_firm),
+rv AS (SELECT firm, item_id, year, list((x - load * c) / (nrm + 1e-12) ORDER BY pos) AS v FROM d JOIN l USING (firm, item_id, year) JOIN (SELECT firm, item_id, year, nrm FROM r WHERE nrm >= 0.1) USING (firm, item_id, year) GROUP BY firm, item_id, year),
+j AS (SELECT sc.*, a.v AS av, b.v AS bv FROM sc LEFT JOIN rv a ON a.firm = focal_firm AND a.item_id = sc.item_id AND a.year = sc.year LEFT JOIN rv b ON b.firm = peer_firm AND b.item_id = sc.item_id AND b.year = sc.year),
+k AS (SELECT focal_firm, year, item_id, peer_firm, cosine_score AS sim_common, CASE WHEN av IS NOT NULL AND bv IS NOT NULL THEN round(list_inner_product(av, bv), 6) + 0.0 ELSE cosine_score END AS sim_specific, CASE WHEN av IS NOT NULL AND bv IS NOT NULL THEN 'residual' ELSE 'pooled' END AS source FROM j),
+o AS (SELECT *, CAST(row_number() OVER (PARTITION BY focal_firm, item_id, year ORDER BY sim_specific DESC, peer_firm) AS INT) AS rank FROM k) SELECT * FROM o WHERE rank <= 20""")
+def orthogonal_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return vectors.orthogonal_candidates(_keyed(spark, d), _DIM, F.expr(_FOCAL.format("firm")))
+
+
+# --- filing HTML and model calls ---
+
+
+@query()
+def html_texts(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "filing_item").where("html_content IS NOT NULL").select("row_id", "html_content")
+    return filings.html_texts(rows, "html_content", "item").drop("html_content")
+
+
+@query()
+def structure_nodes(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "filing_item").where("html_content IS NOT NULL").select("row_id", "item_title", "html_content")
+    return filings.structure_nodes(rows)
+
+
+@query()
+def normalized_texts(spark: SparkSession, d: str) -> DataFrame:
+    return filings.normalized(table(spark, d, "filing_item").select("row_id", "text_content"), "text_content").select("row_id", F.md5("normalized").alias("normalized"))
+
+
+@query()
+def tidied_items(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "filing_item").select("row_id", "text_content", X.item_id(F.col("item_number")).alias("item"))
+    return filings.tidied(rows, "text_content", "item").select("row_id", F.md5("tidied").alias("tidied"))
+
+
+@query(f"WITH t AS (SELECT row_id, CAST(len({_WORDS}) AS INT) AS tokens FROM filing_item WHERE text_content IS NOT NULL) SELECT row_id, tokens, 150 AS overlap, CAST(CASE WHEN tokens <= 400 THEN 1 ELSE ceil(tokens / 250) END AS INT) AS windows, CAST(least(300, greatest(120, ceil(1000 / CASE WHEN tokens <= 400 THEN 1 ELSE ceil(tokens / 250) END))) AS INT) AS part_words FROM t")
+def summary_windows(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "filing_item").where("text_content IS NOT NULL").select("row_id", X.token_count(F.col("text_content")).alias("tokens"))
+    rows = rows.select("*", models.window_plan(F.col("tokens"), 400).alias("p")).select("row_id", "tokens", "p.*")
+    return rows.withColumn("part_words", models.partial_target(1000, F.col("windows")))
+
+
+@query()
+def summaries(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "filing_item").where("text_content IS NOT NULL").select("row_id", F.coalesce("item_number", F.lit("")).alias("item"), "text_content")
+    return models.summarize(rows, ["row_id"], "item", "text_content", models.lead_words(), "llama3.2:3b")
+
+
+@query("WITH r AS (SELECT focal_firm, year, peer_firm, score, 'Reply: {\"score\": ' || CAST(CAST(score AS DECIMAL(12, 4)) AS VARCHAR) || ', \"reason\": \"alike\"} end' AS reply FROM peer_ranking WHERE isfinite(score) AND abs(score) < 1e6) SELECT DISTINCT focal_firm, year, peer_firm, round(greatest(0, least(100, CAST(json_extract(regexp_extract(reply, '(\\{.*\\})', 1), '$.score') AS DOUBLE))) / 100, 6) + 0.0 AS score, json_extract_string(regexp_extract(reply, '(\\{.*\\})', 1), '$.reason') AS reason FROM r")
+def rerank_replies(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "peer_ranking").where("NOT isnan(score) AND abs(score) < 1e6")
+    reply = F.concat(F.lit('Reply: {"score": '), F.col("score").cast("decimal(12,4)").cast("string"), F.lit(', "reason": "alike"} end'))
+    rows = rows.select("focal_firm", "year", "peer_firm", models.parse_reply(reply).alias("r"))
+    return rows.select("focal_firm", "year", "peer_firm", (F.round("r.score", 6) + 0.0).alias("score"), "r.reason").distinct()
+
+
+@query("SELECT focal_firm, year, peer_firm, round(avg_cosine * 0.3 + avg_rerank * 0.7, 6) + 0.0 AS fused FROM peer_ranking WHERE isfinite(avg_cosine) AND isfinite(avg_rerank)")
+def fused_scores(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "peer_ranking").where("NOT isnan(avg_cosine) AND NOT isnan(avg_rerank) AND abs(avg_cosine) < double('inf') AND abs(avg_rerank) < double('inf')")
+    return rows.select("focal_firm", "year", "peer_firm", (F.round(peers.fuse(F.col("avg_cosine"), F.col("avg_rerank")), 6) + 0.0).alias("fused"))
+
+
+@query()
+def pooled_units(spark: SparkSession, d: str) -> DataFrame:
+    units = chunks.units(table(spark, d, "filing_item"), ["row_id"], "item_number", "text_content", least=20, min_units=2)
+    embedded = vectors.embed(units, "unit_text", vectors.HashEmbedder(64))
+    pooled = vectors.distinctiveness_pool(embedded, ["row_id"], "embedding", 64)
+    return _long(pooled.select("row_id", "num_units", "pooled"), ["row_id", "num_units"], "pooled")
+
+
+@query()
+def reranked_peers(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "filing_item").where("text_content IS NOT NULL")
+    texts = rows.groupBy(X.cik(F.col("cik")).alias("firm"), F.col("year").cast("int").alias("year"), X.item_id(F.col("item_number")).alias("item_id")).agg(F.max_by("text_content", "row_id").alias("text"))
+    detail = models.rerank(_candidates(spark, d), texts)
+    return peers.final_ranking(detail, 23, None)
