@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peerlens.llm import leaks, neighbors, similar, spans, splitting, tokens, topn, truncation
+from peerlens.llm.oracle import SQL
 from peerlens.sources import table
 
 
@@ -64,4 +65,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
