@@ -82,11 +82,11 @@ def _vectors(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     else:
         units = chunks.units(texts.withColumnRenamed("item_id", "_raw"), ["firm_id", "year"], "_raw", "text", a.chunk_tokens, a.overlap_tokens, a.min_unit_tokens, a.min_units_per_item)
     units = stage(vectors.embed(units, "unit_text", embedder), "units")
-    sinks.write_new(units.withColumn("scope", F.lit(a.scope)).drop("embedding"), f"{a.out}/units", keys, ("scope", "year"), a.overwrite)
+    sinks.write_new(units.withColumn("scope", F.lit(a.scope)).drop("embedding"), f"{a.out}/units", [*keys, "unit_id", "scope"], ("scope", "year"), a.overwrite)
     pooled = vectors.distinctiveness_pool(units, keys, "embedding", a.dim)
     sizes = units.groupBy(*keys).agg(F.sum("unit_tokens").alias("item_tokens"), F.max("chunk_tokens").alias("chunk_tokens"), F.max("overlap_tokens").alias("overlap_tokens"))
     out = pooled.join(sizes, keys).select(*keys, "num_units", "item_tokens", F.col("pooled").cast("array<float>").alias("pooled_embedding"), "chunk_tokens", "overlap_tokens", "w_max", "w_mean", F.lit(f"hash-{a.dim}").alias("embedding_model"), F.lit(a.scope).alias("scope"))
-    sinks.write_new(out, f"{a.out}/item_vectors", keys, ("scope", "item_id", "year"), a.overwrite)
+    sinks.write_new(out, f"{a.out}/item_vectors", [*keys, "scope"], ("scope", "item_id", "year"), a.overwrite)
     return out.groupBy("item_id", "year").agg(F.count("*").alias("vectors"))
 
 
@@ -104,7 +104,7 @@ def _peers(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
 
 
 def _evaluate(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
-    ranking = spark.read.parquet(a.peer_path) if a.peer_path.endswith(".parquet") else spark.read.option("header", "true").schema("focal_firm STRING, year INT, peer_firm STRING, rank INT").csv(a.peer_path)
+    ranking = files.any_table(spark, a.peer_path, "focal_firm STRING, year INT, peer_firm STRING, rank INT")
     empty = spark.createDataFrame([], "focal_firm STRING, year INT, peer_firm STRING")
     labels = evaluate.weak_labels(files.any_table(spark, a.metadata_path, files.METADATA)) if a.metadata_path else empty
     if a.analyst_path:

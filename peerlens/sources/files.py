@@ -27,7 +27,7 @@ def path_part(name: str, path: Column | None = None) -> Column:
 
 def _located(df: DataFrame, form: str | None, years: list[int] | None) -> DataFrame:
     """The path columns, and only exactly this form and these years."""
-    rows = df.select("*", F.col("_metadata.file_path").alias("source_path"))
+    rows = df.withColumn("source_path", F.col("_metadata.file_path"))
     rows = rows.select("*", *(path_part(n, F.col("source_path")).alias(f"path_{n}") for n in ("cik", "year", "form")))
     if form:
         rows = rows.where(F.col("path_form") == form)
@@ -114,10 +114,13 @@ def summary_files(spark: SparkSession, root: str, form: str | None = None, years
 
 
 def any_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A CSV or Parquet table by its extension; ids of CSV files stay strings, as the schema is given."""
+    """A CSV or Parquet table by its extension. CSV columns are read as strings and cast as the schema says, so ids keep
+    their zeros; columns that the file lacks are left out, others that it has come as strings."""
     if path.lower().rstrip("/").endswith(".parquet"):
         return spark.read.parquet(path)
-    return spark.read.schema(schema).option("header", "true").option("enforceSchema", "false").csv(path)
+    kinds = dict(f.strip().split(" ", 1) for f in schema.split(","))
+    rows = spark.read.option("header", "true").csv(path)
+    return rows.select(*(F.col(c).cast(kinds.get(c, "string")).alias(c) for c in rows.columns))
 
 
 def ticker_map(spark: SparkSession, path: str) -> DataFrame:

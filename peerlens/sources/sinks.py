@@ -19,7 +19,7 @@ def write_new(df: DataFrame, path: str, keys: list[str], partitions: tuple[str,
     if overwrite or not exists(df, path):
         writer(df).mode("overwrite").option("partitionOverwriteMode", "dynamic" if partitions else "static").parquet(path)
         return
-    have = df.sparkSession.read.parquet(path).select(*keys).distinct()
+    have = df.sparkSession.read.schema(df.schema).parquet(path).select(*keys).distinct()
     writer(df.join(have, keys, "left_anti")).mode("append").parquet(path)
 
 
