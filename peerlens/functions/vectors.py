@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once: inside a lambda it would be computed again for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -16,8 +23,7 @@ def norm(a: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """The vector divided by its length (plus 1e-12, so that a zero vector stays zero)."""
-    n = norm(a) + 1e-12
-    return F.transform(a, lambda x: x.cast("double") / n)
+    return F.when(a.isNotNull(), let(a, lambda v: let(norm(v) + 1e-12, lambda n: F.transform(v, lambda x: x.cast("double") / n))))
 
 
 def usable(a: Column, dim: int) -> Column:

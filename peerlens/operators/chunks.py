@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from peerlens.config import CHUNK_TOKENS, DEFAULT_CHUNK_TOKENS, MIN_UNIT_TOKENS, MIN_UNITS
 from peerlens.functions import text as X
+from peerlens.functions.vectors import let
 
 
 def chunk_tokens(item: Column, override: int | None = None) -> Column:
@@ -34,10 +35,13 @@ def overlap_tokens(item: Column, chunk: Column, override: int | None = None) ->
 
 def word_windows(text: Column, size: Column, step: Column, least: int = 1) -> Column:
     """Windows of `size` words every `step` words, joined by spaces; those of fewer than `least` words are left out."""
-    w = X.words(text)
-    starts = F.when(F.size(w) > 0, F.sequence(F.lit(1), F.size(w), F.greatest(step, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    windows = F.transform(starts, lambda i: F.slice(w, i, size))
-    return F.transform(F.filter(windows, lambda x: F.size(x) >= least), lambda x: F.array_join(x, " "))
+
+    def cut(w: Column) -> Column:
+        starts = F.when(F.size(w) > 0, F.sequence(F.lit(1), F.size(w), F.greatest(step, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+        windows = F.transform(starts, lambda i: F.slice(w, i, size))
+        return F.transform(F.filter(windows, lambda x: F.size(x) >= least), lambda x: F.array_join(x, " "))
+
+    return F.when(text.isNotNull(), let(X.words(text), cut))
 
 
 def pack_paragraphs(text: str, chunk: int, overlap: int, least: int) -> list[str]:
