@@ -30,6 +30,10 @@ from peerlens.plans import shuffle_partitions
 SAMPLE, CALIBRATE = 65_536, 512
 #: Rows that are grouped by leaf at once before the shuffle.
 GROUPED = 32_768
+#: Queries that are searched at once.
+SEARCHED = 4_096
+#: Members of a leaf aimed at: LEAF_ROOT times the square root of the number of rows, within these bounds.
+LEAF_ROOT, LEAST_LEAF, MOST_LEAF = 3.3, 2_048, 16_384
 _SLACK = 2e-5
 
 
@@ -37,8 +41,8 @@ class Tree:
     """A k-means tree over unit vectors. The children of node i are first[i] .. first[i] + count[i] - 1; a node without
     children is a leaf. Node 0 is the root."""
 
-    def __init__(self, centroids: np.ndarray, first: np.ndarray, count: np.ndarray, branch: int):
-        self.centroids, self.first, self.count, self.branch = centroids, first, count, branch
+    def __init__(self, centroids: np.ndarray, first: np.ndarray, count: np.ndarray):
+        self.centroids, self.first, self.count = centroids, first, count
         self.half = (centroids.astype(np.float64) ** 2).sum(axis=1).astype(np.float32)
 
     @classmethod
@@ -59,41 +63,50 @@ class Tree:
                 centroids.append(centre[c])
                 first.append(0)
                 count.append(0)
-        return cls(np.asarray(centroids, dtype=np.float32), np.asarray(first), np.asarray(count), branch)
+        return cls(np.asarray(centroids, dtype=np.float32), np.asarray(first), np.asarray(count))
 
     def distances(self, q: np.ndarray, nodes: slice) -> np.ndarray:
         return np.sqrt(np.maximum(1 + self.half[nodes] - 2 * (q @ self.centroids[nodes].T), 0))
 
     def search(self, q: np.ndarray, margin: float, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Best-bin-first search of all queries at once: query index, leaf, and how far the priority had to rise above
-        that of the first leaf, for each visit in order. A query's first visit is its home.
+        """Best-bin-first search of all queries: query index, leaf, and how far the priority had to rise above that of
+        the first leaf, for each visit in order. A query's first visit is its home.
 
-        A query's queue holds nodes by distance. Its nearest node is popped: an inner node is replaced by its
+        A query's queue holds nodes by distance. Its nearest node is popped: an inner node is replaced by its nearest
         children, a leaf is visited. It ends when what it pops lies more than `margin` behind its home, or after
         `most` leaves.
         """
-        n, width = len(q), self.branch * (most + 6)
         if not self.count[0]:
-            z = np.zeros(n, dtype=np.int64)
-            return np.arange(n), z, z.astype(np.float32)
+            z = np.zeros(len(q), dtype=np.int64)
+            return np.arange(len(q)), z, z.astype(np.float32)
+        parts = [(s, *self._search(q[s : s + SEARCHED], margin, most)) for s in range(0, max(1, len(q)), SEARCHED)]
+        return np.concatenate([r + s for s, r, _, _ in parts]), np.concatenate([x[2] for x in parts]), np.concatenate([x[3] for x in parts])
+
+    def _search(self, q: np.ndarray, margin: float, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n, keep = len(q), most + 8
+        width = keep * (most + 6)
         queue = np.full((n, width), np.inf, dtype=np.float32)
         node = np.zeros((n, width), dtype=np.int32)
         used = np.zeros(n, dtype=np.int64)
 
         def push(rows: np.ndarray, parent: int) -> None:
-            k = self.count[parent]
-            rows = rows[used[rows] + k <= width]
-            if len(rows):
-                children = slice(self.first[parent], self.first[parent] + k)
-                at = used[rows][:, None] + np.arange(k)
-                queue[rows[:, None], at] = self.distances(q[rows], children)
-                node[rows[:, None], at] = np.arange(children.start, children.stop)
-                used[rows] += k
+            first, k = self.first[parent], self.count[parent]
+            rows = rows[used[rows] + min(k, keep) <= width]
+            if not len(rows):
+                return
+            d, child = self.distances(q[rows], slice(first, first + k)), np.arange(first, first + k)[None, :]
+            if k > keep:
+                child = np.argpartition(d, keep - 1, axis=1)[:, :keep]
+                d, child = np.take_along_axis(d, child, axis=1), child + first
+            at = used[rows][:, None] + np.arange(d.shape[1])
+            queue[rows[:, None], at] = d
+            node[rows[:, None], at] = child
+            used[rows] += d.shape[1]
 
         active = np.arange(n)
         push(active, 0)
         home, level, visits = np.full(n, np.inf, np.float32), np.zeros(n, np.float32), np.zeros(n, np.int64)
-        out: list[tuple] = []
+        out: list[tuple] = [(active[:0], node[:0, 0], level[:0])]
         while len(active):
             reach = int(used[active].max())
             best = queue[active, :reach].argmin(axis=1)
@@ -329,7 +342,7 @@ def _leaf_neighbours(dim: int, k: int, least: float):
     return run
 
 
-def nearest(df: DataFrame, id_col: str, vector_col: str, dim: int = 64, k: int = 10, least: float = 0.85, recall: float = 0.998, leaf_size: int = 2048, branch: int = 128, most: int = 8, sample: int = SAMPLE, calibrate: int = CALIBRATE) -> DataFrame:
+def nearest(df: DataFrame, id_col: str, vector_col: str, dim: int = 64, k: int = 10, least: float = 0.85, recall: float = 0.998, leaf_size: int | None = None, branch: int = 512, most: int = 8, sample: int = SAMPLE, calibrate: int = CALIBRATE) -> DataFrame:
     """For every vector its k most similar others: id, other, sim (cosine in double precision, rounded to 6 places).
 
     Ties go to the smaller id; of the k only those with sim >= least are rows. Vectors that are null, of another
@@ -341,6 +354,7 @@ def nearest(df: DataFrame, id_col: str, vector_col: str, dim: int = 64, k: int =
     spark = df.sparkSession
     rows = df.select(df[id_col].cast("bigint").alias("id"), df[vector_col].cast("array<float>").alias("vec")).where(f"id IS NOT NULL AND size(vec) = {dim}")
     n = max(1, df.count())
+    leaf_size = leaf_size or int(min(MOST_LEAF, max(LEAST_LEAF, LEAF_ROOT * n**0.5)))
     chance = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / (1 << 30)
     drawn = rows.withColumn("chance", chance).where(F.col("chance") < min(1.0, 0.95 * sample / n)).select("id", "vec", "chance").toArrow()
     at, x = _vectors(drawn.column("vec").combine_chunks(), dim)
