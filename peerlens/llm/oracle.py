@@ -42,4 +42,6 @@ x AS (SELECT doc_id, array_to_string(w[i : i + 12], ' ') AS s FROM (SELECT doc_i
 y AS (SELECT passage_id, array_to_string(w[i : i + 12], ' ') AS s FROM (SELECT passage_id, w, unnest(range(1, len(w) - 11)) AS i FROM p))
 SELECT DISTINCT doc_id, passage_id FROM x JOIN y USING (s)"""
 
-SQL = {"p1_found": P1, "p2_found": P2, "p4_found": P4, "p5_found": P5, "p7_found": P7}
+P6 = "SELECT doc_id, md5(coalesce(text, '')) AS text_md5 FROM documents"
+
+SQL = {"p1_found": P1, "p2_found": P2, "p4_found": P4, "p5_found": P5, "p6_round_trip": P6, "p7_found": P7}

@@ -48,10 +48,20 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents"), "doc_id", "text")
 
 
+def p6_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    back = tokens.decode(tokens.encode(table(spark, d, "documents"), "doc_id", "text"), "doc_id", "ids")
+    return back.select("doc_id", F.md5("text").alias("text_md5"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.find_leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_passages"), "passage_id", "passage", 13)
 
 
+def p7_edited(spark: SparkSession, d: str) -> DataFrame:
+    """Windows of 24 words that differ in at most two words from a passage's."""
+    return leaks.find_leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_passages"), "passage_id", "passage", 24, edits=2)
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return truncation.truncated(table(spark, d, "documents"), "doc_id", "text", "lang", "source").where("cut").select(F.col("id").alias("doc_id")).distinct()
 
@@ -61,7 +71,7 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_bisect, p4_found, p5_found, p5_share, p6_ids, p7_found, p8_found, p8_rates)}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_bisect, p4_found, p5_found, p5_share, p6_ids, p6_round_trip, p7_found, p7_edited, p8_found, p8_rates)}
 
 
 def oracle_sql() -> dict[str, str]:
