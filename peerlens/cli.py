@@ -1,4 +1,4 @@
-"""Commands: index, extract, summarize, vectors, peers, evaluate. Each reads files, runs one plan and writes tables."""
+"""Commands: index, download, extract, summarize, vectors, peers, evaluate. Each reads files, runs one plan and writes tables."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from peerlens import config
 from peerlens.functions import text as X
-from peerlens.operators import chunks, evaluate, filings, index_records, models, peers, vectors
+from peerlens.operators import chunks, download, evaluate, filings, index_records, models, peers, vectors
 from peerlens.plans import stage
 from peerlens.sources import files, sinks
 
@@ -29,8 +29,25 @@ def _index(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     return index_records.fiscal_counts(records, a.year, a.lookahead)
 
 
+def _download(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    folder = config.FILING_CODES.get(a.filing.lower(), (a.filing, a.filing))[1]
+    records = spark.read.parquet(f"{a.out}/records")
+    wanted = index_records.in_fiscal_windows(records, a.year, a.lookahead).dropDuplicates(["accession_number"])
+    done = stage(download.download(wanted, f"{a.out}/filings", a.year, download.HttpGetter(a.agent), folder, a.overwrite), "status")
+    report = index_records.status_report(done)
+    sinks.write_table(report, f"{a.out}/download_report.csv")
+    tickers = done.where("status = 'downloaded'").select(F.col("fiscal_year").cast("string").alias("fiscal_year"), F.col("cik_padded").alias("cik"), F.explode("ticker_symbols").alias("ticker"), F.lit("filing").alias("source"), F.current_timestamp().cast("string").alias("updated_at"))
+    sinks.write_new(tickers, f"{a.out}/tickers", ["fiscal_year", "cik"], (), a.overwrite)
+    return report
+
+
 def _extract(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
-    items = filings.extract_items(files.filings(spark, a.filing_dir, a.filing, a.year, a.id))
+    if a.filing_dir:
+        found = files.filings(spark, a.filing_dir, a.filing, a.year, a.id)
+    else:
+        found = spark.read.parquet(f"{a.out}/filings").where(F.col("form") == a.filing).select("cik", "year", "form", "source_path", "html")
+        found = found.where(F.col("year").isin(a.year)) if a.year else found
+    items = filings.extract_items(found)
     if a.task in ("items", "both"):
         sinks.write_new(items, f"{a.out}/items", ["cik", "year", "form", "item_id"], ("year", "form"), a.overwrite)
     if a.task in ("structure", "both"):
@@ -135,8 +152,11 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--id", nargs="*", default=[])
     p.add_argument("--tickers")
     p.add_argument("--lookahead", type=int, default=config.LOOKAHEAD)
+    p = add("download", _download)
+    p.add_argument("--agent", required=True)
+    p.add_argument("--lookahead", type=int, default=config.LOOKAHEAD)
     p = add("extract", _extract)
-    p.add_argument("--filing_dir", required=True)
+    p.add_argument("--filing_dir", help="folders of HTML files; else the table of filings in --out")
     p.add_argument("--id", nargs="*", default=[])
     p.add_argument("--task", choices=["items", "structure", "both"], default="both")
     p = add("summarize", _summarize)
