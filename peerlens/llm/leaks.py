@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from peerlens.llm.kernels import U64, Words, blocks, mix
 
-#: Held-out items that are sent to the workers at once.
-BLOCK_ITEMS = 20_000
+#: Held-out items, and characters of their passages, that are sent to the workers at once.
+BLOCK_ITEMS, BLOCK_CHARS = 20_000, 50_000_000
 _TABLE_BITS = 22
 
 
@@ -131,7 +131,8 @@ def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
     left = docs.select(docs[doc_id].alias("id"), docs[text].alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     right = items.select(items[item_id].alias("item"), items[passage].alias("passage")).where("item IS NOT NULL AND passage IS NOT NULL").distinct()
     kinds = left.schema["id"].dataType.simpleString(), right.schema["item"].dataType.simpleString()
-    parts = max(1, -(-right.count() // block_items))
+    size = right.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("passage")), F.lit(0)).alias("chars")).first()
+    parts = max(1, -(-size.n // block_items), -(-size.chars // BLOCK_CHARS))
     right = right.withColumn("part", F.pmod(F.hash("item", "passage"), F.lit(parts)))
     out = None
     for part in range(parts):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peerlens.llm import leaks, neighbors, similar, spans, splitting, tokens, topn, truncation
+from peerlens.llm import leaks, neighbors, paragraphs, similar, spans, splitting, tokens, topn, truncation
 from peerlens.llm.oracle import SQL
 from peerlens.sources import table
 
@@ -44,6 +44,10 @@ def p5_share(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_share(table(spark, d, "filing_item"), "row_id", "text_content", 200)
 
 
+def p5_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    return paragraphs.shared_paragraphs(table(spark, d, "filing_item"), "row_id", "text_content")
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents"), "doc_id", "text")
 
@@ -71,7 +75,7 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_bisect, p4_found, p5_found, p5_share, p6_ids, p6_round_trip, p7_found, p7_edited, p8_found, p8_rates)}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_bisect, p4_found, p5_found, p5_share, p5_paragraphs, p6_ids, p6_round_trip, p7_found, p7_edited, p8_found, p8_rates)}
 
 
 def oracle_sql() -> dict[str, str]:
