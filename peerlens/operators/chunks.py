@@ -79,7 +79,7 @@ def units(items: DataFrame, keys: list[str], item: str, text: str, chunk: int |
     name = X.item_id(F.col(item))
     sized = items.select(*keys, name.alias("item_id"), X.canonical(F.col(text)).alias("_text"), chunk_tokens(name, chunk).alias("chunk_tokens"))
     sized = sized.withColumn("overlap_tokens", overlap_tokens(F.col("item_id"), F.col("chunk_tokens"), overlap)).where("_text <> ''")
-    schema = sized.drop("_text").schema.simpleString()[7:-1]
+    fields = "".join(f"`{x.name}` {x.dataType.simpleString()}, " for x in sized.drop("_text").schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,8 +87,7 @@ def units(items: DataFrame, keys: list[str], item: str, text: str, chunk: int |
             packed = [pack_paragraphs(t, c, o, least) for t, c, o in zip(*args)]
             yield batch.drop_columns(["_text"]).append_column("units", pa.array([u if len(u) >= min_units else [] for u in packed], pa.list_(pa.string())))
 
-    fields = ", ".join(f"`{f.split(':', 1)[0]}` {f.split(':', 1)[1]}" for f in schema.split(","))
-    packed = sized.select(*keys, "item_id", "chunk_tokens", "overlap_tokens", "_text").mapInArrow(run, fields + ", units ARRAY<STRING>")
+    packed = sized.select(*keys, "item_id", "chunk_tokens", "overlap_tokens", "_text").mapInArrow(run, fields + "units ARRAY<STRING>")
     out = packed.select(*keys, "item_id", F.posexplode("units").alias("unit_id", "unit_text"), "chunk_tokens", "overlap_tokens")
     return out.withColumn("unit_id", F.col("unit_id") + 1).withColumn("unit_tokens", X.token_count(F.col("unit_text")))
 

@@ -49,11 +49,13 @@ def filing_items(html: str, form: str | None = None, boundary: bool = True) -> l
     return out
 
 
-def _added(df: DataFrame, inputs: list, name: str, kind: pa.DataType, ddl: str, f) -> DataFrame:
-    """df with a column made by f from the input columns of each row."""
+def _added(df: DataFrame, inputs: list, name: str, kind: pa.DataType, ddl: str, f, without: tuple[str, ...] = ()) -> DataFrame:
+    """df without some columns, with one made by f from the input columns of each row. Long texts that only f needs
+    should be among those left out: they are then sent to Python but not back."""
     args = [f"_a{i}" for i in range(len(inputs))]
-    rows = df.select(*df.columns, *(c.alias(a) for c, a in zip(inputs, args)))
-    fields = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in df.schema.fields)
+    kept = [x for x in df.schema.fields if x.name not in without]
+    rows = df.select(*(x.name for x in kept), *(c.alias(a) for c, a in zip(inputs, args)))
+    fields = "".join(f"`{x.name}` {x.dataType.simpleString()}, " for x in kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -62,23 +64,22 @@ def _added(df: DataFrame, inputs: list, name: str, kind: pa.DataType, ddl: str,
                 made = [f(*values) for values in zip(*(part.column(a).to_pylist() for a in args))]
                 yield part.drop_columns(args).append_column(name, pa.array(made, kind))
 
-    return rows.mapInArrow(run, f"{fields}, {name} {ddl}")
+    return rows.mapInArrow(run, f"{fields}{name} {ddl}")
 
 
 def extract_items(filings: DataFrame, html: str = "html", form: str = "form", boundary: bool = True) -> DataFrame:
     """A row for each item of each filing: the filing's columns but html, and ord, item_id, item_title, anchor,
     start_pos, end_pos, html_content, text_content, error, out_of_order. Filings without HTML have no items."""
-    made = _added(filings, [F.col(html), F.col(form)], "_items", pa.list_(_ITEM_TYPE), _ITEM_DDL, lambda h, f: filing_items(h, f, boundary) if h else [])
-    rest = [c for c in filings.columns if c != html]
-    return made.select(*rest, F.inline("_items"))
+    made = _added(filings, [F.col(html), F.col(form)], "_items", pa.list_(_ITEM_TYPE), _ITEM_DDL, lambda h, f: filing_items(h, f, boundary) if h else [], (html,))
+    return made.select(*made.columns[:-1], F.inline("_items"))
 
 
 def toc_entries(filings: DataFrame, html: str = "html") -> DataFrame:
     """A row for each entry of each table of contents: the filing's columns but html, and ord, item_id, anchor, title."""
     kind = pa.list_(pa.struct([("ord", pa.int32()), ("item_id", pa.string()), ("anchor", pa.string()), ("title", pa.string())]))
     entries = lambda h: [{"ord": i, "item_id": e.item, "anchor": e.anchor, "title": e.title} for i, e in enumerate(parse_toc(h) or [])] if h else []
-    made = _added(filings, [F.col(html)], "_toc", kind, "ARRAY<STRUCT<ord INT, item_id STRING, anchor STRING, title STRING>>", entries)
-    return made.select(*(c for c in filings.columns if c != html), F.inline("_toc"))
+    made = _added(filings, [F.col(html)], "_toc", kind, "ARRAY<STRUCT<ord INT, item_id STRING, anchor STRING, title STRING>>", entries, (html,))
+    return made.select(*made.columns[:-1], F.inline("_toc"))
 
 
 def structure_nodes(items: DataFrame, html: str = "html_content", title: str | None = "item_title") -> DataFrame:
@@ -89,8 +90,8 @@ def structure_nodes(items: DataFrame, html: str = "html_content", title: str | N
         return [{"node_ord": i, "parent_ord": n.parent, "path": n.path, "type": n.kind, "layer": n.layer, "heading": n.heading, "body": n.body} for i, n in enumerate(S.structure(h, t))] if h else []
 
     named = F.col(title) if title else F.lit(None).cast("string")
-    made = _added(items, [F.col(html), named], "_nodes", pa.list_(_NODE_TYPE), _NODE_DDL, nodes)
-    return made.select(*(c for c in items.columns if c != html), F.inline("_nodes"))
+    made = _added(items, [F.col(html), named], "_nodes", pa.list_(_NODE_TYPE), _NODE_DDL, nodes, (html,))
+    return made.select(*made.columns[:-1], F.inline("_nodes"))
 
 
 def field_text(nodes: DataFrame, keys: list[str], name: str = "heading") -> DataFrame:
