@@ -1,7 +1,7 @@
 """SQL of the problems whose result SQL can state, for comparison on whole tables.
 
-The others are tested against brute force on small fixtures: pieces (3) follow from each other one by one, token ids
-(6) need a vocabulary, and truncation (8) is a model's judgement.
+The others are tested on small fixtures: token ids (6) need a vocabulary, so SQL checks their round trip, and
+truncation (8) is a model's judgement.
 """
 
 _WORDS = r"regexp_extract_all(lower({0}), '[a-z0-9]+')"
@@ -21,6 +21,18 @@ g AS (SELECT focal_firm, year, peer_firm, max(score) AS score FROM f WHERE focal
 r AS (SELECT *, row_number() OVER (PARTITION BY focal_firm, year ORDER BY score DESC, peer_firm) AS k FROM g)
 SELECT focal_firm, year, peer_firm FROM r WHERE k <= 10"""
 
+P3 = r"""
+WITH RECURSIVE t AS (SELECT DISTINCT row_id, text_content AS x, CAST(length(text_content) AS BIGINT) AS n FROM filing_item WHERE length(text_content) > 2000),
+w AS (SELECT row_id, x, unnest(range(0, n)) AS i, unnest(string_split(x, '')) IN (' ', chr(9), chr(10), chr(13)) AS ws FROM t),
+l AS (SELECT row_id, x, i, ws, lag(ws) OVER (PARTITION BY row_id ORDER BY i) AS after_ws, max(CASE WHEN NOT ws THEN i END) OVER (PARTITION BY row_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 AS a FROM w),
+b AS (SELECT row_id, i AS p, CASE WHEN length(x[a + 1 : i]) - length(replace(x[a + 1 : i], chr(10), '')) >= 2 THEN 2 WHEN regexp_matches(x[greatest(1, a - 1) : a], '[.!?]["'')”’]?$') THEN 1 ELSE 0 END AS kind FROM l WHERE NOT ws AND after_ws AND a IS NOT NULL),
+r AS (
+  SELECT row_id, n, CAST(0 AS BIGINT) AS start_pos, CASE WHEN n <= 2000 THEN n ELSE coalesce((SELECT max(p) FROM b WHERE b.row_id = t.row_id AND kind = 2 AND p > 1000 AND p <= 2000), (SELECT max(p) FROM b WHERE b.row_id = t.row_id AND kind = 1 AND p > 1000 AND p <= 2000), (SELECT max(p) FROM b WHERE b.row_id = t.row_id AND kind = 0 AND p > 1000 AND p <= 2000), 2000) END AS end_pos FROM t
+  UNION ALL
+  SELECT row_id, n, s, CASE WHEN n - s <= 2000 THEN n ELSE coalesce((SELECT max(p) FROM b WHERE b.row_id = q.row_id AND kind = 2 AND p > s + 1000 AND p <= s + 2000), (SELECT max(p) FROM b WHERE b.row_id = q.row_id AND kind = 1 AND p > s + 1000 AND p <= s + 2000), (SELECT max(p) FROM b WHERE b.row_id = q.row_id AND kind = 0 AND p > s + 1000 AND p <= s + 2000), s + 2000) END
+  FROM (SELECT row_id, n, coalesce((SELECT min(p) FROM b WHERE b.row_id = r.row_id AND p >= end_pos - 200 AND p < end_pos), end_pos - 200) AS s FROM r WHERE end_pos < n) q)
+SELECT row_id, start_pos, end_pos FROM r"""
+
 P4 = f"""
 WITH w AS (SELECT row_id, {_WORDS.format('text_content')} AS w FROM filing_item WHERE text_content IS NOT NULL),
 s AS (SELECT DISTINCT row_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM (SELECT row_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 20)),
@@ -44,4 +56,4 @@ SELECT DISTINCT doc_id, passage_id FROM x JOIN y USING (s)"""
 
 P6 = "SELECT doc_id, md5(coalesce(text, '')) AS text_md5 FROM documents"
 
-SQL = {"p1_found": P1, "p2_found": P2, "p4_found": P4, "p5_found": P5, "p6_round_trip": P6, "p7_found": P7}
+SQL = {"p1_found": P1, "p2_found": P2, "p3_found": P3, "p4_found": P4, "p5_found": P5, "p6_round_trip": P6, "p7_found": P7}
