@@ -5,7 +5,8 @@ each of two paragraphs, whose MinHashes then never meet. So the units are not pa
 characters. The MinHash of a window is the smallest hash among its character grams; equal windows have the same one,
 so one band of one row has recall 1 (and neighbouring windows mostly share it, which keeps the number of keys at about
 two in a hundred characters). Windows whose key occurs in several records are the candidates; they are verified by a
-64-bit hash of their whole content, and the verified windows of each record are joined into its components, the
+64-bit hash of their whole content, first run by run of neighbouring windows with the same key, then window by window
+where a run as a whole is found nowhere else. The verified windows of each record are joined into its components, the
 unbroken stretches.
 
 No step lists pairs. Keys and windows only ask whether their smallest and largest record id differ, which Spark
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from peerlens.llm.kernels import U64, blocks, char_values, code_points, mix, prefix_hash, sliding_min, window_hash
+from peerlens.llm.kernels import U64, blocks, char_values, code_points, mix, prefix_hash, sliding_min, span_hash, window_hash
 from peerlens.plans import stage
 
 
@@ -53,23 +54,54 @@ def _keys(span: int, gram: int):
     return run
 
 
-def _candidates(span: int, gram: int):
+def _alive(part: pa.ListArray, w: _Windows) -> np.ndarray:
+    """Which runs have a key among those listed for their text."""
+    tag = lambda doc: doc.astype(U64) * U64(0x9E3779B97F4A7C15)
+    known = part.flatten().to_numpy(zero_copy_only=False).view(U64)
+    of = np.repeat(np.arange(len(part)), part.value_lengths().to_numpy(zero_copy_only=False))
+    return np.isin(mix(w.key[w.run] ^ tag(w.doc[w.run])), mix(known ^ tag(of)))
+
+
+def _runs(span: int, gram: int):
+    """Runs of windows with the same key, where that key occurs elsewhere: start and number of the windows, and a hash
+    of all the characters that they cover."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tag = lambda doc: doc.astype(U64) * U64(0x9E3779B97F4A7C15)
         for batch in batches:
             ids, texts, alive = batch.column(0), batch.column(1).to_pylist(), batch.column(2)
             for a, b in blocks(texts):
                 w = _Windows(texts[a:b], span, gram)
-                part = alive.slice(a, b - a)
-                known = part.flatten().to_numpy(zero_copy_only=False).view(U64)
-                of = np.repeat(np.arange(b - a), part.value_lengths().to_numpy(zero_copy_only=False))
-                hit = np.isin(mix(w.key[w.run] ^ tag(w.doc[w.run])), mix(known ^ tag(of)))
-                mask = np.repeat(hit, np.diff(np.append(w.run, len(w.at))))
-                at, doc = w.at[mask], w.doc[mask]
-                content = window_hash(w.prefix, span)[at].view(np.int64)
-                for x in range(0, len(at), 200_000):
-                    s = slice(x, x + 200_000)
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc[s].astype(np.int64) + a)), pa.array(content[s]), pa.array(at[s] - w.starts[doc[s]])], ["id", "content", "start_pos"])
+                n = np.diff(np.append(w.run, len(w.at)))
+                hit = _alive(alive.slice(a, b - a), w)
+                first, n = w.run[hit], n[hit]
+                at, doc = w.at[first], w.doc[first]
+                whole = mix(span_hash(w.prefix, at, at + n - 1 + span) ^ n.astype(U64))
+                columns = [pa.array(w.key[first].view(np.int64)), pa.array(whole.view(np.int64)), pa.array(at - w.starts[doc]), pa.array(n)]
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc.astype(np.int64) + a)), *columns], ["id", "key", "whole", "start_pos", "n"])
+
+    return run
+
+
+def _contents(span: int):
+    """The windows of the listed runs of each text, with hashes of their content."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts, listed = batch.column(0), batch.column(1).to_pylist(), batch.column(2)
+            for a, b in blocks(texts):
+                codes, starts = code_points(texts[a:b])
+                content = window_hash(prefix_hash(char_values()[codes]), span)
+                part = listed.slice(a, b - a)
+                flat = part.flatten()
+                begin, n, copied = (flat.field(f).to_numpy(zero_copy_only=False) for f in ("start_pos", "n", "copied"))
+                doc = np.repeat(np.arange(b - a), part.value_lengths().to_numpy(zero_copy_only=False))
+                each = np.repeat(np.arange(len(n)), n)
+                pos = begin[each] + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
+                hashes = content[starts[doc[each]] + pos].view(np.int64)
+                for x in range(0, len(each), 200_000):
+                    s = each[x : x + 200_000]
+                    columns = [pa.array(hashes[x : x + 200_000]), pa.array(pos[x : x + 200_000]), pa.array(copied[s])]
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc[s] + a)), *columns], ["id", "content", "start_pos", "copied"])
 
     return run
 
@@ -98,13 +130,26 @@ def shared_spans(df: DataFrame, id_col: str, text_col: str, span: int = 200) ->
 
     keys = stage(texts.mapInArrow(_keys(span, gram), f"id {kind}, key BIGINT"), "spans-keys")
     alive = keys.join(_in_several(keys, "key"), "key", "left_semi").groupBy("id").agg(F.collect_set("key").alias("keys"))
-    windows = stage(texts.join(alive, "id").select("id", "text", "keys").mapInArrow(_candidates(span, gram), f"id {kind}, content BIGINT, start_pos BIGINT"), "spans-windows")
-    shared = windows.join(_in_several(windows, "content"), "content", "left_semi").select("id", "start_pos").distinct()
+    runs = stage(texts.join(alive, "id").select("id", "text", "keys").mapInArrow(_runs(span, gram), f"id {kind}, key BIGINT, whole BIGINT, start_pos BIGINT, n BIGINT"), "spans-runs")
+
+    # a run that stands in several records is shared as a whole; only the others, and one of each such class with a
+    # key of theirs, are looked at window by window
+    wholes = runs.groupBy("whole").agg(F.min(F.struct("id", "start_pos")).alias("one"), F.min("id").alias("lo"), F.max("id").alias("hi"))
+    found = runs.join(wholes, "whole").withColumn("copied", F.col("lo") < F.col("hi"))
+    single = found.where("NOT copied")
+    sample = found.where("copied AND id = one.id AND start_pos = one.start_pos").join(single.select("key").distinct(), "key", "left_semi")
+    detail = single.select("id", "start_pos", "n", "copied").unionByName(sample.select("id", "start_pos", "n", "copied"))
+    detail = detail.groupBy("id").agg(F.collect_list(F.struct("start_pos", "n", "copied")).alias("runs"))
+    windows = stage(texts.join(detail, "id").select("id", "text", "runs").mapInArrow(_contents(span), f"id {kind}, content BIGINT, start_pos BIGINT, copied BOOLEAN"), "spans-windows")
+    several = windows.groupBy("content").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.bool_or("copied").alias("any")).where("lo < hi OR any").select("content")
+    parts = windows.where("NOT copied").join(several, "content", "left_semi").select("id", "start_pos", F.lit(1).cast("bigint").alias("n"))
+    shared = parts.unionByName(found.where("copied").select("id", "start_pos", "n")).distinct()
 
     w = Window.partitionBy("id").orderBy("start_pos")
-    first = (F.col("start_pos") - F.lag("start_pos").over(w) > span) | F.lag("start_pos").over(w).isNull()
-    island = shared.withColumn("first", first).withColumn("island", F.sum(F.col("first").cast("int")).over(w))
-    joined = island.groupBy("id", "island").agg(F.min("start_pos").alias("start_pos"), (F.max("start_pos") + span).alias("end_pos"))
+    last = F.col("start_pos") + F.col("n") - 1
+    before = F.max(last).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    island = shared.withColumn("first", before.isNull() | (F.col("start_pos") - before > span)).withColumn("island", F.sum(F.col("first").cast("int")).over(w))
+    joined = island.groupBy("id", "island").agg(F.min("start_pos").alias("start_pos"), (F.max(last) + span).alias("end_pos"))
     only = joined.join(members.where("copied").select("id"), "id", "left_anti").select("id", "start_pos", "end_pos")
     return only.unionByName(whole.distinct()).withColumnRenamed("id", id_col)
 
