@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from peerlens.llm.kernels import BASE, U64, Words, blocks, mix, prefix_hash, span_hash
 from peerlens.plans import shuffle_partitions, stage
 
-SAMPLES, BITS = 256, 512
+SAMPLES, BITS = 256, 1024
 #: Members of a key that are compared with each other in one step.
 BLOCK = 512
 #: Copies of a class that are all named in pairs; of a larger class each copy is paired with the first one only.
@@ -101,14 +101,11 @@ def _features(shingle: int, least_words: int, rows: int):
     return run
 
 
-_ONES = np.array([bin(i).count("1") for i in range(1 << 16)], dtype=np.uint8)
-
-
 def _close(a: np.ndarray, b: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs whose sketches differ in at most `limit` bits."""
     out = []
     for i in range(0, len(a), 64):
-        bits = _ONES[a[i : i + 64, None, :] ^ b[None, :, :]].sum(axis=2, dtype=np.int32)
+        bits = np.bitwise_count(a[i : i + 64, None, :] ^ b[None, :, :]).sum(axis=2, dtype=np.int32)
         x, y = np.nonzero(bits <= limit)
         out.append((x + i, y))
     return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
@@ -121,7 +118,7 @@ def _compare(limit: int):
         left, right = [r for r in rows if r[0] == i], [r for r in rows if r[0] == j]
         if not left or not right:
             return
-        a, b = (np.frombuffer(b"".join(r[2] for r in side), dtype=np.uint16).reshape(len(side), -1) for side in (left, right))
+        a, b = (np.frombuffer(b"".join(r[2] for r in side), dtype=np.uint64).reshape(len(side), -1) for side in (left, right))
         for x, y in zip(*_close(a, b, limit)):
             p, q = left[x][1], right[y][1]
             if p < q:
