@@ -265,11 +265,26 @@ class _Side:
         self.unit = _unit(self.x) if len(self.x) else self.x
 
 
-def _pairs(a: _Side, b: _Side, least: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Entries of a and b at or above the similarity, with it, by blocks of a."""
+def _near(sim: np.ndarray, least: float, k: int, both: bool) -> np.ndarray:
+    """Which entries of a block of single-precision similarities are to be computed exactly: those near or above the
+    threshold, and where these are many, only those near or above the k + 1 best of their row (or column, if both ends
+    look for neighbours). The slack is larger than the error of single precision, so none of the k best is lost."""
+    near = sim >= least - _SLACK
+    if near.sum() <= 4 * (k + 1) * sum(sim.shape):
+        return near
+    top = np.zeros_like(near)
+    for axis in (1, 0) if both else (1,):
+        n = sim.shape[axis]
+        top |= sim >= (np.partition(sim, n - k - 2, axis=axis).take([n - k - 2], axis=axis) - _SLACK if n > k + 2 else -np.inf)
+    return near & top
+
+
+def _pairs(a: _Side, b: _Side, least: float, k: int, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Entries of a and b at or above the similarity, with it, by blocks of a; of an entry with very many at least the
+    k + 1 best."""
     step = max(1, 2_000_000 // max(1, len(b.x)))
     for s in range(0, len(a.x), step):
-        i, j = np.nonzero(a.unit[s : s + step] @ b.unit.T >= least - _SLACK)
+        i, j = np.nonzero(_near(a.unit[s : s + step] @ b.unit.T, least, k, not same))
         i += s
         sim = _cosines(a.x[i], b.x[j])
         keep = sim >= least
@@ -314,9 +329,9 @@ def _leaf_neighbours(dim: int, k: int, least: float):
         visitors = _Side([b[1:] for b in blocks if not b[0]], dim)
         found: list[tuple] = []
         total = 0
-        for i, j, sim in _pairs(members, members, least, True):
+        for i, j, sim in _pairs(members, members, least, k, True):
             found += _listed(members, members, i, j, sim, k)
-        for i, j, sim in _pairs(visitors, members, least, False):
+        for i, j, sim in _pairs(visitors, members, least, k, False):
             found += _listed(visitors, members, i, j, sim, k)
             found += _listed(members, visitors, j, i, sim, k)
             total += len(i)

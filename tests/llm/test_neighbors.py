@@ -81,3 +81,10 @@ def test_search_visits_all_leaves_without_margin():
 def test_tree_of_equal_points_is_one_leaf(n):
     tree = N.Tree.fit(np.ones((n, 4), np.float32), 1, 4)
     assert (tree.count == 0).all() or n > 1
+
+
+def test_crowds_keep_the_best(spark):
+    rng = np.random.default_rng(6)
+    x = (np.ones(8) + 0.05 * rng.normal(size=(400, 8))).astype(np.float32)
+    rows = list(enumerate(x))
+    assert pairs(spark, rows, dim=8, k=3, least=0.9, leaf_size=1000) == brute(rows, 8, 3, 0.9)
