@@ -18,7 +18,7 @@ _END_MARKERS = tuple(
     )
 )
 _PART = re.compile(r">\s*PART(?:\s|&nbsp;)+[IVXLC]+\b", re.IGNORECASE)
-#: A part heading counts only so far after an item's start and so near its end.
+# A part heading counts only so far after an item's start and so near its end.
 _PART_AFTER, _PART_BEFORE_END = 200, 12_000
 
 

@@ -14,6 +14,7 @@ from peerlens.html.text import PAGE_BREAK, clean
 
 _HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 _BLOCKS = (*_HEADINGS, "p", "li", "div", "table")
+# Styles, noise lines and names by which blocks are told apart.
 _BOLD = re.compile(r"font-weight\s*:\s*(bold|[6-9]00)")
 _ITALIC = re.compile(r"font-style\s*:\s*italic")
 _UNDERLINE = re.compile(r"text-decoration\s*:\s*underline")
