@@ -54,6 +54,12 @@ x AS (SELECT doc_id, array_to_string(w[i : i + 12], ' ') AS s FROM (SELECT doc_i
 y AS (SELECT passage_id, array_to_string(w[i : i + 12], ' ') AS s FROM (SELECT passage_id, w, unnest(range(1, len(w) - 11)) AS i FROM p))
 SELECT DISTINCT doc_id, passage_id FROM x JOIN y USING (s)"""
 
+P5_SHARE = f"""
+WITH f AS ({P5}),
+s AS (SELECT row_id, CAST(sum(end_pos - start_pos) AS BIGINT) AS shared FROM f GROUP BY row_id),
+r AS (SELECT row_id, max(length(text_content)) AS n_chars FROM filing_item GROUP BY row_id)
+SELECT row_id, n_chars, coalesce(shared, 0) AS shared_chars, CASE WHEN n_chars > 0 THEN round(coalesce(shared, 0) / n_chars, 6) END AS share FROM r LEFT JOIN s USING (row_id)"""
+
 P6 = "SELECT doc_id, md5(coalesce(text, '')) AS text_md5 FROM documents"
 
-SQL = {"p1_found": P1, "p2_found": P2, "p3_found": P3, "p4_found": P4, "p5_found": P5, "p6_round_trip": P6, "p7_found": P7}
+SQL = {"p1_found": P1, "p2_found": P2, "p3_found": P3, "p4_found": P4, "p5_found": P5, "p5_share": P5_SHARE, "p6_round_trip": P6, "p7_found": P7}
