@@ -33,7 +33,7 @@ def p3_bisect(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return similar.similar_pairs(table(spark, d, "filing_item"), "row_id", "text_content", shingle=3, threshold=0.6, least_words=20)
+    return similar.similar_pairs(table(spark, d, "filing_item"), "row_id", "text_content", shingle=3, threshold=0.6, least_words=20, copies="text")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

@@ -7,7 +7,7 @@
 3. Band keys that occur once are dropped by a pre-aggregated count. Within the others, sketches are compared block by
    block; a key with many members is cut into blocks whose pairs of blocks are spread over tasks.
 4. Pairs whose sketches are close enough are verified exactly on the shingle sets of the texts.
-5. Classes are written out again.
+5. Classes are written out again, by words or by text (see `copies` of similar_pairs).
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from peerlens.plans import shuffle_partitions, stage
 SAMPLES, BITS = 256, 1024
 #: Members of a key that are compared with each other in one step.
 BLOCK = 512
-#: Copies of a class that are all named in pairs; of a larger class each copy is paired with the first one only.
+#: Copies that are all named in pairs; of more copies each is paired with the first one only.
 EXPAND = 32
 
 
@@ -72,7 +72,7 @@ def sketch_limit(threshold: float) -> int:
 def _features(shingle: int, least_words: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            ids, texts, copies = batch.column(0), batch.column(1).to_pylist(), batch.column(2)
             for a, b in blocks(texts):
                 w = Words(texts[a:b])
                 h, doc = w.shingles(shingle)
@@ -94,8 +94,9 @@ def _features(shingle: int, least_words: int, rows: int):
                         pa.array(span_hash(two, lo, hi).view(np.int64)),
                         pa.ListArray.from_arrays(pa.array(np.arange(len(use) + 1, dtype=np.int32) * each), pa.array(flat)),
                         pa.array(sketches, pa.binary()),
+                        copies.take(pa.array(use + a)),
                     ],
-                    ["id", "name1", "name2", "keys", "sketch"],
+                    ["id", "name1", "name2", "keys", "sketch", "copy"],
                 )
 
     return run
@@ -172,25 +173,31 @@ def _verify(shingle: int, threshold: float):
     return run
 
 
-def similar_pairs(df: DataFrame, id_col: str, text_col: str, shingle: int = 5, threshold: float = 0.8, least_words: int = 20, rows: int = 4, expand: int = EXPAND) -> DataFrame:
+def similar_pairs(df: DataFrame, id_col: str, text_col: str, shingle: int = 5, threshold: float = 0.8, least_words: int = 20, rows: int = 4, expand: int = EXPAND, copies: str = "words") -> DataFrame:
     """Pairs (row_a, row_b), row_a < row_b, of ids whose sets of `shingle`-word sequences have a Jaccard similarity of
     at least `threshold`.
 
     Words are longest runs of ASCII letters and digits of the lower-cased text. Texts of fewer than `least_words`
     words, null texts and rows without id take no part. An id is never paired with itself, however often it occurs.
     Every pair is verified exactly. With `rows` samples a band and SAMPLES // rows bands, a pair at the threshold is
-    missed with probability (1 - threshold**rows)**(SAMPLES // rows): 0.0001 for 0.6 and 4. Of a class of records
-    with the same words, all pairs are listed up to `expand` members; in a larger one every member is paired with the
-    class's smallest id, and that id alone stands for the class in pairs with other classes. So no link between
-    different texts is lost, and no class is written out as a square.
+    missed with probability (1 - threshold**rows)**(SAMPLES // rows): 0.0001 for 0.6 and 4. Of copies, all pairs are
+    listed up to `expand` of them; of more, every one is paired with the smallest id among them, and that id alone stands
+    for them in all other pairs. `copies` says what a copy is: with "text" the same text to the character, so that only
+    pairs of exact copies are left out and all pairs of different texts are listed; with "words" the same words, which
+    keeps every link between texts of different words but not every pair, and is enough for components.
     """
+    if copies not in ("text", "words"):
+        raise ValueError(f"copies must be text or words, not {copies}")
     spark = df.sparkSession
     kind = df.schema[id_col].dataType.simpleString()
     texts = df.select(df[id_col].alias("id"), df[text_col].alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    features = stage(texts.mapInArrow(_features(shingle, least_words, rows), f"id {kind}, name1 BIGINT, name2 BIGINT, keys ARRAY<BIGINT>, sketch BINARY"), "similar-features")
+    copy = F.unhex(F.md5("text")) if copies == "text" else F.lit(b"")
+    features = stage(texts.withColumn("copy", copy).mapInArrow(_features(shingle, least_words, rows), f"id {kind}, name1 BIGINT, name2 BIGINT, keys ARRAY<BIGINT>, sketch BINARY, copy BINARY"), "similar-features")
 
-    classes = features.groupBy("name1", "name2").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("size"))
-    members = stage(features.select("id", "name1", "name2").join(classes, ["name1", "name2"]).select("id", "rep", "size").distinct(), "similar-members")
+    same = features.groupBy("name1", "name2", "copy").agg(F.min("id").alias("first"), F.count_distinct("id").alias("size"))
+    classes = features.groupBy("name1", "name2").agg(F.min("id").alias("rep"))
+    members = features.select("id", "name1", "name2", "copy").join(same, ["name1", "name2", "copy"]).join(classes, ["name1", "name2"])
+    members = stage(members.select("id", "rep", "first", "size").distinct(), "similar-members")
     reps = features.join(members.where("id = rep").select("id"), "id", "left_semi")
 
     keys = reps.select("id", F.explode("keys").alias("key"))
@@ -206,12 +213,10 @@ def similar_pairs(df: DataFrame, id_col: str, text_col: str, shingle: int = 5, t
     both = close.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     linked = both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(shingle, threshold), f"a {kind}, b {kind}").distinct()
 
-    named = members.where((F.col("size") <= expand) | (F.col("id") == F.col("rep")))
+    named = members.where((F.col("size") <= expand) | (F.col("id") == F.col("first"))).select("rep", "id").distinct()
     side = lambda x: named.select(F.col("rep").alias(x), F.col("id").alias(f"{x}_id"))
     across = linked.join(side("a"), "a").join(side("b"), "b").select("a_id", "b_id")
-    copied = members.where("size > 1")
-    small = copied.where(F.col("size") <= expand)
-    within = small.select("rep", F.col("id").alias("a_id")).join(small.select("rep", F.col("id").alias("b_id")), "rep").where("a_id < b_id").select("a_id", "b_id")
-    star = copied.where((F.col("size") > expand) & (F.col("id") != F.col("rep"))).select(F.col("rep").alias("a_id"), F.col("id").alias("b_id"))
+    within = named.select("rep", F.col("id").alias("a_id")).join(named.select("rep", F.col("id").alias("b_id")), "rep").where("a_id < b_id").select("a_id", "b_id")
+    star = members.where((F.col("size") > expand) & (F.col("id") != F.col("first"))).select(F.col("first").alias("a_id"), F.col("id").alias("b_id"))
     every = across.unionByName(within).unionByName(star).where("a_id <> b_id")
     return every.select(F.least("a_id", "b_id").alias("row_a"), F.greatest("a_id", "b_id").alias("row_b")).distinct()

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from peerlens.llm import similar as S
+from peerlens.llm.queries import p4_found
 
 
 def shingles(text, n):
@@ -59,6 +60,17 @@ def test_hot_class_is_a_star_and_keeps_links(spark):
     assert run(spark, rows, shingle=3, threshold=0.6, expand=1000) == brute(rows, 3, 0.6, 20)
 
 
+def test_only_exact_copies_are_a_star(spark, tmp_path):
+    """60 texts of the same words: 40 exact copies and 20 that differ in case or punctuation, and two near texts."""
+    words = [f"w{i}" for i in range(60)]
+    text = " ".join(words)
+    rows = [(i, text) for i in range(40)] + [(40 + i, " ".join(words[:i]).upper() + "; " + " ".join(words[i:])) for i in range(20)]
+    rows += [(100, text + " more words here"), (101, text + " More words, here")]
+    spark.createDataFrame(rows, "row_id BIGINT, text_content STRING").write.parquet(str(tmp_path / "filing_item.parquet"))
+    got = {tuple(r) for r in p4_found(spark, str(tmp_path)).collect()}
+    assert got == {(a, b) for a, b in brute(rows, 3, 0.6, 20) if b >= 40 and (a == 0 or a >= 40) or a == 0}
+
+
 def test_blocks_of_a_hot_key(spark, monkeypatch):
     rng = random.Random(5)
     text = [f"w{i}" for i in range(80)]
