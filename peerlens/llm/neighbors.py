@@ -5,7 +5,8 @@
 2. Calibration: for a few hundred sampled vectors the true neighbours are found by brute force against all rows. A
    best-bin-first search keeps a priority queue of tree nodes by distance and visits leaves in that order. For each
    true pair it is known how far the search must be widened until one of the two vectors reaches the other's home
-   leaf. The margin that covers the wanted share of the pairs is the one used.
+   leaf. The margin that covers the wanted share of the pairs is the one used. Leaves visited at most are doubled until
+   that share of the pairs is within reach, up to all leaves.
 3. Every row is indexed in its home leaf, and sent as a query to the further leaves that its search visits within the
    margin. A pair is found if either end visits the other's home, so few visits are needed.
 4. Each leaf compares its queries with its members by one matrix product. Pairs near the threshold are computed again
@@ -30,8 +31,10 @@ from peerlens.plans import shuffle_partitions
 SAMPLE, CALIBRATE = 65_536, 512
 #: Rows that are grouped by leaf at once before the shuffle.
 GROUPED = 32_768
-#: Queries that are searched at once.
-SEARCHED = 4_096
+#: Queries that are searched at once, and nodes in all their queues.
+SEARCHED, QUEUED = 4_096, 1 << 23
+#: Visits that are grouped by leaf at once, bytes of vectors written at once, visiting vectors compared at once in a leaf.
+VISITS, WRITTEN, VISITORS = 1 << 20, 1 << 25, 65_536
 #: Members of a leaf aimed at: LEAF_ROOT times the square root of the number of rows, within these bounds.
 LEAF_ROOT, LEAST_LEAF, MOST_LEAF = 3.3, 2_048, 16_384
 _SLACK = 2e-5
@@ -79,12 +82,24 @@ class Tree:
         if not self.count[0]:
             z = np.zeros(len(q), dtype=np.int64)
             return np.arange(len(q)), z, z.astype(np.float32)
-        parts = [(s, *self._search(q[s : s + SEARCHED], margin, most)) for s in range(0, max(1, len(q)), SEARCHED)]
+        step = max(1, min(SEARCHED, QUEUED // self._queue(most)[1]))
+        parts = [(s, *self._search(q[s : s + step], margin, most)) for s in range(0, max(1, len(q)), step)]
         return np.concatenate([r + s for s, r, _, _ in parts]), np.concatenate([x[2] for x in parts]), np.concatenate([x[3] for x in parts])
 
+    def _queue(self, most: int) -> tuple[int, int]:
+        """Children of a node that are queued at most, and the length of a queue. With as many visits as leaves, all
+        nodes fit."""
+        keep = min(most + 8, int(self.count.max()))
+        if most >= self.leaves:
+            return int(self.count.max()), len(self.count)
+        return keep, min(keep * (most + 6), len(self.count))
+
+    @property
+    def leaves(self) -> int:
+        return int((self.count == 0).sum())
+
     def _search(self, q: np.ndarray, margin: float, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        n, keep = len(q), most + 8
-        width = keep * (most + 6)
+        n, (keep, width) = len(q), self._queue(most)
         queue = np.full((n, width), np.inf, dtype=np.float32)
         node = np.zeros((n, width), dtype=np.int32)
         used = np.zeros(n, dtype=np.int64)
@@ -206,28 +221,36 @@ def _merge_equal(x: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return x[at], np.bincount(label[new], minlength=len(at)), ids[new]
 
 
-def _spread(sent, dim: int, most: int):
+def _spread(sent, dim: int):
     """Rows to blocks of a leaf: members (home) and visitors."""
+    kinds = (pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary())
 
-    def blocks(ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
-        tree, margin = sent.value
+    def blocks(ids: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
         x, count, ids = _merge_equal(x, ids)
         start = np.concatenate([[0], np.cumsum(count)])
-        q, leaf, _ = tree.search(_unit(x), margin, most)
+        step = max(1, VISITS // sent.value[2])
+        for s in range(0, len(x), step):
+            yield from grouped(ids, x, count, start, s, min(len(x), s + step))
+
+    def grouped(ids: np.ndarray, x: np.ndarray, count: np.ndarray, start: np.ndarray, s: int, e: int) -> Iterator[pa.RecordBatch]:
+        tree, margin, most = sent.value
+        q, leaf, _ = tree.search(_unit(x[s:e]), margin, most)
         home = np.ones(len(q), dtype=bool)
         order = np.argsort(q, kind="stable")
         home[order] = _rank(q[order]) == 0
         order = np.lexsort((q, home, leaf))
-        q, leaf, home = q[order], leaf[order], home[order]
+        q, leaf, home = q[order] + s, leaf[order], home[order]
         key = leaf.astype(np.int64) * 2 + home
         edges = [*np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])), len(key)]
-        rows = []
+        rows, size = [], 0
         for a, b in zip(edges, edges[1:]):
             own = q[a:b]
             listed = np.concatenate([ids[start[i] : start[i + 1]] for i in own])
             rows.append((int(leaf[a]), bool(home[a]), x[own].tobytes(), count[own].astype(np.int32).tobytes(), listed.tobytes()))
-        kinds = (pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["leaf", "home", "vecs", "counts", "ids"])
+            size += len(rows[-1][2]) + len(rows[-1][4])
+            if size > WRITTEN or b == len(key):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["leaf", "home", "vecs", "counts", "ids"])
+                rows, size = [], 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -237,10 +260,10 @@ def _spread(sent, dim: int, most: int):
                 held.append((batch.column(0).to_numpy()[rows], x))
                 n += len(rows)
             if n >= GROUPED:
-                yield blocks(*map(np.concatenate, zip(*held)))
+                yield from blocks(*map(np.concatenate, zip(*held)))
                 held, n = [], 0
         if held:
-            yield blocks(*map(np.concatenate, zip(*held)))
+            yield from blocks(*map(np.concatenate, zip(*held)))
 
     return run
 
@@ -324,35 +347,66 @@ def _best(found: list[tuple], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 def _leaf_neighbours(dim: int, k: int, least: float):
-    def of(blocks: list[tuple]) -> Iterator[pa.RecordBatch]:
-        members = _Side([b[1:] for b in blocks if b[0]], dim)
-        visitors = _Side([b[1:] for b in blocks if not b[0]], dim)
+    """Blocks sorted by leaf, members first, to the k best of each id in the leaf; visitors are taken by parts."""
+
+    def rows(best: tuple) -> Iterator[pa.RecordBatch]:
+        x, y, s = best
+        for a in range(0, len(x), 100_000):
+            c = slice(a, a + 100_000)
+            yield pa.RecordBatch.from_arrays([pa.array(x[c], pa.int64()), pa.array(y[c], pa.int64()), pa.array(s[c], pa.float64())], ["id", "other", "sim"])
+
+    def within(members: _Side) -> list[tuple]:
         found: list[tuple] = []
         total = 0
         for i, j, sim in _pairs(members, members, least, k, True):
             found += _listed(members, members, i, j, sim, k)
+            total += len(i)
+            if total > 1_000_000:
+                found, total = [_best(found, k)], 0
+        return [_best(found, k)]
+
+    def visit(members: _Side, blocks: list[tuple], found: list[tuple]) -> tuple[list[tuple], tuple]:
+        """What members found so far, and what these visitors find."""
+        visitors = _Side(blocks, dim)
+        own: list[tuple] = []
+        total = 0
         for i, j, sim in _pairs(visitors, members, least, k, False):
-            found += _listed(visitors, members, i, j, sim, k)
+            own += _listed(visitors, members, i, j, sim, k)
             found += _listed(members, visitors, j, i, sim, k)
             total += len(i)
             if total > 1_000_000:
-                found, total = [_best(found, k)], 0
-        x, y, s = _best(found, k)
-        for a in range(0, len(x), 100_000):
-            c = slice(a, a + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(x[c], pa.int64()), pa.array(y[c], pa.int64()), pa.array(s[c], pa.float64())], ["id", "other", "sim"])
+                own, found, total = [_best(own, k)], [_best(found, k)], 0
+        return [_best(found, k)], _best(own, k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leaf, held = None, []
+        leaf, held, size = None, [], 0
+        members, found = None, []
+
+        def settle() -> Iterator[pa.RecordBatch]:
+            """Takes what is held: the members, or a part of the visitors."""
+            nonlocal members, found, held, size
+            if members is None:
+                members = _Side([b[1:] for b in held if b[0]], dim)
+                found = within(members)
+            if visitors := [b[1:] for b in held if not b[0]]:
+                found, own = visit(members, visitors, found)
+                yield from rows(own)
+            held, size = [], 0
+
         for batch in batches:
             for at, *block in zip(*(c.to_pylist() for c in batch.columns)):
-                if at != leaf and held:
-                    yield from of(held)
-                    held = []
+                if at != leaf and leaf is not None:
+                    yield from settle()
+                    yield from rows(found[0])
+                    members, found = None, []
                 leaf = at
                 held.append(tuple(block))
-        if held:
-            yield from of(held)
+                size += 0 if block[0] else len(block[2]) // 4
+                if size >= VISITORS:
+                    yield from settle()
+        if leaf is not None:
+            yield from settle()
+            yield from rows(found[0])
 
     return run
 
@@ -364,7 +418,8 @@ def nearest(df: DataFrame, id_col: str, vector_col: str, dim: int = 64, k: int =
     length, not finite or all zero don't count, nor rows without id (BIGINT). An id counts once; should it come with
     different vectors, the more similar one of each pair counts. An empty table gives no rows. Every row is indexed
     and every row is a query; `recall` is the share of true pairs that the search is widened to, on the calibrating
-    vectors. Other columns are ignored, whatever their names.
+    vectors. `most` leaves are visited at most unless that share needs more: then as many more as it takes. Other columns
+    are ignored, whatever their names.
     """
     spark = df.sparkSession
     rows = df.select(df[id_col].cast("bigint").alias("id"), df[vector_col].cast("array<float>").alias("vec")).where(f"id IS NOT NULL AND size(vec) = {dim}")
@@ -377,39 +432,48 @@ def nearest(df: DataFrame, id_col: str, vector_col: str, dim: int = 64, k: int =
     _, first = np.unique(ids, return_index=True)
     ids, x, chance_of = ids[first], x[first], chance_of[first]
     tree = Tree.fit(_unit(x), max(4.0, leaf_size * len(x) / n), branch)
-    margin = _calibrated(spark, rows, tree, ids, x, chance_of, dim, k, least, recall, most, calibrate) if tree.count[0] else 0.0
-    sent = spark.sparkContext.broadcast((tree, margin))
-    blocks = rows.mapInArrow(_spread(sent, dim, most), "leaf INT, home BOOLEAN, vecs BINARY, counts BINARY, ids BINARY")
-    blocks = blocks.repartition(shuffle_partitions(spark), "leaf").sortWithinPartitions("leaf")
+    margin, most = _calibrated(spark, rows, tree, ids, x, chance_of, dim, k, least, recall, most, calibrate) if tree.count[0] else (0.0, most)
+    sent = spark.sparkContext.broadcast((tree, margin, most))
+    blocks = rows.mapInArrow(_spread(sent, dim), "leaf INT, home BOOLEAN, vecs BINARY, counts BINARY, ids BINARY")
+    blocks = blocks.repartition(shuffle_partitions(spark), "leaf").sortWithinPartitions("leaf", F.desc("home"))
     found = blocks.mapInArrow(_leaf_neighbours(dim, k, least), "id BIGINT, other BIGINT, sim DOUBLE")
     merged = found.repartition(shuffle_partitions(spark), "id").groupBy("id", "other").agg(F.max("sim").alias("sim"))
     w = Window.partitionBy("id").orderBy(F.desc("sim"), "other")
     return merged.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _calibrated(spark, rows: DataFrame, tree: Tree, ids: np.ndarray, x: np.ndarray, chance: np.ndarray, dim: int, k: int, least: float, recall: float, most: int, calibrate: int) -> float:
-    """The margin within which the share `recall` of the true pairs of the calibrating vectors is found."""
+def _calibrated(spark, rows: DataFrame, tree: Tree, ids: np.ndarray, x: np.ndarray, chance: np.ndarray, dim: int, k: int, least: float, recall: float, most: int, calibrate: int) -> tuple[float, int]:
+    """The margin within which the share `recall` of the true pairs of the calibrating vectors is found, and the leaves to
+    visit at most for it."""
     use = np.argsort(chance, kind="stable")[:calibrate]
     sent = spark.sparkContext.broadcast((ids[use], x[use]))
     near = rows.mapInArrow(_brute(sent, dim, k, least), "q BIGINT, id BIGINT, sim DOUBLE, vec BINARY").toPandas()
     near = near.drop_duplicates(["q", "id"]).sort_values(["q", "sim", "id"], ascending=[True, False, True])
     near = near[near.groupby("q").cumcount() < k]
     if near.empty:
-        return 0.0
+        return 0.0, most
     ends = x[use][near.q.to_numpy()], np.frombuffer(b"".join(near.vec), np.float32).reshape(-1, dim)
-    searched = []
-    for end in ends:
-        q, leaf, needed = tree.search(_unit(end), np.inf, most)
-        order = np.argsort(q, kind="stable")
-        q, leaf, needed = q[order], leaf[order], needed[order]
-        searched.append((leaf[_rank(q) == 0], dict(zip(zip(q.tolist(), leaf.tolist()), needed.tolist()))))
-    (home_a, seen_a), (home_b, seen_b) = searched
-    needed = np.array([min(seen_a.get((i, int(home_b[i])), np.inf), seen_b.get((i, int(home_a[i])), np.inf)) for i in range(len(near))])
-    finite = needed[np.isfinite(needed)]
-    if not len(finite):
-        return 0.0
-    wanted = np.sort(needed)[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]
-    return float(min(wanted, finite.max()))
+    return _margin(tree, *ends, recall, most)
+
+
+def _margin(tree: Tree, a: np.ndarray, b: np.ndarray, recall: float, most: int) -> tuple[float, int]:
+    """The margin and the most visits within which the share `recall` of the pairs of rows of a and b is found. Visits
+    are doubled until that share is within reach; with all leaves every pair is."""
+    share = min(len(a) - 1, int(np.ceil(recall * len(a))))
+    a, b = _unit(a), _unit(b)
+    while True:
+        visits, homes = [tree.search(end, np.inf, most) for end in (a, b)], []
+        for q, leaf, _ in visits:
+            order = np.argsort(q, kind="stable")
+            homes.append(leaf[order][_rank(q[order]) == 0])
+        needed = np.full(len(a), np.inf)
+        for (q, leaf, far), home in zip(visits, reversed(homes)):
+            hit = leaf == home[q]
+            needed[q[hit]] = np.minimum(needed[q[hit]], far[hit])
+        wanted = np.sort(needed)[share]
+        if np.isfinite(wanted) or most >= tree.leaves:
+            return float(wanted), most
+        most = min(2 * most, tree.leaves)
 
 
 def neighbour_pairs(df: DataFrame, id_col: str, vector_col: str, **options) -> DataFrame:

@@ -88,3 +88,14 @@ def test_crowds_keep_the_best(spark):
     x = (np.ones(8) + 0.05 * rng.normal(size=(400, 8))).astype(np.float32)
     rows = list(enumerate(x))
     assert pairs(spark, rows, dim=8, k=3, least=0.9, leaf_size=1000) == brute(rows, 8, 3, 0.9)
+
+
+def test_visits_are_widened_until_the_recall_is_reached(spark, monkeypatch):
+    """All vectors are near copies of one: their neighbours lie in far more leaves than are visited at first."""
+    rng = np.random.default_rng(7)
+    rows = list(enumerate((np.ones(16) + 0.1 * rng.normal(size=(1200, 16))).astype(np.float32)))
+    want = brute(rows, 16, 5, 0.9)
+    monkeypatch.setattr(N, "VISITORS", 100)
+    monkeypatch.setattr(N, "VISITS", 4000)
+    got = pairs(spark, rows, dim=16, k=5, least=0.9, leaf_size=20, branch=64, most=2)
+    assert len(want & got) >= 0.98 * len(want)
