@@ -6,7 +6,8 @@
    best-bin-first search keeps a priority queue of tree nodes by distance and visits leaves in that order. For each
    true pair it is known how far the search must be widened until one of the two vectors reaches the other's home
    leaf. The margin that covers the wanted share of the pairs is the one used. Leaves visited at most are doubled until
-   that share of the pairs is within reach, up to all leaves.
+   that share of the pairs is within reach, up to all leaves. Where too few pairs are seen, more vectors calibrate, and
+   where all of the sample show too few, every leaf is visited.
 3. Every row is indexed in its home leaf, and sent as a query to the further leaves that its search visits within the
    margin. A pair is found if either end visits the other's home, so few visits are needed.
 4. Each leaf compares its queries with its members by one matrix product. Pairs near the threshold are computed again
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from peerlens.plans import shuffle_partitions
 
-#: Vectors that the tree is fitted on at most, and vectors that calibrate the search.
+#: Vectors that the tree is fitted on at most, and vectors that calibrate the search at first.
 SAMPLE, CALIBRATE = 65_536, 512
 #: Rows that are grouped by leaf at once before the shuffle.
 GROUPED = 32_768
@@ -188,8 +189,10 @@ def _brute(sent, dim: int, k: int, least: float):
         for batch in batches:
             rows, x = _vectors(batch.column(1), dim)
             own = batch.column(0).to_numpy()[rows]
-            near = unit @ _unit(x).T >= least - _SLACK
-            q, r = np.nonzero(near)
+            every = _unit(x).T
+            near = [np.nonzero(unit[i : i + CALIBRATE] @ every >= least - _SLACK) for i in range(0, len(unit), CALIBRATE)]
+            q = np.concatenate([a + i * CALIBRATE for i, (a, _) in enumerate(near)])
+            r = np.concatenate([b for _, b in near])
             sim = _cosines(queries[q], x[r])
             keep = (sim >= least) & (ids[q] != own[r])
             q, r, sim = q[keep], r[keep], sim[keep]
@@ -444,16 +447,21 @@ def nearest(df: DataFrame, id_col: str, vector_col: str, dim: int = 64, k: int =
 
 def _calibrated(spark, rows: DataFrame, tree: Tree, ids: np.ndarray, x: np.ndarray, chance: np.ndarray, dim: int, k: int, least: float, recall: float, most: int, calibrate: int) -> tuple[float, int]:
     """The margin within which the share `recall` of the true pairs of the calibrating vectors is found, and the leaves to
-    visit at most for it."""
-    use = np.argsort(chance, kind="stable")[:calibrate]
-    sent = spark.sparkContext.broadcast((ids[use], x[use]))
-    near = rows.mapInArrow(_brute(sent, dim, k, least), "q BIGINT, id BIGINT, sim DOUBLE, vec BINARY").toPandas()
-    near = near.drop_duplicates(["q", "id"]).sort_values(["q", "sim", "id"], ascending=[True, False, True])
-    near = near[near.groupby("q").cumcount() < k]
-    if near.empty:
-        return 0.0, most
-    ends = x[use][near.q.to_numpy()], np.frombuffer(b"".join(near.vec), np.float32).reshape(-1, dim)
-    return _margin(tree, *ends, recall, most)
+    visit at most for it. More vectors are drawn until there are enough pairs that one of them is the share left out; if
+    the sample has too few, nothing is known of what is missed, and all leaves are visited."""
+    order, enough = np.argsort(chance, kind="stable"), 1 / max(1e-9, 1 - recall) - 1e-6
+    done, pairs, ends = 0, 0, []
+    while pairs < enough and done < len(order):
+        use = order[done : max(calibrate, 4 * done)]
+        sent = spark.sparkContext.broadcast((ids[use], x[use]))
+        near = rows.mapInArrow(_brute(sent, dim, k, least), "q BIGINT, id BIGINT, sim DOUBLE, vec BINARY").toPandas()
+        near = near.drop_duplicates(["q", "id"]).sort_values(["q", "sim", "id"], ascending=[True, False, True])
+        near = near[near.groupby("q").cumcount() < k]
+        ends.append((x[use][near.q.to_numpy(dtype=np.int64)], np.frombuffer(b"".join(near.vec), np.float32).reshape(-1, dim)))
+        done, pairs = done + len(use), pairs + len(near)
+    if pairs < enough:
+        return np.inf, tree.leaves
+    return _margin(tree, *map(np.concatenate, zip(*ends)), recall, most)
 
 
 def _margin(tree: Tree, a: np.ndarray, b: np.ndarray, recall: float, most: int) -> tuple[float, int]:

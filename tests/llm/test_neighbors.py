@@ -99,3 +99,14 @@ def test_visits_are_widened_until_the_recall_is_reached(spark, monkeypatch):
     monkeypatch.setattr(N, "VISITS", 4000)
     got = pairs(spark, rows, dim=16, k=5, least=0.9, leaf_size=20, branch=64, most=2)
     assert len(want & got) >= 0.98 * len(want)
+
+
+def test_few_true_pairs_are_found_all(spark):
+    """Two of a hundred vectors have a neighbour, so that the first calibrating vectors show none."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(800, 32))
+    x[-8:] = x[:8] + 0.5 * rng.normal(size=(8, 32))
+    rows = list(enumerate(x.astype(np.float32)))
+    want = brute(rows, 32, 5, 0.85)
+    assert len(want) >= 5
+    assert pairs(spark, rows, dim=32, k=5, least=0.85, leaf_size=8, branch=128, calibrate=4) == want
