@@ -30,8 +30,8 @@ def _index(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
 
 
 def _download(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
-    folder = config.FILING_CODES.get(a.filing.lower(), (a.filing, a.filing))[1]
-    records = spark.read.parquet(f"{a.out}/records")
+    form, folder = config.FILING_CODES.get(a.filing.lower(), (a.filing, a.filing))
+    records = spark.read.parquet(f"{a.out}/records").where(F.col("form_type") == form)
     wanted = index_records.in_fiscal_windows(records, a.year, a.lookahead).dropDuplicates(["accession_number"])
     done = stage(download.download(wanted, f"{a.out}/filings", a.year, download.HttpGetter(a.agent), folder, a.overwrite), "status")
     report = index_records.status_report(done)

@@ -115,7 +115,7 @@ def fetch_documents(records: DataFrame, get: Getter, base: str = BASE) -> DataFr
 
 
 def download(records: DataFrame, table: str, targets: Sequence[int], get: Getter, form: str, overwrite: bool = False, base: str = BASE) -> DataFrame:
-    """Fetches filings, reads their tags and appends new ones of the target years to the table: cik, year, form,
+    """Fetches filings, reads their tags and appends new ones of the target years to the table, new by firm, year and form: cik, year, form,
     source_path, filing_date, period_of_report, accession_number, ticker_symbols, html. Returns a row for each record
     with fiscal_year and status."""
     spark = records.sparkSession
@@ -123,7 +123,7 @@ def download(records: DataFrame, table: str, targets: Sequence[int], get: Getter
     tagged = got.withColumn("tags", X.ixbrl_tags(F.col("html"))).select("*", "tags.*").drop("tags")
     have = None
     try:
-        have = spark.read.parquet(table).select(F.col("cik").alias("cik_padded"), F.col("year").cast("int").alias("fiscal_year"), F.lit(True).alias("_have")).distinct()
+        have = spark.read.parquet(table).where(F.col("form") == form).select(F.col("cik").alias("cik_padded"), F.col("year").cast("int").alias("fiscal_year"), F.lit(True).alias("_have")).distinct()
     except Exception:  # noqa: BLE001 - no table yet
         pass
     marked = tagged.join(have, ["cik_padded", "fiscal_year"], "left") if have is not None and not overwrite else tagged.withColumn("_have", F.lit(None).cast("boolean"))

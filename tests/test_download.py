@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from peerlens import cli
 from peerlens.operators import download as D
 from peerlens.operators.index_records import STATUSES, status_report
 
@@ -37,3 +38,14 @@ def test_download_is_incremental_and_reports(spark, tmp_path):
     total = status_report(again).where("is_total").first()
     assert [total[s] for s in STATUSES] == [0, 1, 1, 1, 1]
     assert [(r.cik, r.year, r.ticker_symbols) for r in spark.read.parquet(table).select("cik", F.col("year").cast("int"), "ticker_symbols").collect()] == [("0000000001", 2021, ["ABC"])]
+
+
+def test_forms_of_a_firm_and_year_are_apart(spark, tmp_path, monkeypatch):
+    site = lambda url: TAGS.format(y=2021) if url.endswith(".htm") else PAGE.format(n=url.rsplit("/", 1)[-1].removesuffix("-index.html"), kind="10-K")
+    monkeypatch.setattr(cli.download, "HttpGetter", lambda agent: site)
+    rows = [("0000000001", "a-annual", "2021-03-01", "10-K"), ("0000000001", "a-quarter", "2021-05-01", "10-Q")]
+    spark.createDataFrame(rows, "cik_padded STRING, accession_number STRING, date_filed STRING, form_type STRING").write.parquet(str(tmp_path / "records"))
+    for form in ("10-K", "10q", "10-Q"):
+        cli.main(["download", "--out", str(tmp_path), "--agent", "me", "--filing", form, "--year", "2021"], spark)
+    got = spark.read.parquet(str(tmp_path / "filings")).select("form", "accession_number").collect()
+    assert sorted(map(tuple, got)) == [("10-K", "a-annual"), ("10-Q", "a-quarter")]
