@@ -49,10 +49,10 @@ def _extract(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
         found = found.where(F.col("year").isin(a.year)) if a.year else found
     items = filings.extract_items(found)
     if a.task in ("items", "both"):
-        sinks.write_new(items, f"{a.out}/items", ["cik", "year", "form", "item_id"], ("year", "form"), a.overwrite)
+        sinks.write_new(items, f"{a.out}/items", ["cik", "year", "form", "item_id"], ("year", "form"), a.overwrite, ["cik", "year", "form"])
     if a.task in ("structure", "both"):
         nodes = filings.structure_nodes(items.where("error IS NULL").drop("text_content"))
-        sinks.write_new(nodes, f"{a.out}/nodes", ["cik", "year", "form", "item_id"], ("year", "form"), a.overwrite)
+        sinks.write_new(nodes, f"{a.out}/nodes", ["cik", "year", "form", "item_id"], ("year", "form"), a.overwrite, ["cik", "year", "form"])
     return items.groupBy("form", "year").agg(F.count("*").alias("items"), F.count("error").alias("errors"))
 
 
@@ -99,7 +99,7 @@ def _vectors(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     else:
         units = chunks.units(texts.withColumnRenamed("item_id", "_raw"), ["firm_id", "year"], "_raw", "text", a.chunk_tokens, a.overlap_tokens, a.min_unit_tokens, a.min_units_per_item)
     units = stage(vectors.embed(units, "unit_text", embedder), "units")
-    sinks.write_new(units.withColumn("scope", F.lit(a.scope)).drop("embedding"), f"{a.out}/units", [*keys, "unit_id", "scope"], ("scope", "year"), a.overwrite)
+    sinks.write_new(units.withColumn("scope", F.lit(a.scope)).drop("embedding"), f"{a.out}/units", [*keys, "unit_id", "scope"], ("scope", "year"), a.overwrite, [*keys, "scope"])
     pooled = vectors.distinctiveness_pool(units, keys, "embedding", a.dim)
     sizes = units.groupBy(*keys).agg(F.sum("unit_tokens").alias("item_tokens"), F.max("chunk_tokens").alias("chunk_tokens"), F.max("overlap_tokens").alias("overlap_tokens"))
     out = pooled.join(sizes, keys).select(*keys, "num_units", "item_tokens", F.col("pooled").cast("array<float>").alias("pooled_embedding"), "chunk_tokens", "overlap_tokens", "w_max", "w_mean", F.lit(f"hash-{a.dim}").alias("embedding_model"), F.lit(a.scope).alias("scope"))

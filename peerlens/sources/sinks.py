@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Sequence
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from peerlens.plans import stage
+
 
 def exists(df_or_spark, path: str) -> bool:
     spark = getattr(df_or_spark, "sparkSession", df_or_spark)
@@ -12,15 +19,45 @@ def exists(df_or_spark, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def write_new(df: DataFrame, path: str, keys: list[str], partitions: tuple[str, ...] = (), overwrite: bool = False) -> None:
-    """Appends the rows whose keys the table lacks; with overwrite, replaces the partitions that df has rows for (the
-    whole table if it has no partitions)."""
+def write_new(df: DataFrame, path: str, keys: list[str], partitions: tuple[str, ...] = (), overwrite: bool = False, unit: list[str] | None = None) -> None:
+    """Appends the rows whose keys the table lacks; with overwrite, replaces the rows that agree with one of df in `unit`
+    (the keys, if it isn't given) and keeps all others.
+
+    What is replaced is staged with what is kept before the table is touched: partitions of df are then overwritten, a
+    table without partitions is written beside the old one and takes its place.
+    """
     writer = lambda d: d.write.partitionBy(*partitions) if partitions else d.write
-    if overwrite or not exists(df, path):
-        writer(df).mode("overwrite").option("partitionOverwriteMode", "dynamic" if partitions else "static").parquet(path)
+    if not exists(df, path):
+        writer(df).mode("overwrite").parquet(path)
+    elif overwrite:
+        _replace(stage(df, "new-rows"), path, unit or keys, partitions, writer)
+    else:
+        have = df.sparkSession.read.schema(df.schema).parquet(path).select(*keys).distinct()
+        writer(df.join(have, keys, "left_anti")).mode("append").parquet(path)
+
+
+def _replace(df: DataFrame, path: str, unit: list[str], partitions: tuple[str, ...], writer) -> None:
+    spark = df.sparkSession
+    old = spark.read.schema(df.schema).parquet(path)
+
+    def of(columns: Sequence[str], how: str) -> DataFrame:
+        mine = df.select(*(F.col(c).alias(f"_new_{c}") for c in columns)).distinct()
+        return old.join(mine, reduce(and_, [F.col(c).eqNullSafe(F.col(f"_new_{c}")) for c in columns]), how)
+
+    if partitions:
+        old = of(partitions, "left_semi")
+    merged = stage(of(unit, "left_anti").unionByName(df), "replaced")
+    if partitions:
+        writer(merged).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
         return
-    have = df.sparkSession.read.schema(df.schema).parquet(path).select(*keys).distinct()
-    writer(df.join(have, keys, "left_anti")).mode("append").parquet(path)
+    name = lambda p: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+    files, bare, mark = name(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path.rstrip("/"), uuid.uuid4().hex
+    writer(merged).parquet(f"{bare}.new-{mark}")
+    for source, target in ((bare, f"{bare}.old-{mark}"), (f"{bare}.new-{mark}", bare)):
+        if not files.rename(name(source), name(target)):
+            raise OSError(f"{source} can't be renamed to {target}")
+    files.delete(name(f"{bare}.old-{mark}"), True)
+    spark.catalog.refreshByPath(bare)
 
 
 def write_table(df: DataFrame, path: str) -> None:

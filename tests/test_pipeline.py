@@ -126,3 +126,16 @@ def test_windowed_counts_on_a_stream(spark, tmp_path):
     q = ingest.windowed_counts(stream, "ts", "k").writeStream.outputMode("complete").format("memory").queryName("counts").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted((r.k, r.n) for r in spark.table("counts").collect()) == [("a", 2), ("b", 1)]
+
+
+@pytest.mark.parametrize("partitions", [(), ("year",)])
+def test_overwrite_keeps_what_the_run_does_not_cover(spark, tmp_path, partitions):
+    path, schema = str(tmp_path / "t"), "firm STRING, year INT, form STRING, item STRING, v STRING"
+    rows = [("1", 2021, "10-K", "1", "a"), ("1", 2021, "10-K", "7", "b"), ("1", 2021, "10-Q", "1", "c"), ("2", 2021, "10-K", "1", "d"), ("1", 2022, "10-K", "1", "e"), (None, 2021, "10-K", "1", "f")]
+    sinks.write_new(spark.createDataFrame(rows, schema), path, ["firm", "year", "form", "item"], partitions)
+    read = lambda: sorted(r.v for r in spark.read.parquet(path).collect())
+    sinks.write_new(spark.createDataFrame([("1", 2021, "10-K", "1", "new"), (None, 2021, "10-K", "1", "none")], schema), path, ["firm", "year", "form", "item"], partitions, True)
+    assert read() == ["b", "c", "d", "e", "new", "none"]
+    sinks.write_new(spark.createDataFrame([("1", 2021, "10-K", "1", "whole")], schema), path, ["firm", "year", "form", "item"], partitions, True, ["firm", "year", "form"])
+    assert read() == ["c", "d", "e", "none", "whole"]
+    assert [p.name for p in tmp_path.iterdir()] == ["t"]
