@@ -35,3 +35,9 @@ def test_clusters(spark):
     df = spark.createDataFrame([(1, f"{same}\n\nshort"), (2, f"{other}\n\n{near}"), (3, same), (3, same), (4, None)], "k BIGINT, t STRING")
     got = {(r.k, r.paragraph): (r.cluster, r.removable) for r in P.shared_paragraphs(df, "k", "t").collect()}
     assert got == {(1, 0): ("1:0", False), (2, 1): ("1:0", True), (3, 0): ("1:0", True)}
+
+
+def test_short_equal_paragraphs_are_clusters(spark):
+    df = spark.createDataFrame([(1, "a few words\n\nalone"), (2, "漢字\n\na few words"), (3, "漢字\n\nA few words"), (4, "x\n\nx")], "k BIGINT, t STRING")
+    got = {(r.k, r.paragraph): (r.cluster, r.removable) for r in P.shared_paragraphs(df, "k", "t").collect()}
+    assert got == {(1, 0): ("1:0", False), (2, 1): ("1:0", True), (2, 0): ("2:0", False), (3, 0): ("2:0", True), (4, 0): ("4:0", False), (4, 1): ("4:0", True)}
