@@ -10,6 +10,8 @@ from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Odd base of the rolling hash; its inverse modulo 2**64 follows from it.
@@ -107,6 +109,16 @@ def blocks(texts: Sequence[str], limit: int = BLOCK_CHARS) -> Iterator[tuple[int
         yield begin, len(texts)
 
 
+def text_blocks(column: pa.Array, limit: int = BLOCK_CHARS) -> Iterator[tuple[int, int, list[str]]]:
+    """Ranges of a column of texts without nulls, as in `blocks`, with their texts; only these are held as strings."""
+    total = np.concatenate([[0], np.cumsum(pc.utf8_length(column).to_numpy(zero_copy_only=False), dtype=np.int64)])
+    a = 0
+    while a < len(column):
+        b = max(a + 1, int(np.searchsorted(total, total[a] + limit, "right")) - 1)
+        yield a, b, column.slice(a, b - a).to_pylist()
+        a = b
+
+
 class Words:
     """The words of a block of texts: longest runs of ASCII letters and digits of the lower-cased text.
 

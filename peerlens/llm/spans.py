@@ -4,14 +4,16 @@ MinHash banding over paragraphs can't give this result: a stretch may lie across
 each of two paragraphs, whose MinHashes then never meet. So the units are not paragraphs but all windows of `span`
 characters. The MinHash of a window is the smallest hash among its character grams; equal windows have the same one,
 so one band of one row has recall 1 (and neighbouring windows mostly share it, which keeps the number of keys at about
-two in a hundred characters). Windows whose key occurs in several records are the candidates; they are verified by a
-64-bit hash of their whole content, first run by run of neighbouring windows with the same key, then window by window
-where a run as a whole is found nowhere else. The verified windows of each record are joined into its components, the
-unbroken stretches.
-
-No step lists pairs. Keys and windows only ask whether their smallest and largest record id differ, which Spark
-pre-aggregates before the shuffle, so a stretch that stands in a third of all records costs no more than any other.
-Records with the same text are first reduced to one.
+two in a hundred characters). Runs of neighbouring windows whose key occurs in several records are the candidates.
+They are verified by 64-bit hashes of their content: a run that stands in several records is shared as a whole; of the
+others, which lie where a shared stretch begins or ends, the windows are compared with those of the same key. The
+verified windows of each record are joined into its components, the unbroken stretches.
+
+No step lists pairs. Keys, runs and windows only ask whether their smallest and largest record id differ, which Spark
+pre-aggregates before the shuffle. The windows of one key are compared in one task as long as there are few runs; of a
+crowded key each window is a row of its own and takes the pre-aggregated way. So a stretch that stands in a third of all
+records costs no more than any other. Records with the same text are first reduced to one. The texts themselves are
+shuffled once, and only those that have windows to compare.
 """
 
 from __future__ import annotations
@@ -23,8 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from peerlens.llm.kernels import U64, blocks, char_values, code_points, mix, prefix_hash, sliding_min, span_hash, window_hash
-from peerlens.plans import stage
+from peerlens.llm.kernels import U64, char_values, code_points, mix, prefix_hash, sliding_min, span_hash, text_blocks, window_hash
+from peerlens.plans import shuffle_partitions, stage
+
+#: Runs of a key that are compared in one task; keys with more take the way of single windows.
+CROWDED = 4_096
+#: Windows that are compared at once.
+COMPARED = 400_000
 
 
 class _Windows:
@@ -43,75 +50,98 @@ class _Windows:
         self.run = np.flatnonzero(new)
 
 
-def _keys(span: int, gram: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for a, b in blocks(texts):
-                w = _Windows(texts[a:b], span, gram)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(w.doc[w.run].astype(np.int64) + a)), pa.array(w.key[w.run].view(np.int64))], ["id", "key"])
-
-    return run
-
-
-def _alive(part: pa.ListArray, w: _Windows) -> np.ndarray:
-    """Which runs have a key among those listed for their text."""
-    tag = lambda doc: doc.astype(U64) * U64(0x9E3779B97F4A7C15)
-    known = part.flatten().to_numpy(zero_copy_only=False).view(U64)
-    of = np.repeat(np.arange(len(part)), part.value_lengths().to_numpy(zero_copy_only=False))
-    return np.isin(mix(w.key[w.run] ^ tag(w.doc[w.run])), mix(known ^ tag(of)))
-
-
 def _runs(span: int, gram: int):
-    """Runs of windows with the same key, where that key occurs elsewhere: start and number of the windows, and a hash
-    of all the characters that they cover."""
+    """Texts to their runs of windows with the same key: key, a hash of all the characters that the run covers, start
+    and number of its windows. The text itself isn't sent back, only its name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts, alive = batch.column(0), batch.column(1).to_pylist(), batch.column(2)
-            for a, b in blocks(texts):
-                w = _Windows(texts[a:b], span, gram)
+            for a, b, texts in text_blocks(batch.column(1)):
+                w = _Windows(texts, span, gram)
                 n = np.diff(np.append(w.run, len(w.at)))
-                hit = _alive(alive.slice(a, b - a), w)
-                first, n = w.run[hit], n[hit]
-                at, doc = w.at[first], w.doc[first]
+                at, doc = w.at[w.run], w.doc[w.run]
                 whole = mix(span_hash(w.prefix, at, at + n - 1 + span) ^ n.astype(U64))
-                columns = [pa.array(w.key[first].view(np.int64)), pa.array(whole.view(np.int64)), pa.array(at - w.starts[doc]), pa.array(n)]
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc.astype(np.int64) + a)), *columns], ["id", "key", "whole", "start_pos", "n"])
+                offsets = pa.array(np.searchsorted(doc, np.arange(b - a + 1)).astype(np.int32))
+                values = (w.key[w.run].view(np.int64), whole.view(np.int64), (at - w.starts[doc]).astype(np.int32), n.astype(np.int32))
+                kept = [batch.column(c).slice(a, b - a) for c in (0, 2, 3)]
+                yield pa.RecordBatch.from_arrays([*kept, *(pa.ListArray.from_arrays(offsets, pa.array(v)) for v in values)], ["id", "name", "chars", "key", "whole", "start_pos", "n"])
 
     return run
 
 
 def _contents(span: int):
-    """The windows of the listed runs of each text, with hashes of their content."""
+    """The listed runs of each text with the hashes of their windows; of a crowded key each window is a run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts, listed = batch.column(0), batch.column(1).to_pylist(), batch.column(2)
-            for a, b in blocks(texts):
-                codes, starts = code_points(texts[a:b])
-                content = window_hash(prefix_hash(char_values()[codes]), span)
-                part = listed.slice(a, b - a)
-                flat = part.flatten()
-                begin, n, copied = (flat.field(f).to_numpy(zero_copy_only=False) for f in ("start_pos", "n", "copied"))
+            ids = batch.column(0)
+            for a, b, texts in text_blocks(batch.column(1)):
+                codes, starts = code_points(texts)
+                content = window_hash(prefix_hash(char_values()[codes]), span).view(np.int64)
+                part = batch.column(2).slice(a, b - a)
+                key, begin, n, copied, crowded = (part.flatten().field(f).to_numpy(zero_copy_only=False) for f in ("key", "start_pos", "n", "copied", "crowded"))
                 doc = np.repeat(np.arange(b - a), part.value_lengths().to_numpy(zero_copy_only=False))
-                each = np.repeat(np.arange(len(n)), n)
-                pos = begin[each] + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
-                hashes = content[starts[doc[each]] + pos].view(np.int64)
-                for x in range(0, len(each), 200_000):
-                    s = each[x : x + 200_000]
-                    columns = [pa.array(hashes[x : x + 200_000]), pa.array(pos[x : x + 200_000]), pa.array(copied[s])]
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc[s] + a)), *columns], ["id", "content", "start_pos", "copied"])
+                for few in (True, False):
+                    at = np.flatnonzero(crowded != few)
+                    first = starts[doc[at]] + begin[at]
+                    each = np.repeat(np.arange(len(at)), n[at])
+                    pos = np.arange(len(each)) - np.repeat(np.cumsum(n[at]) - n[at], n[at])
+                    hashes = content[first[each] + pos]
+                    if few:
+                        bounds = np.concatenate([[0], np.cumsum(n[at], dtype=np.int64)]) * 8
+                        listed = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(hashes)])
+                        columns = [ids.take(pa.array(doc[at] + a)), pa.array(key[at]), pa.array(begin[at]), pa.array(n[at]), pa.array(copied[at]), listed]
+                        yield pa.RecordBatch.from_arrays(columns, ["id", "key", "start_pos", "n", "copied", "windows"])
+                        continue
+                    for x in range(0, len(each), COMPARED):
+                        s = at[each[x : x + COMPARED]]
+                        values = (pa.array(hashes[x : x + COMPARED]), pa.array((begin[s] + pos[x : x + COMPARED]).astype(np.int32)), pa.array(np.ones(len(s), np.int32)), pa.array(copied[s]))
+                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc[s] + a)), *values, pa.nulls(len(s), pa.binary())], ["id", "key", "start_pos", "n", "copied", "windows"])
 
     return run
 
 
-def _in_several(df: DataFrame, by: str) -> DataFrame:
-    """The values of `by` that occur with more than one id."""
-    return df.groupBy(by).agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select(by)
-
-
-def shared_spans(df: DataFrame, id_col: str, text_col: str, span: int = 200) -> DataFrame:
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs sorted by key, with the hashes of their windows, to the stretches of windows that stand in several records:
+    id, start_pos, n. Keys are taken as whole, several at once."""
+
+    def shared(rows: pa.Table) -> pa.RecordBatch:
+        ids = rows.column("id").combine_chunks().dictionary_encode()
+        begin, n, copied = (rows.column(c).to_numpy() for c in ("start_pos", "n", "copied"))
+        hashes = np.frombuffer(b"".join(rows.column("windows").to_pylist()), np.int64)
+        each = np.repeat(np.arange(len(n)), n)
+        pos = np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
+        order = np.argsort(hashes, kind="stable")
+        group = np.flatnonzero(np.concatenate([[True], np.diff(hashes[order]) != 0]))
+        owner = ids.indices.to_numpy()[each[order]]
+        several = (np.minimum.reduceat(owner, group) < np.maximum.reduceat(owner, group)) | np.logical_or.reduceat(copied[each[order]], group)
+        hit = np.zeros(len(each), dtype=bool)
+        hit[order] = np.repeat(several, np.diff(np.append(group, len(order))))
+        hit &= ~copied[each]
+        edge = np.diff(hit.astype(np.int8), prepend=np.int8(0))
+        first = np.flatnonzero(hit & ((edge == 1) | (pos == 0)))
+        last = np.flatnonzero(hit & (np.append(~hit[1:], True) | np.append(pos[1:] == 0, True)))
+        of = each[first]
+        return pa.RecordBatch.from_arrays([rows.column("id").combine_chunks().take(pa.array(of)), pa.array(begin[of] + pos[first].astype(np.int32), pa.int32()), pa.array((last - first + 1).astype(np.int32))], ["id", "start_pos", "n"])
+
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += int(batch.column("n").to_numpy().sum())
+        if size >= COMPARED:
+            rows = pa.Table.from_batches(held)
+            key = rows.column("key").to_numpy()
+            cut = int(np.searchsorted(key, key[-1]))
+            if cut:
+                yield shared(rows.slice(0, cut))
+            held = rows.slice(cut).to_batches()
+            size = sum(int(x.column("n").to_numpy().sum()) for x in held)
+    if held and (rows := pa.Table.from_batches(held)).num_rows:
+        yield shared(rows)
+
+
+def shared_spans(df: DataFrame, id_col: str, text_col: str, span: int = 200, crowded: int = CROWDED) -> DataFrame:
     """Unbroken stretches of shared characters: id (under its own name), start_pos, end_pos.
 
     A character is shared if it lies in a stretch of `span` characters that occurs exactly alike in a record with
@@ -122,27 +152,36 @@ def shared_spans(df: DataFrame, id_col: str, text_col: str, span: int = 200) ->
     gram = max(1, span // 2)
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(df[id_col].alias("id"), df[text_col].alias("text")).where(f"id IS NOT NULL AND length(text) >= {span}")
-    named = rows.withColumn("name", F.md5("text"))
-    classes = named.groupBy("name").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
-    members = stage(named.join(classes, "name").select("id", F.when(F.col("id") == F.col("lo"), F.col("text")).alias("text"), F.length("text").cast("bigint").alias("n"), (F.col("lo") < F.col("hi")).alias("copied")), "spans-members")
-    whole = members.where("copied").select("id", F.lit(0).cast("bigint").alias("start_pos"), F.col("n").alias("end_pos"))
-    texts = members.where("text IS NOT NULL").select("id", "text")
-
-    keys = stage(texts.mapInArrow(_keys(span, gram), f"id {kind}, key BIGINT"), "spans-keys")
-    alive = keys.join(_in_several(keys, "key"), "key", "left_semi").groupBy("id").agg(F.collect_set("key").alias("keys"))
-    runs = stage(texts.join(alive, "id").select("id", "text", "keys").mapInArrow(_runs(span, gram), f"id {kind}, key BIGINT, whole BIGINT, start_pos BIGINT, n BIGINT"), "spans-runs")
-
+    named = rows.select("id", "text", F.unhex(F.md5("text")).alias("name"), F.length("text").alias("chars"))
+    lists = "key ARRAY<BIGINT>, whole ARRAY<BIGINT>, start_pos ARRAY<INT>, n ARRAY<INT>"
+    features = stage(named.mapInArrow(_runs(span, gram), f"id {kind}, name BINARY, chars INT, {lists}"), "spans-features")
+
+    # records with the same text are shared as a whole, and one of them stands for them in what follows
+    classes = features.groupBy("name").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+    members = features.select("id", "name", "chars").join(classes, "name")
+    whole = members.where("lo < hi").select("id", F.lit(0).alias("start_pos"), F.col("chars").alias("end_pos")).distinct()
+    others = features.join(classes.select("name", F.col("lo").alias("id")), ["name", "id"], "left_semi")
+    runs = others.select("id", "name", F.inline(F.arrays_zip("key", "whole", "start_pos", "n")))
+
+    several = runs.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
+    alive = stage(runs.join(several, "key", "left_semi"), "spans-runs")
+    wholes = alive.groupBy("key", "whole").agg(F.min(F.struct("id", "name", "start_pos")).alias("one"), (F.min("id") < F.max("id")).alias("copied"))
+    found = stage(alive.join(wholes, ["key", "whole"]), "spans-found")
     # a run that stands in several records is shared as a whole; only the others, and one of each such class with a
     # key of theirs, are looked at window by window
-    wholes = runs.groupBy("whole").agg(F.min(F.struct("id", "start_pos")).alias("one"), F.min("id").alias("lo"), F.max("id").alias("hi"))
-    found = runs.join(wholes, "whole").withColumn("copied", F.col("lo") < F.col("hi"))
     single = found.where("NOT copied")
-    sample = found.where("copied AND id = one.id AND start_pos = one.start_pos").join(single.select("key").distinct(), "key", "left_semi")
-    detail = single.select("id", "start_pos", "n", "copied").unionByName(sample.select("id", "start_pos", "n", "copied"))
-    detail = detail.groupBy("id").agg(F.collect_list(F.struct("start_pos", "n", "copied")).alias("runs"))
-    windows = stage(texts.join(detail, "id").select("id", "text", "runs").mapInArrow(_contents(span), f"id {kind}, content BIGINT, start_pos BIGINT, copied BOOLEAN"), "spans-windows")
-    several = windows.groupBy("content").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.bool_or("copied").alias("any")).where("lo < hi OR any").select("content")
-    parts = windows.where("NOT copied").join(several, "content", "left_semi").select("id", "start_pos", F.lit(1).cast("bigint").alias("n"))
+    sample = found.where("copied AND struct(id, name, start_pos) = one").join(single.select("key").distinct(), "key", "left_semi")
+    detail = single.unionByName(sample)
+    sizes = detail.groupBy("key").agg((F.count("*") > crowded).alias("crowded"))
+    detail = detail.join(sizes, "key").select("id", "name", F.struct("key", "start_pos", "n", "copied", "crowded").alias("run"))
+    detail = detail.groupBy("id", "name").agg(F.collect_list("run").alias("runs"))
+    asked = named.select("id", "name", "text").join(detail, ["id", "name"]).select("id", "text", "runs")
+    windows = stage(asked.mapInArrow(_contents(span), f"id {kind}, key BIGINT, start_pos INT, n INT, copied BOOLEAN, windows BINARY"), "spans-windows")
+    few = windows.where("windows IS NOT NULL").repartition(shuffle_partitions(df.sparkSession), "key").sortWithinPartitions("key")
+    parts = few.mapInArrow(_compare, f"id {kind}, start_pos INT, n INT")
+    many = windows.where("windows IS NULL")
+    there = many.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.bool_or("copied").alias("any")).where("lo < hi OR any").select("key")
+    parts = parts.unionByName(many.where("NOT copied").join(there, "key", "left_semi").select("id", "start_pos", "n"))
     shared = parts.unionByName(found.where("copied").select("id", "start_pos", "n")).distinct()
 
     w = Window.partitionBy("id").orderBy("start_pos")
@@ -150,8 +189,9 @@ def shared_spans(df: DataFrame, id_col: str, text_col: str, span: int = 200) ->
     before = F.max(last).over(w.rowsBetween(Window.unboundedPreceding, -1))
     island = shared.withColumn("first", before.isNull() | (F.col("start_pos") - before > span)).withColumn("island", F.sum(F.col("first").cast("int")).over(w))
     joined = island.groupBy("id", "island").agg(F.min("start_pos").alias("start_pos"), (F.max(last) + span).alias("end_pos"))
-    only = joined.join(members.where("copied").select("id"), "id", "left_anti").select("id", "start_pos", "end_pos")
-    return only.unionByName(whole.distinct()).withColumnRenamed("id", id_col)
+    only = joined.join(members.where("lo < hi").select("id"), "id", "left_anti").select("id", "start_pos", "end_pos")
+    out = only.unionByName(whole)
+    return out.select(F.col("id").alias(id_col), F.col("start_pos").cast("bigint").alias("start_pos"), F.col("end_pos").cast("bigint").alias("end_pos"))
 
 
 def shared_share(df: DataFrame, id_col: str, text_col: str, span: int = 200) -> DataFrame:

@@ -69,3 +69,13 @@ def test_share_and_empty(spark):
     got = {r.r: (r.n_chars, r.shared_chars, r.share) for r in S.shared_share(df, "r", "t", 20).collect()}
     assert got == {1: (35, 30, 0.857143), 2: (30, 30, 1.0), 3: (0, 0, None), 4: (None, 0, None)}
     assert S.shared_spans(df.where("r > 9"), "r", "t", 20).collect() == []
+
+
+@pytest.mark.parametrize("crowded", [0, 2, 10_000])
+def test_crowded_keys_take_another_way_to_the_same_result(spark, crowded):
+    rng = random.Random(4)
+    make = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = make(33)
+    rows = [(i, make(rng.randrange(5, 30)) + passage[: rng.randrange(20, 34)] + make(rng.randrange(5, 30))) for i in range(60)]
+    df = spark.createDataFrame(rows, "r BIGINT, t STRING")
+    assert {tuple(x) for x in S.shared_spans(df, "r", "t", 20, crowded).collect()} == brute(rows, 20)
