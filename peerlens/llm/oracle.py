@@ -21,11 +21,12 @@ g AS (SELECT focal_firm, year, peer_firm, max(score) AS score FROM f WHERE focal
 r AS (SELECT *, row_number() OVER (PARTITION BY focal_firm, year ORDER BY score DESC, peer_firm) AS k FROM g)
 SELECT focal_firm, year, peer_firm FROM r WHERE k <= 10"""
 
-P3 = r"""
-WITH RECURSIVE t AS (SELECT DISTINCT row_id, text_content AS x, CAST(length(text_content) AS BIGINT) AS n FROM filing_item WHERE length(text_content) > 2000),
+_BOUNDARIES = r"""WITH RECURSIVE t AS (SELECT DISTINCT row_id, text_content AS x, CAST(length(text_content) AS BIGINT) AS n FROM filing_item WHERE length(text_content) > 2000),
 w AS (SELECT row_id, x, unnest(range(0, n)) AS i, unnest(string_split(x, '')) IN (' ', chr(9), chr(10), chr(13)) AS ws FROM t),
 l AS (SELECT row_id, x, i, ws, lag(ws) OVER (PARTITION BY row_id ORDER BY i) AS after_ws, max(CASE WHEN NOT ws THEN i END) OVER (PARTITION BY row_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 AS a FROM w),
-b AS (SELECT row_id, i AS p, CASE WHEN length(x[a + 1 : i]) - length(replace(x[a + 1 : i], chr(10), '')) >= 2 THEN 2 WHEN regexp_matches(x[greatest(1, a - 1) : a], '[.!?]["'')”’]?$') THEN 1 ELSE 0 END AS kind FROM l WHERE NOT ws AND after_ws AND a IS NOT NULL),
+b AS (SELECT row_id, i AS p, CASE WHEN length(x[a + 1 : i]) - length(replace(x[a + 1 : i], chr(10), '')) >= 2 THEN 2 WHEN regexp_matches(x[greatest(1, a - 1) : a], '[.!?]["'')”’]?$') THEN 1 ELSE 0 END AS kind FROM l WHERE NOT ws AND after_ws AND a IS NOT NULL),"""
+
+P3 = _BOUNDARIES + r"""
 r AS (
   SELECT row_id, n, CAST(0 AS BIGINT) AS start_pos, CASE WHEN n <= 2000 THEN n ELSE coalesce((SELECT max(p) FROM b WHERE b.row_id = t.row_id AND kind = 2 AND p > 1000 AND p <= 2000), (SELECT max(p) FROM b WHERE b.row_id = t.row_id AND kind = 1 AND p > 1000 AND p <= 2000), (SELECT max(p) FROM b WHERE b.row_id = t.row_id AND kind = 0 AND p > 1000 AND p <= 2000), 2000) END AS end_pos FROM t
   UNION ALL
@@ -33,6 +34,14 @@ r AS (
   FROM (SELECT row_id, n, coalesce((SELECT min(p) FROM b WHERE b.row_id = r.row_id AND p >= end_pos - 200 AND p < end_pos), end_pos - 200) AS s FROM r WHERE end_pos < n) q)
 SELECT row_id, start_pos, end_pos FROM r"""
 
+_NEAREST = "(SELECT arg_min(p, abs(p - (s.a + s.b) // 2) * 10000000 + p) FROM b WHERE b.row_id = s.row_id AND kind = {0} AND abs(p - (s.a + s.b) // 2) <= (s.b - s.a) // 4 AND p > s.a AND p < s.b)"
+
+P3_BISECT = _BOUNDARIES + f"""
+s AS (SELECT row_id, CAST(0 AS BIGINT) AS a, n AS b FROM t
+  UNION ALL SELECT row_id, CASE WHEN half = 0 THEN a ELSE cut END, CASE WHEN half = 0 THEN cut ELSE b END
+  FROM (SELECT row_id, a, b, coalesce({_NEAREST.format(2)}, {_NEAREST.format(1)}, {_NEAREST.format(0)}, (a + b) // 2) AS cut FROM s WHERE b - a > 1800) q, (VALUES (0), (1)) h(half))
+SELECT row_id, CASE WHEN a = 0 THEN 0 ELSE coalesce((SELECT min(p) FROM b WHERE b.row_id = s.row_id AND p >= s.a - 200 AND p < s.a), a - 200) END AS start_pos, s.b AS end_pos FROM s WHERE s.b - a <= 1800"""
+
 P4 = f"""
 WITH w AS (SELECT row_id, {_WORDS.format('text_content')} AS w FROM filing_item WHERE text_content IS NOT NULL),
 s AS (SELECT DISTINCT row_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM (SELECT row_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 20)),
@@ -62,4 +71,4 @@ SELECT row_id, n_chars, coalesce(shared, 0) AS shared_chars, CASE WHEN n_chars >
 
 P6 = "SELECT doc_id, md5(coalesce(text, '')) AS text_md5 FROM documents"
 
-SQL = {"p1_found": P1, "p2_found": P2, "p3_found": P3, "p4_found": P4, "p5_found": P5, "p5_share": P5_SHARE, "p6_round_trip": P6, "p7_found": P7}
+SQL = {"p1_found": P1, "p2_found": P2, "p3_found": P3, "p3_bisect": P3_BISECT, "p4_found": P4, "p5_found": P5, "p5_share": P5_SHARE, "p6_round_trip": P6, "p7_found": P7}

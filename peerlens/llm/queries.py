@@ -29,7 +29,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_bisect(spark: SparkSession, d: str) -> DataFrame:
-    return splitting.split_oversized(table(spark, d, "filing_item"), "row_id", "text_content", 2000, 1000, 200, "bisect")
+    return splitting.split_oversized(table(spark, d, "filing_item"), "row_id", "text_content", 2000, 1000, 200, "even")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

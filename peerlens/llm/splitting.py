@@ -1,9 +1,12 @@
 """Problem 3: texts over a size limit, cut into overlapping pieces at natural boundaries.
 
-Two methods share the boundaries. "forward" fills pieces from the start of the text, as the stated result asks for:
-each piece depends on where the one before it ended, so halving the text can't give it. "bisect" is the recursive
-bisection: cut at the strongest boundary near the middle, recurse on halves that exceed the limit less the overlap,
-then put the overlap in front of each piece; its pieces are of more even size.
+Both methods bisect: they cut at the strongest boundary near the middle, recurse on halves that exceed the limit less
+the overlap, and attach the overlaps last. "stitched" gives the stated pieces, of which each ends where the one before
+lets it: each half is cut by the stated rule from its own beginning, as if a piece ended there, and where that isn't so
+the left half's cuts go on until they meet one of the right half's; from there on both are the same. They meet soon, as
+a piece ends at the last of the strongest boundaries in its reach, wherever it starts. "even" keeps the middle cuts
+themselves, so its pieces are of more even size. "forward" fills pieces one after another; it is what "stitched" is
+tested against.
 """
 
 from __future__ import annotations
@@ -64,12 +67,59 @@ def split_forward(text: str, limit: int, least: int, overlap: int) -> list[tuple
                 end = p
                 break
         pieces.append((start, end))
-        start = max(_restart(every, end, overlap), start + 1)
+        start = _restart(every, end, overlap)
     pieces.append((start, len(text)))
     return pieces
 
 
-def split_bisect(text: str, limit: int, least: int, overlap: int) -> list[tuple[int, int]]:
+def _middle(by_kind: list[list[int]], a: int, b: int) -> int:
+    """The strongest boundary within the middle half of (a, b), of equals the one nearest to the middle; the middle if
+    there is none."""
+    middle, reach = (a + b) // 2, (b - a) // 4
+    for kind in (PARAGRAPH, SENTENCE, WORD):
+        of = by_kind[kind]
+        i = bisect_left(of, middle)
+        near = [p for p in of[max(0, i - 1) : i + 1] if abs(p - middle) <= reach and a < p < b]
+        if near:
+            return min(near, key=lambda p: (abs(p - middle), p))
+    return middle
+
+
+def split_stitched(text: str, limit: int, least: int, overlap: int) -> list[tuple[int, int]]:
+    """The pieces of split_forward by recursive bisection and stitching."""
+    by_kind = boundaries(text)
+    every, n = sorted(sum(by_kind, [])), len(text)
+
+    def following(cut: int) -> int:
+        """The end of the piece that repeats the characters before `cut`."""
+        start = _restart(every, cut, overlap) if cut else 0
+        if n - start <= limit:
+            return n
+        ends = (_last(by_kind[kind], start + least, start + limit) for kind in (PARAGRAPH, SENTENCE, WORD))
+        return next((p for p in ends if p is not None), start + limit)
+
+    def cuts(a: int, b: int) -> list[int]:
+        """The cuts after a, if a is one, up to the first at or after b."""
+        out, cut = [], a
+        if b - a > limit - overlap:
+            middle = _middle(by_kind, a, b)
+            out, right = cuts(a, middle), cuts(middle, b)
+            cut = out[-1]
+            while cut != middle and cut < b:
+                i = bisect_left(right, cut)
+                if i < len(right) and right[i] == cut:
+                    return out + right[i + 1 :]
+                out.append(cut := following(cut))
+            return out + right if cut == middle else out
+        while cut < b:
+            out.append(cut := following(cut))
+        return out
+
+    ends = cuts(0, n)
+    return [(_restart(every, a, overlap) if a else 0, b) for a, b in zip([0, *ends], ends)]
+
+
+def split_even(text: str, limit: int, least: int, overlap: int) -> list[tuple[int, int]]:
     """Pieces by recursive halving at the strongest boundary within the middle half; `least` isn't used."""
     by_kind = boundaries(text)
     every = sorted(sum(by_kind, []))
@@ -79,23 +129,15 @@ def split_bisect(text: str, limit: int, least: int, overlap: int) -> list[tuple[
         if b - a <= room:
             cuts.append(b)
             continue
-        middle, reach = (a + b) // 2, (b - a) // 4
-        cut = middle
-        for kind in (PARAGRAPH, SENTENCE, WORD):
-            of = by_kind[kind]
-            lo, hi = bisect_left(of, middle - reach), bisect_right(of, middle + reach)
-            if near := [p for p in of[lo:hi] if a < p < b]:
-                cut = min(near, key=lambda p: (abs(p - middle), p))
-                break
+        cut = _middle(by_kind, a, b)
         todo += [(cut, b), (a, cut)]
-    cuts.sort()
-    return [(a if a == 0 else max(0, _restart(every, a, overlap)), b) for a, b in zip(cuts, cuts[1:])]
+    return [(_restart(every, a, overlap) if a else 0, b) for a, b in zip(cuts, cuts[1:])]
 
 
-METHODS: dict[str, Callable] = {"forward": split_forward, "bisect": split_bisect}
+METHODS: dict[str, Callable] = {"stitched": split_stitched, "even": split_even, "forward": split_forward}
 
 
-def split_oversized(df: DataFrame, id_col: str, text_col: str, limit: int = 2000, least: int = 1000, overlap: int = 200, method: str = "forward") -> DataFrame:
+def split_oversized(df: DataFrame, id_col: str, text_col: str, limit: int = 2000, least: int = 1000, overlap: int = 200, method: str = "stitched") -> DataFrame:
     """The pieces of every text of more than `limit` characters: id (under its own name), start_pos, end_pos.
 
     Positions count Unicode code points; ends are exclusive. A row per piece, repeated rows of the input once. Null,

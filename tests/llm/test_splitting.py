@@ -44,20 +44,32 @@ def random_text(rng, n):
 
 
 @pytest.mark.parametrize("seed", range(12))
-def test_forward_is_the_stated_rule(seed):
+def test_both_ways_give_the_stated_rule(seed):
     text = random_text(random.Random(seed), 2001 + 1500 * seed)
     assert S.split_forward(text, 2000, 1000, 200) == stated(text)
+    assert S.split_stitched(text, 2000, 1000, 200) == stated(text)
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_stitched_is_forward(seed):
+    rng = random.Random(seed)
+    text = random_text(rng, rng.randrange(200, 6000))
+    limit = rng.randrange(60, 400)
+    least = rng.randrange(limit // 3, limit)
+    overlap = rng.randrange(0, least)
+    if len(text) > limit:
+        assert S.split_stitched(text, limit, least, overlap) == S.split_forward(text, limit, least, overlap)
 
 
 @pytest.mark.parametrize("text", ["x" * 7001, " " * 5000, "\n\n" + "a b. " * 900 + "\n\n", "word " * 500])
 def test_odd_texts(text):
-    assert S.split_forward(text, 2000, 1000, 200) == stated(text)
+    assert S.split_forward(text, 2000, 1000, 200) == S.split_stitched(text, 2000, 1000, 200) == stated(text)
 
 
 @pytest.mark.parametrize("seed", range(6))
 def test_bisection_covers_within_the_limit(seed):
     text = random_text(random.Random(seed), 9000 + seed)
-    pieces = S.split_bisect(text, 2000, 1000, 200)
+    pieces = S.split_even(text, 2000, 1000, 200)
     assert pieces[0][0] == 0 and pieces[-1][1] == len(text)
     assert all(b - a <= 2000 for a, b in pieces)
     assert all(0 < prev[1] - nxt[0] <= 200 for prev, nxt in zip(pieces, pieces[1:]))
@@ -69,4 +81,4 @@ def test_operator(spark):
     df = spark.createDataFrame(rows, "k BIGINT, t STRING, id INT, start_pos STRING")
     got = sorted(map(tuple, S.split_oversized(df, "k", "t").collect()))
     assert got == [(1, *p) for p in stated(long)]
-    assert S.split_oversized(df.where("k > 9"), "k", "t", method="bisect").collect() == []
+    assert S.split_oversized(df.where("k > 9"), "k", "t", method="even").collect() == []
