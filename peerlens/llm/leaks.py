@@ -3,9 +3,9 @@
 The symbols are words. Windows of item size (as many words as must be shared) are embedded by the CGK random walk:
 output step j repeats the current symbol, and a random bit of (j, symbol) decides whether the walk moves on. So edit
 distance becomes Hamming distance, and hashing a random sample of the output steps is a locality-sensitive hash. Each
-repetition has its own walk and its own sample. Equal windows collide in every repetition, so for exact windows one
-repetition already has recall 1; with edits, recall grows with the repetitions. Every collision is verified on the
-words themselves: equality, or a banded edit distance.
+repetition has its own walk and its own sample. Windows at distance 0 collide in every repetition; for windows at a
+greater distance the repetitions are as many as it takes to find the wanted share of simulated windows with the worst
+kind of edits. Every collision is verified by the exact edit distance of the two windows.
 
 The held-out windows are a stated query set: their number is checked, and beyond a bound they are worked off in
 blocks. The corpus is only streamed; it is never shuffled.
@@ -14,17 +14,21 @@ blocks. The corpus is only streamed; it is never shuffled.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import comb
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peerlens.llm.kernels import U64, Words, blocks, mix
+from peerlens.llm.kernels import U64, Words, mix, text_blocks
 
 #: Held-out items, and characters of their passages, that are sent to the workers at once.
 BLOCK_ITEMS, BLOCK_CHARS = 20_000, 50_000_000
+#: Repetitions at distance 0, where each has recall 1: a window must collide in all of them to be verified.
+EXACT_REPETITIONS = 2
+#: Simulated windows of each kind of edits, and repetitions tried on them.
+SIMULATED, MOST_REPETITIONS = 4_000, 256
 _TABLE_BITS = 22
 
 
@@ -48,82 +52,131 @@ def cgk_keys(hashes: np.ndarray, at: np.ndarray, size: int, repetition: int, sam
     return mix(key)
 
 
-def edit_distance(a: list[str], b: list[str], most: int) -> int:
-    """The number of word insertions, deletions and replacements, or most + 1 if there are more."""
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        if min(row) > most:
-            return most + 1
-    return min(row[-1], most + 1)
-
-
+def edit_distances(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """Word insertions, deletions and replacements between rows of a and b (windows of the same size), or most + 1 if
+    there are more: the banded recursion, for all rows at once."""
+    n, size = a.shape
+    if not most:
+        return (a != b).any(axis=1).astype(np.int64)
+    width, far = 2 * most + 1, most + 1
+    # row i of the table holds columns i - most .. i + most; those outside count as too far
+    row = np.full((n, width), far, dtype=np.int64)
+    row[:, most:] = np.minimum(np.arange(most + 1), far)
+    for i in range(1, size + 1):
+        new = np.full((n, width), far, dtype=np.int64)
+        for k in range(width):
+            j = i - most + k
+            if not 0 <= j <= size:
+                continue
+            best = np.full(n, far, dtype=np.int64) if j else np.full(n, min(i, far), dtype=np.int64)
+            if j:
+                best = row[:, k] + (a[:, i - 1] != b[:, j - 1])
+                if k:
+                    best = np.minimum(best, new[:, k - 1] + 1)
+            if k + 1 < width:
+                best = np.minimum(best, row[:, k + 1] + 1)
+            new[:, k] = np.minimum(best, far)
+        row = new
+    return row[:, most]
+
+
+@lru_cache(maxsize=16)
 def repetitions_for(size: int, edits: int, sampled: int, recall: float) -> int:
-    """Repetitions until a window with `edits` edits collides with probability `recall`, if each edit changes as many
-    output steps as it is expected to (about three a replaced word in the walk's aftermath)."""
+    """Repetitions until the share `recall` of simulated windows with `edits` edits has collided: as many as the worst
+    mixture of replacements and of insertions that each push a word out takes."""
     if not edits:
-        return 1
-    steps, changed = 2 * size, min(2 * size - sampled, 3 * edits)
-    hit = comb(steps - changed, sampled) / comb(steps, sampled)
-    return max(1, int(np.ceil(np.log(1 - recall) / np.log(1 - hit))))
+        return EXACT_REPETITIONS
+    random = np.random.default_rng(11)
+    rows = np.arange(SIMULATED)
+    left = random.integers(1, 1 << 63, (SIMULATED, size), dtype=np.uint64)
+    needed = 0
+    for moved in range(edits // 2 + 1):
+        right = left.copy()
+        for _ in range(moved):
+            out, into = random.integers(0, size, SIMULATED), random.integers(0, size, SIMULATED)
+            column = np.arange(size - 1)
+            short = np.take_along_axis(right, column + (column >= out[:, None]), axis=1)
+            long = np.take_along_axis(np.pad(short, ((0, 0), (0, 1))), np.arange(size) - (np.arange(size) > into[:, None]), axis=1)
+            long[rows, into] = random.integers(1, 1 << 63, SIMULATED, dtype=np.uint64)
+            right = long
+        for _ in range(edits - 2 * moved):
+            right[rows, random.integers(0, size, SIMULATED)] = random.integers(1, 1 << 63, SIMULATED, dtype=np.uint64)
+        found, tried = np.zeros(SIMULATED, dtype=bool), 0
+        while found.mean() < recall:
+            if tried >= MOST_REPETITIONS:
+                raise ValueError(f"windows of {size} words with {edits} edits don't reach a recall of {recall}: sample fewer steps than {sampled}")
+            found |= cgk_keys(left.ravel(), rows * size, size, tried, sampled) == cgk_keys(right.ravel(), rows * size, size, tried, sampled)
+            tried += 1
+        needed = max(needed, tried)
+    return needed
 
 
 class _Items:
     """The windows of a block of held-out items, by LSH key, for lookups in a worker."""
 
     def __init__(self, items: list[tuple[int, str]], size: int, edits: int, sampled: int, repetitions: int):
-        self.spelled: dict[str, list[int]] = {}
-        texts = [t for _, t in items]
-        words = Words(texts)
-        at = words.windows(size)
-        windows = [(words.spelled(i, size), items[d][0]) for i, d in zip(at, words.doc[at])]
-        for w, i in windows:
-            self.spelled.setdefault(w, []).append(i)
+        self.items, self.words = [i for i, _ in items], Words([t for _, t in items])
+        self.at = self.words.windows(size)
         self.tables = []
         for r in range(repetitions):
-            keys = cgk_keys(words.hashes, at, size, r, sampled)
+            keys = cgk_keys(self.words.hashes, self.at, size, r, sampled)
             order = np.argsort(keys, kind="stable")
             seen = np.zeros(1 << _TABLE_BITS, dtype=bool)
             seen[keys >> U64(64 - _TABLE_BITS)] = True
             self.tables.append((keys[order], order, seen))
-        self.windows, self.size, self.edits, self.sampled = windows, size, edits, sampled
-
-    def find(self, texts: list[str]) -> set[tuple[int, int]]:
-        """Pairs (index of the text, item)."""
+        self.size, self.edits, self.sampled = size, edits, sampled
+
+    def _collisions(self, words: Words, at: np.ndarray, r: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a window of `at` and an own window whose keys agree in repetition r."""
+        keys, order, seen = self.tables[r]
+        own = cgk_keys(words.hashes, at, self.size, r, self.sampled)
+        maybe = np.flatnonzero(seen[own >> U64(64 - _TABLE_BITS)])
+        lo, hi = np.searchsorted(keys, own[maybe], "left"), np.searchsorted(keys, own[maybe], "right")
+        n = hi - lo
+        rank = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return np.repeat(maybe, n), order[np.repeat(lo, n) + rank]
+
+    def find(self, texts: list[str]) -> dict[tuple[int, int], int]:
+        """(index of the text, item) with the smallest edit distance of their windows."""
         words = Words(texts)
         at = words.windows(self.size)
-        found: set[tuple[int, int]] = set()
-        for r, (keys, order, seen) in enumerate(self.tables):
-            if not len(keys) or not len(at):
-                break
-            own = cgk_keys(words.hashes, at, self.size, r, self.sampled)
-            maybe = np.flatnonzero(seen[own >> U64(64 - _TABLE_BITS)])
-            lo = np.searchsorted(keys, own[maybe], "left")
-            hi = np.searchsorted(keys, own[maybe], "right")
-            for m, a, b in zip(maybe[hi > lo], lo[hi > lo], hi[hi > lo]):
-                doc, text = int(words.doc[at[m]]), words.spelled(int(at[m]), self.size)
-                if not self.edits:
-                    found.update((doc, i) for i in self.spelled.get(text, ()))
-                    continue
-                for k in order[a:b]:
-                    other, item = self.windows[k]
-                    if (doc, item) not in found and edit_distance(text.split(), other.split(), self.edits) <= self.edits:
-                        found.add((doc, item))
-        return found
+        if not len(at) or not len(self.at):
+            return {}
+        if self.edits:
+            pairs = [self._collisions(words, at, r) for r in range(len(self.tables))]
+            mine, other = (np.concatenate(x) for x in zip(*pairs))
+            mine, other = np.divmod(np.unique(mine * len(self.at) + other), len(self.at))
+        else:
+            mine, other = np.arange(len(at)), None
+            for r in range(len(self.tables)):
+                hit, other = self._collisions(words, at[mine], r)
+                mine = mine[hit] if r + 1 == len(self.tables) else mine[np.unique(hit)]
+        best: dict[tuple[int, int], int] = {}
+        span = np.arange(self.size)
+        for s in range(0, len(mine), 20_000):
+            m, o = at[mine[s : s + 20_000]], self.at[other[s : s + 20_000]]
+            far = edit_distances(words.hashes[m[:, None] + span], self.words.hashes[o[:, None] + span], self.edits)
+            order = np.argsort(far, kind="stable")
+            order = order[far[order] <= self.edits]
+            doc, item = words.doc[m[order]], self.words.doc[o[order]]
+            _, first = np.unique(doc * len(self.items) + item, return_index=True)
+            for d, i, x, p, q in zip(doc[first].tolist(), item[first].tolist(), far[order[first]].tolist(), m[order[first]], o[order[first]]):
+                # equal hashes are checked on the words themselves
+                if x or words.spelled(int(p), self.size) == self.words.spelled(int(q), self.size):
+                    name = (d, self.items[i])
+                    best[name] = min(x, best.get(name, x))
+        return best
 
 
 def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, passage: str, words: int = 13, edits: int = 0, sampled: int | None = None, recall: float = 0.95, block_items: int = BLOCK_ITEMS) -> DataFrame:
-    """Documents and the held-out items of which they hold a window: doc id and item id (under their own names).
+    """Documents and the held-out items of which they hold a window: doc id and item id (under their own names), and
+    edits, the smallest edit distance found between windows of the two.
 
     With edits = 0 a document matches if it shares at least `words` consecutive words with the passage; exact, no
     miss and no false match. With edits > 0 a window of `words` words may differ from the item's by that many word
-    edits, and is found with probability `recall` or more. Words are longest runs of ASCII letters and digits of the
-    lower-cased text. Rows are distinct. Null, empty and shorter texts and passages match nothing; rows without id
-    are left out; repeated rows count once. Other columns are ignored, whatever their names.
+    edits, and is found with probability `recall` or more; matches are exact. Words are longest runs of ASCII letters
+    and digits of the lower-cased text. One row for each pair. Null, empty and shorter texts and passages match nothing;
+    rows without id are left out; repeated rows count once. Other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     sampled = sampled or (min(12, 2 * words) if edits else min(16, 2 * words))
@@ -142,11 +195,11 @@ def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             known = _Items(sent.value, words, edits, sampled, repetitions)
             for batch in batches:
-                ids, texts = batch.column(0), batch.column(1).to_pylist()
-                for a, b in blocks(texts):
-                    if pairs := sorted(known.find(texts[a:b])):
-                        yield pa.RecordBatch.from_arrays([ids.take(pa.array([a + d for d, _ in pairs])), pa.array([i for _, i in pairs])], ["id", "item"])
+                ids = batch.column(0)
+                for a, _, texts in text_blocks(batch.column(1)):
+                    if pairs := known.find(texts):
+                        yield pa.RecordBatch.from_arrays([ids.take(pa.array([a + d for d, _ in pairs])), pa.array([i for _, i in pairs]), pa.array(list(pairs.values()), pa.int32())], ["id", "item", "edits"])
 
-        found = left.mapInArrow(run, f"id {kinds[0]}, item {kinds[1]}")
+        found = left.mapInArrow(run, f"id {kinds[0]}, item {kinds[1]}, edits INT")
         out = found if out is None else out.unionAll(found)
-    return out.distinct().select(F.col("id").alias(doc_id), F.col("item").alias(item_id))
+    return out.groupBy("id", "item").agg(F.min("edits").alias("edits")).select(F.col("id").alias(doc_id), F.col("item").alias(item_id), "edits")

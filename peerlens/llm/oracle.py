@@ -63,6 +63,18 @@ x AS (SELECT doc_id, array_to_string(w[i : i + 12], ' ') AS s FROM (SELECT doc_i
 y AS (SELECT passage_id, array_to_string(w[i : i + 12], ' ') AS s FROM (SELECT passage_id, w, unnest(range(1, len(w) - 11)) AS i FROM p))
 SELECT DISTINCT doc_id, passage_id FROM x JOIN y USING (s)"""
 
+# two edits leave one of three blocks of eight words as it was, moved by one word at most
+P7_EDITED = f"""
+WITH d AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents WHERE text IS NOT NULL),
+p AS (SELECT passage_id, {_WORDS.format('passage')} AS w FROM eval_passages WHERE passage IS NOT NULL),
+x AS (SELECT doc_id, w[i : i + 23] AS b FROM (SELECT doc_id, w, unnest(range(1, len(w) - 22)) AS i FROM d)),
+y AS (SELECT passage_id, w[i : i + 23] AS a FROM (SELECT passage_id, w, unnest(range(1, len(w) - 22)) AS i FROM p)),
+gx AS (SELECT doc_id, b, k, array_to_string(b[k + s + 1 : k + s + 8], ' ') AS g FROM x, (VALUES (0), (8), (16)) v(k), (VALUES (-1), (0), (1)) u(s) WHERE k + s >= 0 AND k + s + 8 <= 24),
+gy AS (SELECT passage_id, a, k, array_to_string(a[k + 1 : k + 8], ' ') AS g FROM y, (VALUES (0), (8), (16)) v(k)),
+c AS (SELECT DISTINCT doc_id, passage_id, a, b FROM gx JOIN gy USING (k, g)),
+e AS (SELECT *, list_filter(range(1, 25), lambda i: a[i] <> b[i]) AS o FROM c)
+SELECT DISTINCT doc_id, passage_id FROM e WHERE len(o) <= 2 OR a[o[1] + 1 : o[-1]] = b[o[1] : o[-1] - 1] OR a[o[1] : o[-1] - 1] = b[o[1] + 1 : o[-1]]"""
+
 P5_SHARE = f"""
 WITH f AS ({P5}),
 s AS (SELECT row_id, CAST(sum(end_pos - start_pos) AS BIGINT) AS shared FROM f GROUP BY row_id),
@@ -71,4 +83,4 @@ SELECT row_id, n_chars, coalesce(shared, 0) AS shared_chars, CASE WHEN n_chars >
 
 P6 = "SELECT doc_id, md5(coalesce(text, '')) AS text_md5 FROM documents"
 
-SQL = {"p1_found": P1, "p2_found": P2, "p3_found": P3, "p3_bisect": P3_BISECT, "p4_found": P4, "p5_found": P5, "p5_share": P5_SHARE, "p6_round_trip": P6, "p7_found": P7}
+SQL = {"p1_found": P1, "p2_found": P2, "p3_found": P3, "p3_bisect": P3_BISECT, "p4_found": P4, "p5_found": P5, "p5_share": P5_SHARE, "p6_round_trip": P6, "p7_found": P7, "p7_edited": P7_EDITED}

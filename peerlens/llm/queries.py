@@ -58,12 +58,12 @@ def p6_round_trip(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return leaks.find_leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_passages"), "passage_id", "passage", 13)
+    return leaks.find_leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_passages"), "passage_id", "passage", 13).select("doc_id", "passage_id")
 
 
 def p7_edited(spark: SparkSession, d: str) -> DataFrame:
     """Windows of 24 words that differ in at most two words from a passage's."""
-    return leaks.find_leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_passages"), "passage_id", "passage", 24, edits=2)
+    return leaks.find_leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_passages"), "passage_id", "passage", 24, edits=2, sampled=8, recall=0.99).select("doc_id", "passage_id")
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
