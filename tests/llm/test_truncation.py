@@ -47,6 +47,18 @@ def test_copies_of_a_cut_text_do_not_vouch_for_it(spark):
     assert {20_000 + i for i in range(300)} <= got
 
 
+def test_thresholds_by_language_and_column(spark):
+    rows = [(lang, column, odds) for column, valley in (("a", -2.5), ("b", -0.5)) for lang in ("en", "de") for odds in [valley - 0.6 - i / 400 for i in range(500)] + [valley + 0.6 + i / 400 for i in range(900)]]
+    rows += [("xx", "a", 9.0), ("yy", "b", -1.0)]
+    got = {(r.lang, r.column): r.limit for r in T.thresholds(spark.createDataFrame(rows, "lang STRING, column STRING, odds DOUBLE")).collect()}
+    assert abs(got["en", "a"] + 2.5) <= 0.5 and abs(got["de", "b"] + 0.5) <= 0.5 and set(got) == {(x, c) for x in ("en", "de") for c in "ab"} | {("xx", "a"), ("yy", "b")}
+    texts, cut = corpus(5)
+    df = spark.createDataFrame([(i, t, t, x, s) for i, t, x, s in texts], "k BIGINT, t STRING, u STRING, l STRING, s STRING")
+    out = T.truncated(df, "k", ["t", "u"], "l", "s").collect()
+    assert {r.column for r in out} == {"t", "u"} and len(out) == 2 * len({r.id for r in out})
+    assert {r.id for r in out if r.cut and r.column == "t"} == {r.id for r in out if r.cut and r.column == "u"}
+
+
 def test_rates_and_empty(spark):
     rows, cut = corpus(3)
     df = spark.createDataFrame(rows, "k BIGINT, t STRING, l STRING, s STRING")
