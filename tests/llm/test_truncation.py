@@ -48,7 +48,7 @@ def test_copies_of_a_cut_text_do_not_vouch_for_it(spark):
 
 
 def test_thresholds_by_language_and_column(spark):
-    rows = [(lang, column, odds) for column, valley in (("a", -2.5), ("b", -0.5)) for lang in ("en", "de") for odds in [valley - 0.6 - i / 400 for i in range(500)] + [valley + 0.6 + i / 400 for i in range(900)]]
+    rows = [(lang, column, odds) for column, valley in (("a", -2.5), ("b", -0.5)) for lang in ("en", "de") for odds in [valley - 0.6 - i / 100 for i in range(500)] + [valley + 0.6 + i / 400 for i in range(900)]]
     rows += [("xx", "a", 9.0), ("yy", "b", -1.0)]
     got = {(r.lang, r.column): r.limit for r in T.thresholds(spark.createDataFrame(rows, "lang STRING, column STRING, odds DOUBLE")).collect()}
     assert abs(got["en", "a"] + 2.5) <= 0.5 and abs(got["de", "b"] + 0.5) <= 0.5 and set(got) == {(x, c) for x in ("en", "de") for c in "ab"} | {("xx", "a"), ("yy", "b")}
