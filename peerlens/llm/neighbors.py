@@ -1,7 +1,7 @@
 """Problem 1: the k most similar vectors of every vector, by a hierarchical k-means tree searched best bin first.
 
-1. The tree is fitted on a bounded sample (SAMPLE vectors at most, chosen by a hash of the id); its size is bounded
-   with it, so it can be sent to every worker.
+1. The tree is fitted on a bounded sample (SAMPLE vectors, of many rows one in SAMPLE_ONE_IN up to SAMPLE_MOST, chosen by
+   a hash of the id); its size is bounded with it, so it can be sent to every worker.
 2. Calibration: for a few hundred sampled vectors the true neighbours are found by brute force against all rows. A
    best-bin-first search keeps a priority queue of tree nodes by distance and visits leaves in that order. For each
    true pair it is known how far the search must be widened until one of the two vectors reaches the other's home
@@ -11,7 +11,9 @@
 3. Every row is indexed in its home leaf, and sent as a query to the further leaves that its search visits within the
    margin. A pair is found if either end visits the other's home, so few visits are needed.
 4. Each leaf compares its queries with its members by one matrix product. Pairs near the threshold are computed again
-   in double precision. Only the k best of each query leave the leaf; they are merged by Spark.
+   in double precision. Only the k best of each query leave the leaf; they are merged by Spark. A leaf that by the
+   sample holds more than PART rows is split into parts of that size by a hash of the vector: each part is a task's work
+   of its own, which the leaf's visitors and the members of the parts after it visit.
 
 Equal vectors are one entry with a list of ids, merged before the shuffle, so that a copy in a third of all rows
 neither fills a leaf nor squares its work.
@@ -28,8 +30,11 @@ from pyspark.sql import functions as F
 
 from peerlens.plans import shuffle_partitions
 
-#: Vectors that the tree is fitted on at most, and vectors that calibrate the search at first.
-SAMPLE, CALIBRATE = 65_536, 512
+#: Vectors that the tree is fitted on; of more than SAMPLE * SAMPLE_ONE_IN rows one in so many, up to SAMPLE_MOST. Leaves are
+#: kept under MOST_LEAF rows up to SAMPLE_MOST / 4 * MOST_LEAF, four billion rows; beyond that they grow with the table.
+SAMPLE, SAMPLE_ONE_IN, SAMPLE_MOST = 65_536, 2_000, 1 << 20
+#: Vectors that calibrate the search at first.
+CALIBRATE = 512
 #: Rows that are grouped by leaf at once before the shuffle.
 GROUPED = 32_768
 #: Queries that are searched at once, and nodes in all their queues.
@@ -38,6 +43,8 @@ SEARCHED, QUEUED = 4_096, 1 << 23
 VISITS, WRITTEN, VISITORS = 1 << 20, 1 << 25, 65_536
 #: Members of a leaf aimed at: LEAF_ROOT times the square root of the number of rows, within these bounds.
 LEAF_ROOT, LEAST_LEAF, MOST_LEAF = 3.3, 2_048, 16_384
+#: Rows of a part of a leaf.
+PART = 65_536
 _SLACK = 2e-5
 
 
@@ -83,33 +90,32 @@ class Tree:
         if not self.count[0]:
             z = np.zeros(len(q), dtype=np.int64)
             return np.arange(len(q)), z, z.astype(np.float32)
-        step = max(1, min(SEARCHED, QUEUED // self._queue(most)[1]))
+        step = max(1, min(SEARCHED, QUEUED // min(len(self.count), self._kept(most) * (min(most, self.leaves) + 6))))
         parts = [(s, *self._search(q[s : s + step], margin, most)) for s in range(0, max(1, len(q)), step)]
         return np.concatenate([r + s for s, r, _, _ in parts]), np.concatenate([x[2] for x in parts]), np.concatenate([x[3] for x in parts])
 
-    def _queue(self, most: int) -> tuple[int, int]:
-        """Children of a node that are queued at most, and the length of a queue. With as many visits as leaves, all
-        nodes fit."""
-        keep = min(most + 8, int(self.count.max()))
-        if most >= self.leaves:
-            return int(self.count.max()), len(self.count)
-        return keep, min(keep * (most + 6), len(self.count))
+    def _kept(self, most: int) -> int:
+        """Children of a node that are queued: each child that is popped leads to a visit at least, so that of more than
+        `most` of them the others are never reached."""
+        return min(most + 8, int(self.count.max()))
 
     @property
     def leaves(self) -> int:
         return int((self.count == 0).sum())
 
     def _search(self, q: np.ndarray, margin: float, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        n, (keep, width) = len(q), self._queue(most)
-        queue = np.full((n, width), np.inf, dtype=np.float32)
-        node = np.zeros((n, width), dtype=np.int32)
+        n, keep = len(q), self._kept(most)
+        queue = np.full((n, keep), np.inf, dtype=np.float32)
+        node = np.zeros((n, keep), dtype=np.int32)
         used = np.zeros(n, dtype=np.int64)
 
         def push(rows: np.ndarray, parent: int) -> None:
+            nonlocal queue, node
             first, k = self.first[parent], self.count[parent]
-            rows = rows[used[rows] + min(k, keep) <= width]
-            if not len(rows):
-                return
+            more = int(used[rows].max(initial=0)) + min(k, keep) - queue.shape[1]
+            if more > 0:
+                room = ((0, 0), (0, max(more, queue.shape[1] // 2)))
+                queue, node = np.pad(queue, room, constant_values=np.inf), np.pad(node, room)
             d, child = self.distances(q[rows], slice(first, first + k)), np.arange(first, first + k)[None, :]
             if k > keep:
                 child = np.argpartition(d, keep - 1, axis=1)[:, :keep]
@@ -181,26 +187,31 @@ def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _brute(sent, dim: int, k: int, least: float):
-    """The neighbours of the calibrating vectors within each batch: q, id, similarity, vector."""
+    """The best neighbours of the calibrating vectors within each partition: q, id, similarity, vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, queries = sent.value
         unit = _unit(queries)
+        best = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros((0, dim), np.float32)]
         for batch in batches:
             rows, x = _vectors(batch.column(1), dim)
             own = batch.column(0).to_numpy()[rows]
             every = _unit(x).T
-            near = [np.nonzero(unit[i : i + CALIBRATE] @ every >= least - _SLACK) for i in range(0, len(unit), CALIBRATE)]
-            q = np.concatenate([a + i * CALIBRATE for i, (a, _) in enumerate(near)])
-            r = np.concatenate([b for _, b in near])
-            sim = _cosines(queries[q], x[r])
-            keep = (sim >= least) & (ids[q] != own[r])
-            q, r, sim = q[keep], r[keep], sim[keep]
-            order = np.lexsort((own[r], -sim, q))
-            q, r, sim = q[order], r[order], sim[order]
-            top = _rank(q) < 2 * k  # an id may be there twice
-            q, r, sim = q[top], r[top], sim[top]
-            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(own[r]), pa.array(sim), pa.array([v.tobytes() for v in x[r]], pa.binary())], ["q", "id", "sim", "vec"])
+            for i in range(0, len(unit), CALIBRATE):
+                q, r = np.nonzero(unit[i : i + CALIBRATE] @ every >= least - _SLACK)
+                q += i
+                sim = _cosines(queries[q], x[r])
+                keep = (sim >= least) & (ids[q] != own[r])
+                q, other, sim, vec = (np.concatenate([a, b[keep]]) for a, b in zip(best, (q, own[r], sim, x[r])))
+                order = np.lexsort((other, -sim, q))
+                q, other, sim, vec = q[order], other[order], sim[order], vec[order]
+                new = np.ones(len(q), dtype=bool)
+                new[1:] = (q[1:] != q[:-1]) | (other[1:] != other[:-1]) | (sim[1:] != sim[:-1])
+                q, other, sim, vec = q[new], other[new], sim[new], vec[new]
+                top = _rank(q) < 2 * k  # an id may be there with different vectors
+                best = [q[top], other[top], sim[top], vec[top]]
+        q, other, sim, vec = best
+        yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(other), pa.array(sim), pa.array([v.tobytes() for v in vec], pa.binary())], ["q", "id", "sim", "vec"])
 
     return run
 
@@ -224,23 +235,38 @@ def _merge_equal(x: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return x[at], np.bincount(label[new], minlength=len(at)), ids[new]
 
 
+def _hashed(x: np.ndarray) -> np.ndarray:
+    """A number for each vector, the same for equal ones."""
+    bits = np.ascontiguousarray(x).view(np.uint32).astype(np.uint64)
+    mixed = (bits * (np.arange(1, x.shape[1] + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1))).sum(axis=1, dtype=np.uint64)
+    return ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(33)).astype(np.int64)
+
+
 def _spread(sent, dim: int):
-    """Rows to blocks of a leaf: members (home) and visitors."""
+    """Rows to blocks of a leaf (of a part of it, if it has several): members (home) and visitors."""
     kinds = (pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary())
 
     def blocks(ids: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
         x, count, ids = _merge_equal(x, ids)
         start = np.concatenate([[0], np.cumsum(count)])
-        step = max(1, VISITS // sent.value[2])
+        step = max(1, VISITS // (sent.value[2] + int(sent.value[3].max())))
         for s in range(0, len(x), step):
             yield from grouped(ids, x, count, start, s, min(len(x), s + step))
 
     def grouped(ids: np.ndarray, x: np.ndarray, count: np.ndarray, start: np.ndarray, s: int, e: int) -> Iterator[pa.RecordBatch]:
-        tree, margin, most = sent.value
+        tree, margin, most, parts = sent.value
         q, leaf, _ = tree.search(_unit(x[s:e]), margin, most)
         home = np.ones(len(q), dtype=bool)
         order = np.argsort(q, kind="stable")
         home[order] = _rank(q[order]) == 0
+        if parts.max() > 1:
+            # the member of a part visits the parts before it, a visitor all parts of the leaf
+            own = _hashed(x[s:e])[q] % parts[leaf]
+            n = np.where(home, own + 1, parts[leaf])
+            part = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            q, home, own = np.repeat(q, n), np.repeat(home, n), np.repeat(own, n)
+            home &= part == own
+            leaf = np.repeat((np.cumsum(parts) - parts)[leaf], n) + part
         order = np.lexsort((q, home, leaf))
         q, leaf, home = q[order] + s, leaf[order], home[order]
         key = leaf.astype(np.int64) * 2 + home
@@ -414,7 +440,7 @@ def _leaf_neighbours(dim: int, k: int, least: float):
     return run
 
 
-def nearest(df: DataFrame, id_col: str, vector_col: str, dim: int = 64, k: int = 10, least: float = 0.85, recall: float = 0.998, leaf_size: int | None = None, branch: int = 512, most: int = 8, sample: int = SAMPLE, calibrate: int = CALIBRATE) -> DataFrame:
+def nearest(df: DataFrame, id_col: str, vector_col: str, dim: int = 64, k: int = 10, least: float = 0.85, recall: float = 0.998, leaf_size: int | None = None, branch: int = 512, most: int = 8, sample: int | None = None, calibrate: int = CALIBRATE, part: int = PART) -> DataFrame:
     """For every vector its k most similar others: id, other, sim (cosine in double precision, rounded to 6 places).
 
     Ties go to the smaller id; of the k only those with sim >= least are rows. Vectors that are null, of another
@@ -428,6 +454,7 @@ def nearest(df: DataFrame, id_col: str, vector_col: str, dim: int = 64, k: int =
     rows = df.select(df[id_col].cast("bigint").alias("id"), df[vector_col].cast("array<float>").alias("vec")).where(f"id IS NOT NULL AND size(vec) = {dim}")
     n = max(1, df.count())
     leaf_size = leaf_size or int(min(MOST_LEAF, max(LEAST_LEAF, LEAF_ROOT * n**0.5)))
+    sample = sample or min(SAMPLE_MOST, max(SAMPLE, n // SAMPLE_ONE_IN))
     chance = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / (1 << 30)
     drawn = rows.withColumn("chance", chance).where(F.col("chance") < min(1.0, 0.95 * sample / n)).select("id", "vec", "chance").toArrow()
     at, x = _vectors(drawn.column("vec").combine_chunks(), dim)
@@ -436,7 +463,8 @@ def nearest(df: DataFrame, id_col: str, vector_col: str, dim: int = 64, k: int =
     ids, x, chance_of = ids[first], x[first], chance_of[first]
     tree = Tree.fit(_unit(x), max(4.0, leaf_size * len(x) / n), branch)
     margin, most = _calibrated(spark, rows, tree, ids, x, chance_of, dim, k, least, recall, most, calibrate) if tree.count[0] else (0.0, most)
-    sent = spark.sparkContext.broadcast((tree, margin, most))
+    parts = _parts(tree, x, n, part)
+    sent = spark.sparkContext.broadcast((tree, margin, most, parts))
     blocks = rows.mapInArrow(_spread(sent, dim), "leaf INT, home BOOLEAN, vecs BINARY, counts BINARY, ids BINARY")
     blocks = blocks.repartition(shuffle_partitions(spark), "leaf").sortWithinPartitions("leaf", F.desc("home"))
     found = blocks.mapInArrow(_leaf_neighbours(dim, k, least), "id BIGINT, other BIGINT, sim DOUBLE")
@@ -445,6 +473,13 @@ def nearest(df: DataFrame, id_col: str, vector_col: str, dim: int = 64, k: int =
     return merged.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _parts(tree: Tree, x: np.ndarray, n: int, size: int) -> np.ndarray:
+    """For each node the number of parts that its members are split into, by the share of the sample in it."""
+    _, leaf, _ = tree.search(_unit(x), 0.0, 1)
+    share = np.bincount(leaf, minlength=len(tree.count)) / max(1, len(x))
+    return np.maximum(1, np.ceil(share * n / size)).astype(np.int64)
+
+
 def _calibrated(spark, rows: DataFrame, tree: Tree, ids: np.ndarray, x: np.ndarray, chance: np.ndarray, dim: int, k: int, least: float, recall: float, most: int, calibrate: int) -> tuple[float, int]:
     """The margin within which the share `recall` of the true pairs of the calibrating vectors is found, and the leaves to
     visit at most for it. More vectors are drawn until there are enough pairs that one of them is the share left out; if
@@ -454,9 +489,10 @@ def _calibrated(spark, rows: DataFrame, tree: Tree, ids: np.ndarray, x: np.ndarr
     while pairs < enough and done < len(order):
         use = order[done : max(calibrate, 4 * done)]
         sent = spark.sparkContext.broadcast((ids[use], x[use]))
-        near = rows.mapInArrow(_brute(sent, dim, k, least), "q BIGINT, id BIGINT, sim DOUBLE, vec BINARY").toPandas()
-        near = near.drop_duplicates(["q", "id"]).sort_values(["q", "sim", "id"], ascending=[True, False, True])
-        near = near[near.groupby("q").cumcount() < k]
+        near = rows.mapInArrow(_brute(sent, dim, k, least), "q BIGINT, id BIGINT, sim DOUBLE, vec BINARY")
+        near = near.groupBy("q", "id").agg(F.max(F.struct("sim", "vec")).alias("s")).select("q", "id", "s.*")
+        w = Window.partitionBy("q").orderBy(F.desc("sim"), "id")
+        near = near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("q", "vec").toPandas()
         ends.append((x[use][near.q.to_numpy(dtype=np.int64)], np.frombuffer(b"".join(near.vec), np.float32).reshape(-1, dim)))
         done, pairs = done + len(use), pairs + len(near)
     if pairs < enough:

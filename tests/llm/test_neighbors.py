@@ -110,3 +110,24 @@ def test_few_true_pairs_are_found_all(spark):
     want = brute(rows, 32, 5, 0.85)
     assert len(want) >= 5
     assert pairs(spark, rows, dim=32, k=5, least=0.85, leaf_size=8, branch=128, calibrate=4) == want
+
+
+@pytest.mark.parametrize("leaf_size", [60, 2000])
+def test_leaves_in_parts(spark, leaf_size):
+    """Two thirds of the vectors are near copies, in leaves of many parts each."""
+    rng = np.random.default_rng(9)
+    x = np.concatenate([np.ones((600, 16)) + 0.2 * rng.normal(size=(600, 16)), rng.normal(size=(300, 16))]).astype(np.float32)
+    x[50:60] = x[0]
+    rows = list(enumerate(x))
+    want = brute(rows, 16, 5, 0.9)
+    got = pairs(spark, rows, dim=16, k=5, least=0.9, leaf_size=leaf_size, branch=8, part=25)
+    assert got == want if leaf_size == 2000 else len(want & got) >= 0.98 * len(want)
+
+
+def test_queue_grows():
+    x = N._unit(clustered(600, 8, 5))
+    tree = N.Tree.fit(x, 4, 3)
+    q, leaf, _ = tree.search(x[:20], np.inf, 6)
+    near = [np.argsort(((x[i] - tree.centroids[tree.count == 0]) ** 2).sum(axis=1))[:1] for i in range(20)]
+    assert (np.bincount(q) == 6).all() and len(near) == 20
+    assert all(len(set(leaf[q == i])) == 6 for i in range(20))
