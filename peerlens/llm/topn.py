@@ -1,12 +1,14 @@
 """Problem 2: the N best items of every group, by a loser-tree merge of sorted runs.
 
-Map side: Spark sorts each partition by bucket, group, descending score and item (external, spilling). Every Arrow
-batch of a sorted partition is a sorted run. From each run only the first N different items of each group are kept,
-which loses nothing, as an item outside the first N of a run can't be among the first N of all runs. So a group of
-any size sends at most N rows per run. What is left of a run is stored as one block for each bucket.
-
-Reduce side: the blocks of a bucket are merged by a loser tree. After N outputs of a group, every run seeks to its
-next group, without looking at the rows between.
+Map side: Spark sorts each partition by bucket, group, descending score and item (external, spilling); groups come in the
+order of a 64-bit hash. Every Arrow batch of a sorted partition is a sorted run. From each run only the first N
+different items of each group are kept, which loses nothing, as an item outside the first N of a run can't be among the
+first N of all runs. So a group of any size sends at most N rows per run. What is left of a run is stored in pages, each
+with its bucket and the hash of its first group.
+
+Reduce side: a task takes a bucket and reads its pages by the hash of their first groups. Before a page is opened, a
+loser tree merges the open ones up to that hash; after N outputs of a group, every run seeks to its next group, without
+looking at the rows between. So a task holds only pages that overlap, however large its bucket is.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from pyspark.sql import types as T
 from peerlens.plans import shuffle_partitions
 
 _END = (float("inf"),)
+#: Rows of a page.
+PAGE = 2_048
 
 
 class LoserTree:
@@ -75,91 +79,120 @@ def _changes(batch: pa.RecordBatch, names: Sequence[str]) -> np.ndarray:
 
 
 def _runs(n: int, groups: list[str]):
-    """Arrow batches of a sorted partition to blocks (bucket, run)."""
+    """Arrow batches of a sorted partition to pages (bucket, first, page)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            segment = np.cumsum(_changes(batch, ["bucket", *groups]))
+            segment = np.cumsum(_changes(batch, ["bucket", "hash", *groups]))
             item = batch.column("item").dictionary_encode().indices.to_numpy(zero_copy_only=False)
             new = ~pd.DataFrame({"s": segment, "i": item}).duplicated().to_numpy()
             counted = np.cumsum(new)
             first = np.flatnonzero(np.diff(segment, prepend=0))
             before = (counted - new)[first][segment - 1]
             kept = batch.filter(pa.array(new & (counted - before <= n)))
-            bucket = kept.column("bucket").to_numpy()
-            edges = [0, *(np.flatnonzero(np.diff(bucket)) + 1), len(bucket)]
-            body = kept.drop_columns(["bucket"])
+            bucket, body = kept.column("bucket").to_numpy(), kept.drop_columns(["bucket"])
+            edges = np.union1d(np.flatnonzero(np.diff(bucket, prepend=-1)), np.arange(0, len(bucket), PAGE))
             out = []
-            for a, b in zip(edges, edges[1:]):
+            for a, b in zip(edges, [*edges[1:], len(bucket)]):
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, body.schema) as w:
                     w.write_batch(body.slice(a, b - a))
                 out.append(sink.getvalue().to_pybytes())
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[edges[:-1]], pa.int32()), pa.array(out, pa.binary())], ["bucket", "run"])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[edges], pa.int32()), kept.column("hash").take(pa.array(edges)), pa.array(out, pa.binary())], ["bucket", "first", "page"])
 
     return run
 
 
-def merge_runs(runs: list[pa.Table], n: int, groups: list[str]) -> pa.Table:
-    """The first n different items of each group over all runs, with their rank. A run has its groups together and each
-    group's rows in descending score, then ascending item."""
-    every = pa.concat_tables(runs).combine_chunks()
-    segments = [np.flatnonzero(_changes(t.to_batches()[0], groups)) for t in (r.combine_chunks() for r in runs)]
-    offsets = np.cumsum([0, *(r.num_rows for r in runs)])
-    heads = every.select(groups).take(np.concatenate([s + o for s, o in zip(segments, offsets)]))
-    codes: dict[tuple, int] = {}
-    head_codes = [codes.setdefault(key, len(codes)) for key in zip(*(heads.column(g).to_pylist() for g in groups))]
-    score = (-every.column("score").to_numpy()).tolist()
-    item = every.column("item").to_pylist()
-    queues, at = [], 0
-    for s, lo, hi in zip(segments, offsets, offsets[1:]):
-        ends = np.append(s[1:] + lo, hi)
-        queues.append(sorted(zip(head_codes[at : at + len(s)], (s + lo).tolist(), ends.tolist()), reverse=True))
-        at += len(s)
-    position, end, code = [0] * len(runs), [0] * len(runs), [0] * len(runs)
-
-    def seek(r: int) -> tuple | None:
-        """Moves run r to the start of its next group."""
-        if not queues[r]:
-            return None
-        code[r], position[r], end[r] = queues[r].pop()
-        return code[r], score[position[r]], item[position[r]]
-
-    tree = LoserTree([seek(r) for r in range(len(runs))])
-    rows, ranks, current, taken = [], [], -1, set()
-    while not tree.done:
-        r = tree.winner
-        if code[r] != current:
-            current, taken = code[r], set()
-        p = position[r]
-        if len(taken) < n:
-            if item[p] not in taken:
-                taken.add(item[p])
-                rows.append(p)
-                ranks.append(len(taken))
-            p += 1
-            if p < end[r]:
-                position[r] = p
-                tree.replay((current, score[p], item[p]))
-                continue
-        tree.replay(seek(r))
-    return every.take(pa.array(rows, pa.int64())).append_column("rank", pa.array(ranks, pa.int32()))
+class _Page:
+    """A page that is being merged: its groups, last first, and where it stands."""
+
+    def __init__(self, rows: pa.RecordBatch, groups: list[str], codes: dict[int, dict[tuple, int]]):
+        first = np.flatnonzero(_changes(rows, ["hash", *groups]))
+        heads = rows.take(pa.array(first))
+        self.score, self.item = (-rows.column("score").to_numpy()).tolist(), rows.column("item").to_pylist()
+        todo = []
+        for h, a, b, *group in zip(heads.column("hash").to_pylist(), first.tolist(), [*first[1:].tolist(), rows.num_rows], *(heads.column(g).to_pylist() for g in groups)):
+            known = codes.setdefault(h, {})
+            todo.append((h, known.setdefault(tuple(group), len(known)), a, b, tuple(group)))
+        self.todo = sorted(todo, key=lambda x: x[:2], reverse=True)
+        self.seek()
+
+    def seek(self) -> tuple | None:
+        """Goes to the start of the next group; the key of its first row."""
+        if not self.todo:
+            self.key = None
+        else:
+            self.hash, self.code, self.at, self.end, self.group = self.todo.pop()
+            self.key = (self.hash, self.code, self.score[self.at], self.item[self.at])
+        return self.key
+
+    def step(self) -> tuple | None:
+        """Goes to the next row."""
+        self.at += 1
+        if self.at == self.end:
+            return self.seek()
+        self.key = (self.hash, self.code, self.score[self.at], self.item[self.at])
+        return self.key
+
+
+class Merger:
+    """The first n different items of each group over pages that are added by the hash of their first group."""
+
+    def __init__(self, n: int, groups: list[str]):
+        self.n, self.groups = n, groups
+        self.open: list[_Page] = []
+        self.codes: dict[int, dict[tuple, int]] = {}
+
+    def add(self, rows: pa.RecordBatch) -> None:
+        self.open.append(_Page(rows, self.groups, self.codes))
+
+    def before(self, limit: float) -> Iterator[tuple]:
+        """Rows (*group, item, score, rank) of all groups with a hash below the limit."""
+        if not any(p.key[0] < limit for p in self.open):
+            return
+        tree = LoserTree([p.key for p in self.open])
+        current, taken = None, set()
+        while not tree.done and tree.keys[tree.winner][0] < limit:
+            page = self.open[tree.winner]
+            if (page.hash, page.code) != current:
+                if current and page.hash != current[0]:
+                    self.codes.pop(current[0], None)
+                current, taken = (page.hash, page.code), set()
+            if len(taken) < self.n:
+                if (item := page.item[page.at]) not in taken:
+                    taken.add(item)
+                    yield (*page.group, item, -page.score[page.at], len(taken))
+                tree.replay(page.step())
+            else:
+                tree.replay(page.seek())
+        if current:
+            self.codes.pop(current[0], None)
+        self.open = [p for p in self.open if p.key is not None]
 
 
 def _merge(n: int, groups: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, held = None, []
+        bucket, merger, rows = None, Merger(n, groups), []
+        schema = None
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
         for batch in batches:
-            for bucket, block in zip(batch.column("bucket").to_pylist(), batch.column("run")):
-                if bucket != current and held:
-                    yield from merge_runs(held, n, groups).to_batches()
-                    held = []
-                current = bucket
-                held.append(pa.ipc.open_stream(block.as_buffer()).read_all())
-        if held:
-            yield from merge_runs(held, n, groups).to_batches()
+            for at, first, page in zip(batch.column("bucket").to_pylist(), batch.column("first").to_pylist(), batch.column("page")):
+                body = pa.ipc.open_stream(page.as_buffer()).read_next_batch()
+                schema = schema or pa.schema([*(body.schema.field(g) for g in groups), body.schema.field("item"), body.schema.field("score"), pa.field("rank", pa.int32())])
+                rows += merger.before(first if at == bucket else float("inf"))
+                bucket = at
+                merger.add(body)
+                if len(rows) >= 10_000:
+                    yield batch_of(rows)
+                    rows = []
+        rows += merger.before(float("inf"))
+        if rows:
+            yield batch_of(rows)
 
     return run
 
@@ -180,11 +213,11 @@ def top_n_per_group(df: DataFrame, group_cols: Sequence[str | Column], item: str
     rows = df.select(*(col(c).alias(g) for c, g in zip(group_cols, groups)), col(item).alias("item"), col(score).cast("double").alias("score"))
     rows = rows.where("item IS NOT NULL AND score IS NOT NULL AND NOT isnan(score)").withColumn("score", F.col("score") + F.lit(0.0))
     buckets = shuffle_partitions(df.sparkSession)
-    rows = rows.withColumn("bucket", F.pmod(F.hash(*groups), F.lit(buckets)))
-    ordered = rows.sortWithinPartitions("bucket", *groups, F.desc("score"), "item")
-    blocks = ordered.mapInArrow(_runs(n, groups), "bucket INT, run BINARY")
+    rows = rows.withColumn("hash", F.xxhash64(*groups)).withColumn("bucket", F.pmod("hash", F.lit(buckets)).cast("int"))
+    ordered = rows.sortWithinPartitions("bucket", "hash", *groups, F.desc("score"), "item")
+    pages = ordered.mapInArrow(_runs(n, groups), "bucket INT, first BIGINT, page BINARY")
     schema = T.StructType([*(rows.schema[g] for g in groups), rows.schema["item"], rows.schema["score"], T.StructField("rank", T.IntegerType())])
-    merged = blocks.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_merge(n, groups), schema)
+    merged = pages.repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "first").mapInArrow(_merge(n, groups), schema)
     return merged.select(*(F.col(g).alias(x) for g, x in zip(groups, names)), "item", "score", "rank")
 
 

@@ -1,5 +1,7 @@
 import random
 
+import pyarrow as pa
+
 from peerlens.llm import topn as T
 
 
@@ -49,6 +51,27 @@ def test_small_batches_are_runs(spark):
     assert got == brute(rows, 7)
 
 
+def test_pages_are_merged_as_they_come():
+    """Pages by the hash of their first group, with groups of one hash and groups over several pages of a run."""
+    rng = random.Random(5)
+    rows = [((rng.randrange(40), rng.choice(["a", None])), rng.randrange(60), float(rng.randrange(9))) for _ in range(4000)]
+    pages = []
+    for r in range(9):
+        run = sorted((g[0] // 3, str(g[1]), g[0], g, -s, i) for g, i, s in rows[r::9])
+        for a in range(0, len(run), 17):
+            part = run[a : a + 17]
+            columns = [[x[0] for x in part], [x[3][0] for x in part], [x[3][1] for x in part], [x[5] for x in part], [-x[4] for x in part]]
+            pages.append((part[0][0], pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1]), pa.array(columns[2], pa.string()), pa.array(columns[3]), pa.array(columns[4], pa.float64())], ["hash", "g0", "g1", "item", "score"])))
+    merger, out, most = T.Merger(7, ["g0", "g1"]), [], 0
+    for first, page in sorted(pages, key=lambda x: x[0]):
+        out += merger.before(first)
+        merger.add(page)
+        most = max(most, len(merger.open))
+    out += merger.before(float("inf"))
+    assert {((a, b), i, k) for a, b, i, _, k in out} == brute(rows, 7) and len(out) == len(set(out))
+    assert most < len(pages) / 3 and not merger.open and not merger.codes
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "g INT, i STRING, s DOUBLE")
     assert T.top_n_per_group(df, ["g"], "i", "s", 3).collect() == []
