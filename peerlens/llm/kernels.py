@@ -97,26 +97,21 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def blocks(texts: Sequence[str], limit: int = BLOCK_CHARS) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of at most `limit` characters together; a longer text stands alone."""
-    begin, total = 0, 0
-    for i, t in enumerate(texts):
-        if i > begin and total + len(t) > limit:
-            yield begin, i
-            begin, total = i, 0
-        total += len(t)
-    if begin < len(texts):
-        yield begin, len(texts)
+def ranges(sizes: np.ndarray, limit: int = BLOCK_CHARS) -> Iterator[tuple[int, int]]:
+    """Ranges of entries whose sizes are at most `limit` together; a larger entry stands alone."""
+    total = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    a = 0
+    while a < len(sizes):
+        b = max(a + 1, int(np.searchsorted(total, total[a] + limit, "right")) - 1)
+        yield a, b
+        a = b
 
 
 def text_blocks(column: pa.Array, limit: int = BLOCK_CHARS) -> Iterator[tuple[int, int, list[str]]]:
-    """Ranges of a column of texts without nulls, as in `blocks`, with their texts; only these are held as strings."""
-    total = np.concatenate([[0], np.cumsum(pc.utf8_length(column).to_numpy(zero_copy_only=False), dtype=np.int64)])
-    a = 0
-    while a < len(column):
-        b = max(a + 1, int(np.searchsorted(total, total[a] + limit, "right")) - 1)
+    """Ranges of a column of texts without nulls of at most `limit` characters together, with their texts; only these
+    are held as strings."""
+    for a, b in ranges(pc.utf8_length(column).to_numpy(zero_copy_only=False), limit):
         yield a, b, column.slice(a, b - a).to_pylist()
-        a = b
 
 
 class Words:

@@ -16,15 +16,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peerlens.llm.kernels import BASE, U64, Words, blocks, mix, prefix_hash, span_hash
+from peerlens.llm.kernels import BASE, U64, Words, mix, prefix_hash, ranges, span_hash, text_blocks
 from peerlens.plans import shuffle_partitions, stage
 
 SAMPLES, BITS = 256, 1024
 #: Members of a key that are compared with each other in one step.
-BLOCK = 512
+BLOCK = 2_048
+#: Pairs within small keys, and their bytes of sketches, that are compared at once.
+PAIRED, SMALL = 50_000, 32
 #: Copies that are all named in pairs; of more copies each is paired with the first one only.
 EXPAND = 32
 
@@ -43,18 +46,20 @@ def min_hashes(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(sample: np.ndarray, rows: int) -> np.ndarray:
-    bands = sample[: SAMPLES // rows * rows].reshape(-1, rows)
-    key = np.arange(1, len(bands) + 1, dtype=U64) * U64(0xC2B2AE3D27D4EB4F)
+def band_keys(samples: np.ndarray, rows: int) -> np.ndarray:
+    """The band keys of each row of samples."""
+    bands = samples[:, : SAMPLES // rows * rows].reshape(len(samples), SAMPLES // rows, rows)
+    key = np.broadcast_to(np.arange(1, bands.shape[1] + 1, dtype=U64) * U64(0xC2B2AE3D27D4EB4F), bands.shape[:2])
     for r in range(rows):
-        key = mix(key * U64(BASE) + bands[:, r])
+        key = mix(key * U64(BASE) + bands[:, :, r])
     return key
 
 
-def odd_sketch(sample: np.ndarray) -> np.ndarray:
-    """The parity bitmap of the samples, packed in bytes."""
-    bit = mix(sample ^ (np.arange(1, SAMPLES + 1, dtype=U64) * U64(0x165667B19E3779F9))) % U64(BITS)
-    return np.packbits((np.bincount(bit.astype(np.int64), minlength=BITS) & 1).astype(np.uint8))
+def odd_sketches(samples: np.ndarray) -> np.ndarray:
+    """The parity bitmap of each row of samples, packed in bytes."""
+    bit = (mix(samples ^ (np.arange(1, SAMPLES + 1, dtype=U64) * U64(0x165667B19E3779F9))) % U64(BITS)).astype(np.int64)
+    flips = np.bincount((bit + np.arange(len(samples))[:, None] * BITS).ravel(), minlength=len(samples) * BITS)
+    return np.packbits((flips & 1).astype(np.uint8).reshape(len(samples), BITS), axis=1)
 
 
 def differing_bits(similarity: float) -> float:
@@ -72,28 +77,27 @@ def sketch_limit(threshold: float) -> int:
 def _features(shingle: int, least_words: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts, copies = batch.column(0), batch.column(1).to_pylist(), batch.column(2)
-            for a, b in blocks(texts):
-                w = Words(texts[a:b])
+            ids, copies = batch.column(0), batch.column(2)
+            for a, b, texts in text_blocks(batch.column(1)):
+                w = Words(texts)
                 h, doc = w.shingles(shingle)
                 first = np.searchsorted(doc, np.arange(b - a + 1))
                 use = np.flatnonzero(np.diff(w.first) >= max(least_words, shingle))
                 one, two = prefix_hash(w.hashes), prefix_hash(mix(w.hashes ^ U64(BASE)))
                 lo, hi = w.first[use], w.first[use + 1]
-                keys, sketches = [], []
-                for d in use:
-                    sample = min_hashes(np.unique(h[first[d] : first[d + 1]]))
-                    keys.append(band_keys(sample, rows).view(np.int64))
-                    sketches.append(odd_sketch(sample).tobytes())
-                each = SAMPLES // rows
-                flat = np.concatenate(keys) if keys else np.zeros(0, dtype=np.int64)
+                samples = np.empty((len(use), SAMPLES), dtype=U64)
+                for i, d in enumerate(use):
+                    samples[i] = min_hashes(h[first[d] : first[d + 1]])
+                each, sketches = SAMPLES // rows, odd_sketches(samples)
+                flat = band_keys(samples, rows).view(np.int64).ravel()
+                at = np.arange(len(use) + 1, dtype=np.int32) * (BITS // 8)
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.take(pa.array(use + a)),
                         pa.array(span_hash(one, lo, hi).view(np.int64)),
                         pa.array(span_hash(two, lo, hi).view(np.int64)),
                         pa.ListArray.from_arrays(pa.array(np.arange(len(use) + 1, dtype=np.int32) * each), pa.array(flat)),
-                        pa.array(sketches, pa.binary()),
+                        pa.Array.from_buffers(pa.binary(), len(use), [None, pa.py_buffer(at), pa.py_buffer(sketches)]),
                         copies.take(pa.array(use + a)),
                     ],
                     ["id", "name1", "name2", "keys", "sketch", "copy"],
@@ -112,62 +116,88 @@ def _close(a: np.ndarray, b: np.ndarray, limit: int) -> tuple[np.ndarray, np.nda
     return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
 
 
-def _compare(limit: int):
-    """Rows sorted by (key, i, j), with the block of each row, to pairs of ids with close sketches."""
-
-    def pairs(rows: list[tuple], i: int, j: int) -> Iterator[tuple]:
-        left, right = [r for r in rows if r[0] == i], [r for r in rows if r[0] == j]
-        if not left or not right:
-            return
-        a, b = (np.frombuffer(b"".join(r[2] for r in side), dtype=np.uint64).reshape(len(side), -1) for side in (left, right))
-        for x, y in zip(*_close(a, b, limit)):
-            p, q = left[x][1], right[y][1]
-            if p < q:
-                yield p, q
-            elif i != j and q < p:
-                yield q, p
+def _within(sketches: np.ndarray, first: np.ndarray, size: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs within many small groups of rows whose sketches differ in at most `limit` bits."""
+    out = []
+    for m in np.unique(size):
+        x, y = np.triu_indices(m, 1)
+        start = first[size == m]
+        step = max(1, PAIRED // len(x))
+        for s in range(0, len(start), step):
+            a, b = ((start[s : s + step, None] + side).ravel() for side in (x, y))
+            near = np.bitwise_count(sketches[a] ^ sketches[b]).sum(axis=1, dtype=np.int32) <= limit
+            out.append((a[near], b[near]))
+    return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-        kind = None
 
-        def flush(out: list) -> None:
-            if len(held) > 1:
-                out.extend(pairs(held, now[1], now[2]))
+def _compare(limit: int):
+    """Rows sorted by (key, i, j), with the block of each row, to pairs of ids with close sketches. A pair of blocks is
+    compared as a whole; what a batch ends with waits for the rest of it."""
+
+    def pairs(rows: pa.Table) -> pa.RecordBatch:
+        ids = rows.column("id").combine_chunks()
+        key, i, j, block = (rows.column(c).to_numpy() for c in ("key", "i", "j", "block"))
+        sketches = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(len(key), -1)
+        first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+        size = np.diff(np.append(first, len(key)))
+        small = (size > 1) & (size <= SMALL) & (i[first] == j[first])
+        found = [_within(sketches, first[small], size[small], limit)] if small.any() else []
+        for f, n in zip(first[(size > 1) & ~small], size[(size > 1) & ~small]):
+            own = np.arange(f, f + n)
+            left, right = own[block[f : f + n] == i[f]], own[block[f : f + n] == j[f]]
+            if len(left) and len(right):
+                x, y = _close(sketches[left], sketches[right], limit)
+                found.append((left[x], right[y]))
+        x, y = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+        code = pc.rank(ids, tiebreaker="dense").to_numpy().astype(np.int64)
+        swap = code[x] > code[y]
+        x, y = np.where(swap, y, x), np.where(swap, x, y)
+        _, one = np.unique(code[x] * (len(ids) + 1) + code[y], return_index=True)
+        one = one[code[x[one]] != code[y[one]]]
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(x[one])), ids.take(pa.array(y[one]))], ["a", "b"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            kind, out = batch.schema.field("id").type, []
-            columns = [batch.column(n).to_pylist() for n in ("key", "i", "j", "block", "id", "sketch")]
-            for key, i, j, block, id_, sketch in zip(*columns):
-                if (key, i, j) != now:
-                    flush(out)
-                    now, held = (key, i, j), []
-                held.append((block, id_, sketch))
-            out = list(dict.fromkeys(out))
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], kind), pa.array([q for _, q in out], kind)], ["a", "b"])
+            if not batch.num_rows:
+                continue
+            same = np.ones(batch.num_rows, dtype=bool)
+            for c in ("key", "i", "j"):
+                of = batch.column(c).to_numpy()
+                same &= of == of[-1]
+            cut = batch.num_rows - int(np.argmin(same[::-1])) if not same.all() else 0
+            whole = held and any(held[-1].column(c)[-1] != batch.column(c)[0] for c in ("key", "i", "j"))
+            if cut or whole:
+                yield pairs(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = []
+            held.append(batch.slice(cut))
         if held:
-            flush(out := [])
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], kind), pa.array([q for _, q in out], kind)], ["a", "b"])
+            yield pairs(pa.Table.from_batches(held))
 
     return run
 
 
 def _verify(shingle: int, threshold: float):
+    """Pairs whose sets of shingles have the similarity; each text of a block is taken apart once."""
     over, under = round(threshold * 1_000_000), 1_000_000
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ta, tb = batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist()
-            keep = np.zeros(len(ta), dtype=bool)
-            for a, b in blocks([x + y for x, y in zip(ta, tb)]):
-                n = b - a
-                h, doc = Words(ta[a:b] + tb[a:b]).shingles(shingle)
-                first = np.searchsorted(doc, np.arange(2 * n + 1))
-                for k in range(n):
-                    x, y = np.unique(h[first[k] : first[k + 1]]), np.unique(h[first[n + k] : first[n + k + 1]])
+            n = batch.num_rows
+            keep = np.zeros(n, dtype=bool)
+            weight = pc.add(pc.utf8_length(batch.column("text_a")), pc.utf8_length(batch.column("text_b"))).to_numpy(zero_copy_only=False)
+            for s, e in ranges(weight):
+                ids = pa.chunked_array([batch.column(c).slice(s, e - s) for c in ("a", "b")]).combine_chunks().dictionary_encode().indices.to_numpy()
+                texts = pa.chunked_array([batch.column(c).slice(s, e - s) for c in ("text_a", "text_b")]).combine_chunks()
+                _, first, of = np.unique(ids, return_index=True, return_inverse=True)
+                h, doc = Words(texts.take(pa.array(first)).to_pylist()).shingles(shingle)
+                edges = np.searchsorted(doc, np.arange(len(first) + 1))
+                sets = [np.unique(h[a:b]) for a, b in zip(edges, edges[1:])]
+                for k in range(e - s):
+                    x, y = sets[of[k]], sets[of[e - s + k]]
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     union = len(x) + len(y) - both
-                    keep[a + k] = union > 0 and both * under >= over * union
+                    keep[s + k] = union > 0 and both * under >= over * union
             yield batch.filter(pa.array(keep)).select(["a", "b"])
 
     return run

@@ -15,9 +15,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from peerlens.llm.kernels import blocks
+from peerlens.llm.kernels import text_blocks
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json", folder: str | None = None) -> str:
@@ -66,8 +67,8 @@ def decode_ids(ids: list[int], path: str, errors: str = "replace") -> str:
 
 def _lists(rows: list[list[int]]) -> pa.Array:
     offsets = np.zeros(len(rows) + 1, dtype=np.int32)
-    np.cumsum([len(r) for r in rows], out=offsets[1:])
-    flat = np.fromiter((i for r in rows for i in r), dtype=np.int32, count=int(offsets[-1]))
+    np.cumsum(np.fromiter(map(len, rows), np.int32, len(rows)), out=offsets[1:])
+    flat = np.concatenate([np.asarray(r, dtype=np.int32) for r in rows]) if rows else np.zeros(0, np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
@@ -83,9 +84,8 @@ def encode(df: DataFrame, id_col: str, text_col: str, path: str | None = None, o
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load(path)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in blocks(texts, block_chars):
-                coded = (tokenizer.encode_batch if offsets else tokenizer.encode_batch_fast)(texts[a:b], add_special_tokens=False)
+            for a, b, texts in text_blocks(pc.fill_null(batch.column(1), ""), block_chars):
+                coded = (tokenizer.encode_batch if offsets else tokenizer.encode_batch_fast)(texts, add_special_tokens=False)
                 columns = [batch.column(0).slice(a, b - a), _lists([e.ids for e in coded])]
                 if offsets:
                     columns += [_lists([[o[k] for o in e.offsets] for e in coded]) for k in (0, 1)]

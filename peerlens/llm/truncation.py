@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from peerlens.llm.kernels import U64, blocks, char_values, code_points, mix, prefix_hash, span_hash
+from peerlens.llm.kernels import U64, char_values, code_points, mix, prefix_hash, ranges, span_hash
 from peerlens.plans import stage
 
 ORDERS = (2, 3, 4, 6, 8, 10)
@@ -109,7 +109,7 @@ def _tally(sent, bits: int):
         bitmap, classes, folded = sent.value, _classes(), _folded()
         for batch in batches:
             texts = [bare(t) for t in batch.column("text").to_pylist()]
-            for x, y in blocks(texts, 1_000_000):
+            for x, y in ranges(np.fromiter(map(len, texts), np.int64, len(texts)), 1_000_000):
                 codes, starts = code_points(texts[x:y])
                 kind = classes[codes]
                 prefix = prefix_hash(char_values()[folded[codes]])

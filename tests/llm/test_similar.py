@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from peerlens.llm import similar as S
@@ -83,6 +84,24 @@ def test_blocks_of_a_hot_key(spark, monkeypatch):
     assert run(spark, rows, shingle=3, threshold=0.6) == brute(rows, 3, 0.6, 20)
 
 
+def test_pairs_of_blocks_over_batches():
+    """Small and large keys, keys in blocks, and batches that end anywhere."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 256, (12, S.BITS // 8), dtype=np.uint8)
+    rows, want = [], set()
+    for key in range(60):
+        n = int(rng.choice([1, 2, 3, 40, 70]))
+        of, ids, parts = rng.integers(0, 12, n), rng.permutation(500)[:n], 3 if n == 70 else 1
+        want |= {(min(a, b), max(a, b)) for a, x in zip(ids.tolist(), of) for b, y in zip(ids.tolist(), of) if x == y and a != b}
+        rows += [(key, min(b, o), max(b, o), b, int(i), base[x].tobytes()) for x, i in zip(of, ids) for b in [int(i) % parts] for o in range(parts)]
+    rows.sort(key=lambda r: r[:3])
+    columns = ["key", "i", "j", "block", "id", "sketch"]
+    for size in (7, 64, 10_000):
+        batches = [pa.RecordBatch.from_pylist([dict(zip(columns, r)) for r in rows[a : a + size]]) for a in range(0, len(rows), size)]
+        got = [(r["a"], r["b"]) for out in S._compare(10)(batches) for r in out.to_pylist()]
+        assert set(got) == want
+
+
 def test_empty(spark):
     assert run(spark, []) == set()
 
@@ -93,7 +112,7 @@ def test_sketch_estimates():
     for j in (0.6, 0.8, 0.95):
         both = int(round(2000 * j / (1 + j)))
         b = np.concatenate([a[:both], rng.integers(0, 1 << 63, 1000 - both, dtype=np.uint64)])
-        x, y = (S.odd_sketch(S.min_hashes(s)) for s in (a, b))
+        x, y = S.odd_sketches(np.stack([S.min_hashes(s) for s in (a, b)]))
         bits = int(np.unpackbits(x ^ y).sum())
         assert abs(bits - S.differing_bits(j)) < 50
         assert bits <= S.sketch_limit(0.6)
