@@ -81,6 +81,21 @@ s AS (SELECT row_id, CAST(sum(end_pos - start_pos) AS BIGINT) AS shared FROM f G
 r AS (SELECT row_id, max(length(text_content)) AS n_chars FROM filing_item GROUP BY row_id)
 SELECT row_id, n_chars, coalesce(shared, 0) AS shared_chars, CASE WHEN n_chars > 0 THEN round(coalesce(shared, 0) / n_chars, 6) END AS share FROM r LEFT JOIN s USING (row_id)"""
 
+_BLANK, _ANY = r"(?:\r\n|\r|\n)[ \t]*(?:\r\n|\r|\n)[ \t\r\n]*", r"[^\t\n\x0B\f\r \x{1c}-\x{1f}\x{85}\p{Z}]"
+
+P5_PARAGRAPHS = f"""
+WITH RECURSIVE t AS (SELECT DISTINCT row_id, regexp_split_to_array(text_content, '{_BLANK}') AS p, list_append(regexp_extract_all(text_content, '{_BLANK}'), '') AS s FROM filing_item WHERE text_content IS NOT NULL),
+q AS (SELECT row_id, i, p[i] AS text, CAST(coalesce(list_sum(list_transform(range(1, i), lambda k: length(p[k]) + length(s[k]))), 0) AS BIGINT) AS start_pos FROM (SELECT *, unnest(range(1, len(p) + 1)) AS i FROM t)),
+g AS (SELECT row_id, CAST(row_number() OVER (PARTITION BY row_id ORDER BY i) - 1 AS INT) AS paragraph, start_pos, start_pos + length(text) AS end_pos, text FROM q WHERE regexp_matches(text, '{_ANY}')),
+n AS (SELECT *, row_id || ':' || paragraph AS name, {_WORDS.format('text')} AS w FROM g),
+sh AS (SELECT DISTINCT name, array_to_string(w[i : i + 4], ' ') AS x FROM (SELECT name, w, unnest(range(1, len(w) - 3)) AS i FROM n WHERE len(w) >= 20)),
+c AS (SELECT name, count(*) AS c FROM sh GROUP BY name),
+b AS (SELECT l.name AS a, r.name AS b, count(*) AS n_both FROM sh l JOIN sh r ON l.x = r.x AND l.name <> r.name GROUP BY ALL),
+e AS (SELECT a, b FROM b JOIN c x ON x.name = a JOIN c y ON y.name = b WHERE 10 * n_both >= 8 * (x.c + y.c - n_both) UNION SELECT l.name, r.name FROM n l JOIN n r ON l.text = r.text AND l.name <> r.name),
+reach AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a),
+roots AS (SELECT a AS name, least(a, min(b)) AS cluster FROM reach GROUP BY a)
+SELECT row_id, paragraph, start_pos, end_pos, cluster, name <> cluster AS removable FROM n JOIN roots USING (name)"""
+
 P6 = "SELECT doc_id, md5(coalesce(text, '')) AS text_md5 FROM documents"
 
-SQL = {"p1_found": P1, "p2_found": P2, "p3_found": P3, "p3_bisect": P3_BISECT, "p4_found": P4, "p5_found": P5, "p5_share": P5_SHARE, "p6_round_trip": P6, "p7_found": P7, "p7_edited": P7_EDITED}
+SQL = {"p1_found": P1, "p2_found": P2, "p3_found": P3, "p3_bisect": P3_BISECT, "p4_found": P4, "p5_found": P5, "p5_share": P5_SHARE, "p5_paragraphs": P5_PARAGRAPHS, "p6_round_trip": P6, "p7_found": P7, "p7_edited": P7_EDITED}

@@ -42,11 +42,12 @@ def paragraphs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(run, f"id {kind.simpleString()}, paragraph INT, start_pos BIGINT, end_pos BIGINT, text STRING").withColumnRenamed("id", id_col)
 
 
-def components(edges: DataFrame, a: str, b: str, most_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """node, root: the smallest node that each node is connected to, of the nodes in the edges.
 
     Alternates linking each node's larger neighbours to its smallest neighbour, and its smaller ones likewise, until
-    every node hangs on its root. Each round is staged; only the number of edges that changed comes to the driver.
+    every node hangs on its root: as many rounds as that takes, about the logarithm of the largest component. Each round
+    is staged; only the number of edges that changed comes to the driver.
     """
     kind = edges.schema[a].dataType.simpleString()
     links = stage(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "links")
@@ -58,7 +59,7 @@ def components(edges: DataFrame, a: str, b: str, most_rounds: int = 50) -> DataF
         moved = joined.where("v > u") if large else joined.unionByName(least.select("u", F.col("u").alias("v"), "m"))
         return moved.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
-    for _ in range(most_rounds):
+    while True:
         new = stage(star(stage(star(links, True), "large-star"), False), "small-star")
         if not new.join(links, ["u", "v"], "left_anti").limit(1).count() and new.count() == links.count():
             break
