@@ -12,6 +12,7 @@ import importlib.util
 import os
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -68,7 +69,7 @@ def decode_ids(ids: list[int], path: str, errors: str = "replace") -> str:
 def _lists(rows: list[list[int]]) -> pa.Array:
     offsets = np.zeros(len(rows) + 1, dtype=np.int32)
     np.cumsum(np.fromiter(map(len, rows), np.int32, len(rows)), out=offsets[1:])
-    flat = np.concatenate([np.asarray(r, dtype=np.int32) for r in rows]) if rows else np.zeros(0, np.int32)
+    flat = np.fromiter(chain.from_iterable(rows), dtype=np.int32, count=int(offsets[-1]))
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
