@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from peerlens.functions import text as X
 
 CODES, BANDS = ("sic", "naics", "gics"), ("market_cap", "revenue")
+#: Tasks over which the peers of one key are spread.
+SALTS = 8
 
 
 def band_match(a: Column, b: Column, ratio: float = 2.0) -> Column:
@@ -23,26 +25,31 @@ def weak_labels(metadata: DataFrame, focal: Column | None = None, ratio: float =
     its size bands. Columns that the table lacks are skipped. The focal firm's values are those of its first row, in
     the order of all its values, nulls last; of a peer any row counts.
 
-    A join on a disjunction would compare all firms of a year with each other; so each code is an equi-join of its
-    own, and each band an equi-join on the logarithm's bucket and its neighbours.
+    A join on a disjunction would compare all firms of a year with each other; so each firm has a row for each of its
+    codes and for the logarithm's bucket of each size, a focal firm also for the neighbouring buckets, and one equi-join
+    on (kind, key, year) finds them. The peers of a key are spread over SALTS, as a code may be that of a third of all
+    firms.
     """
     codes, bands = [c for c in CODES if c in metadata.columns], [c for c in BANDS if c in metadata.columns]
-    rows = metadata.select(X.cik(F.col("firm_id")).alias("firm"), F.col("year").cast("int").alias("year"), *codes, *bands).where("firm IS NOT NULL AND year IS NOT NULL").distinct()
+    rows = metadata.select(X.cik(F.col("firm_id")).alias("firm"), F.col("year").cast("int").alias("year"), *(F.col(c).cast("string").alias(c) for c in codes), *(F.col(c).cast("double").alias(c) for c in bands))
+    rows = rows.where("firm IS NOT NULL AND year IS NOT NULL").distinct()
     first = Window.partitionBy("firm", "year").orderBy(*(F.col(c).asc_nulls_last() for c in (*codes, *bands)))
-    asked = rows.where(focal if focal is not None else F.lit(True)).withColumn("_n", F.row_number().over(first)).where("_n = 1").select(F.col("firm").alias("focal_firm"), "year", *(F.col(c).alias(f"f_{c}") for c in (*codes, *bands)))
-    found = []
-    for c in codes:
-        peers = rows.select("year", F.col("firm").alias("peer_firm"), F.col(c).cast("string").alias("_k")).where("_k IS NOT NULL").distinct()
-        found.append(asked.withColumn("_k", F.col(f"f_{c}").cast("string")).join(peers, ["year", "_k"]))
-    for c in bands:
-        bucket = lambda x: F.floor(F.log(x) / F.log(F.lit(float(ratio)))).cast("int")
-        good = lambda x: (x > 0) & ~F.isnan(x)
-        peers = rows.select("year", F.col("firm").alias("peer_firm"), F.col(c).alias("_v")).where(good(F.col("_v"))).distinct().withColumn("_k", bucket(F.col("_v")))
-        mine = asked.where(good(F.col(f"f_{c}"))).withColumn("_k", bucket(F.col(f"f_{c}")))
-        mine = mine.withColumn("_k", F.explode(F.array(F.col("_k") - 1, F.col("_k"), F.col("_k") + 1)))
-        found.append(mine.join(peers, ["year", "_k"]).where(band_match(F.col("_v"), F.col(f"f_{c}"), ratio)))
-    pairs = [x.select("focal_firm", "year", "peer_firm") for x in found]
-    return reduce(DataFrame.unionByName, pairs).where("focal_firm <> peer_firm").distinct()
+    asked = rows.where(focal if focal is not None else F.lit(True)).withColumn("_n", F.row_number().over(first)).where("_n = 1")
+    none = F.lit(None).cast("double")
+    bucket = lambda x: F.floor(F.log(x) / F.log(F.lit(float(ratio)))).cast("int")
+    good = lambda x: (x > 0) & ~F.isnan(x) & (x < float("inf"))
+
+    def keys(steps: Sequence[int]) -> Column:
+        """kind, key and size of a firm's codes and buckets."""
+        of = [F.when(F.col(c).isNotNull(), F.struct(F.lit(c).alias("kind"), F.col(c).alias("key"), none.alias("size"))) for c in codes]
+        of += [F.when(good(F.col(c)), F.struct(F.lit(c).alias("kind"), (bucket(F.col(c)) + i).cast("string").alias("key"), F.col(c).alias("size"))) for c in bands for i in steps]
+        return F.inline(F.array_compact(F.array(*of)))
+
+    peers = rows.select("year", F.col("firm").alias("peer_firm"), keys((0,))).distinct().withColumn("salt", F.pmod(F.xxhash64("peer_firm"), F.lit(SALTS)).cast("int"))
+    mine = asked.select("year", F.col("firm").alias("focal_firm"), keys((-1, 0, 1))).withColumnRenamed("size", "own_size")
+    mine = mine.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    found = mine.join(peers, ["kind", "key", "year", "salt"]).where((F.col("size").isNull() | band_match(F.col("size"), F.col("own_size"), ratio)) & (F.col("focal_firm") != F.col("peer_firm")))
+    return found.select("focal_firm", "year", "peer_firm").distinct()
 
 
 def with_analysts(labels: DataFrame, analysts: DataFrame) -> DataFrame:
@@ -57,11 +64,19 @@ def metrics(ranking: DataFrame, labels: DataFrame, recall_k: int = 50, ndcg_k: i
     ranking: focal_firm, year, peer_firm, rank from 1. labels: focal_firm, year, peer_firm, distinct.
     """
     keys = ["focal_firm", "year"]
-    all_keys = ranking.select(*keys).distinct()
-    counts = labels.groupBy(*keys).agg(F.count("*").alias("label_count"))
-    hits = ranking.where(F.col("rank") <= max(recall_k, ndcg_k)).join(labels, [*keys, "peer_firm"], "left_semi")
-    gains = hits.groupBy(*keys).agg(F.count_if(F.col("rank") <= recall_k).alias("_h"), F.sum(F.when(F.col("rank") <= ndcg_k, 1 / F.log2(F.col("rank") + F.lit(1.0)))).alias("_dcg"))
-    rows = all_keys.join(counts, keys, "left").join(gains, keys, "left").fillna(0, ["label_count", "_h"]).fillna(0.0, ["_dcg"])
+    most = max(recall_k, ndcg_k)
+    near = F.when(F.col("rank") <= most, F.col("peer_firm")), F.when(F.col("rank") <= most, F.col("rank").cast("int"))
+    given = ranking.select(*keys, near[0].alias("peer_firm"), near[1].alias("rank"), F.lit(True).alias("ranked"), F.lit(False).alias("label"))
+    named = labels.select(*keys, "peer_firm", F.lit(None).cast("int").alias("rank"), F.lit(False).alias("ranked"), F.lit(True).alias("label"))
+    # one aggregation by pair, then one by focal firm and year, instead of joins of either table with itself
+    pairs = given.unionByName(named).groupBy(*keys, "peer_firm").agg(F.min("rank").alias("rank"), F.bool_or("ranked").alias("ranked"), F.bool_or("label").alias("label"))
+    hit = F.col("label") & F.col("rank").isNotNull()
+    rows = pairs.groupBy(*keys).agg(
+        F.bool_or("ranked").alias("_ranked"),
+        F.count_if("label").alias("label_count"),
+        F.count_if(hit & (F.col("rank") <= recall_k)).alias("_h"),
+        F.coalesce(F.sum(F.when(hit & (F.col("rank") <= ndcg_k), 1 / F.log2(F.col("rank") + F.lit(1.0)))), F.lit(0.0)).alias("_dcg"),
+    ).where("_ranked")
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.lit(ndcg_k), F.col("label_count").cast("int"))), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + F.lit(1.0)))
     there = F.col("label_count") > 0
     return rows.select(*keys, "label_count", F.when(there, F.round(F.col("_h") / F.col("label_count"), 6)).alias(f"recall_at_{recall_k}"), F.when(there, F.round(F.col("_dcg") / ideal, 6)).alias(f"ndcg_at_{ndcg_k}"))

@@ -143,6 +143,29 @@ def test_candidates_cut_with_self_and_ties(spark):
     assert vectors.candidates(df, F.col("firm").isin("f00", "f03")).count() == single
 
 
+@pytest.mark.parametrize("options", [{}, {"k": 4}, {"q_share": 0.5}])
+def test_universes_in_parts_give_the_same(spark, options):
+    rng = np.random.default_rng(3)
+    rows = [(f"f{i:03}", 2020 + i % 2, "1" if i % 3 else "7", [float(x) for x in rng.integers(-1, 2, 6) + 0.5]) for i in range(120)]
+    df = spark.createDataFrame([*rows, ("none", 2020, "1", None)], "firm STRING, year INT, item_id STRING, vec ARRAY<DOUBLE>")
+    focal = F.col("firm") < "f030"
+    whole, parts = (sorted(map(tuple, vectors.candidates(df, focal, part=n, **options).collect())) for n in (1000, 7))
+    assert whole == parts and len(whole) > 30 and "none" not in {r[0] for r in whole}
+    if not options.get("k"):
+        whole, parts = (sorted(map(tuple, vectors.orthogonal_candidates(df, 6, focal, part=n, **options).collect())) for n in (1000, 7))
+        assert whole == parts and len(whole) > 30
+    assert vectors.candidates(df.where("year = 1"), focal).collect() == []
+
+
+def test_percentile_in_two_steps(spark):
+    rng = np.random.default_rng(5)
+    groups = {"a": rng.lognormal(size=400), "b": rng.random(1), "c": np.repeat([1.0, 2.0], 9), "d": 1 + rng.random(50) * 1e-7}
+    df = spark.createDataFrame([(g, float(x)) for g, v in groups.items() for x in v], "g STRING, w DOUBLE")
+    for share in (0.95, 0.5, 0.0, 1.0):
+        got = {r.g: r._cap for r in vectors.percentile_cap(df, ["g"], "w", share).collect()}
+        assert all(math.isclose(got[g], np.percentile(v, 100 * share), rel_tol=1e-12) for g, v in groups.items())
+
+
 def test_residuals(spark):
     df = spark.createDataFrame([("a", 1, "1", [1.0, 0.0]), ("b", 1, "1", [0.0, 1.0]), ("c", 1, "2", [1.0, 1.0])], "firm STRING, year INT, item_id STRING, vec ARRAY<DOUBLE>")
     got = {r.firm: r for r in vectors.orthogonal_residuals(df, 2).collect()}
