@@ -36,8 +36,9 @@ def _download(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     done = stage(download.download(wanted, f"{a.out}/filings", a.year, download.HttpGetter(a.agent), folder, a.overwrite), "status")
     report = index_records.status_report(done)
     sinks.write_table(report, f"{a.out}/download_report.csv")
-    tickers = done.where("status = 'downloaded'").select(F.col("fiscal_year").cast("string").alias("fiscal_year"), F.col("cik_padded").alias("cik"), F.explode("ticker_symbols").alias("ticker"), F.lit("filing").alias("source"), F.current_timestamp().cast("string").alias("updated_at"))
-    sinks.write_new(tickers, f"{a.out}/tickers", ["fiscal_year", "cik"], (), a.overwrite)
+    tickers = done.where("status = 'downloaded'").select(F.col("fiscal_year").cast("string").alias("fiscal_year"), F.col("cik_padded").alias("cik"), F.try_element_at("ticker_symbols", F.lit(1)).alias("ticker"), F.lit("filing").alias("source"), F.current_timestamp().cast("string").alias("updated_at"))
+    # the last writer of a year and firm counts
+    sinks.write_new(tickers.where("ticker IS NOT NULL").dropDuplicates(["fiscal_year", "cik"]), f"{a.out}/tickers", ["fiscal_year", "cik"], (), True)
     return report
 
 

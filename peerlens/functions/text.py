@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from peerlens.functions import forms
+
 #: A white-space character and its opposite, alike in Java and RE2.
 WS, NOT_WS = r"[\t\n\x0B\f\r \x85\p{Z}]", r"[^\t\n\x0B\f\r \x85\p{Z}]"
 
@@ -82,9 +84,8 @@ def clean_title(c: Column) -> Column:
 def item_numbers(c: Column) -> Column:
     """All item numbers of a heading, each once: "Items 1 and 2" first, then "item N", "part X N." and "N." forms."""
     low = F.lower(c)
-    both = r"\bitems?\s+(\d{1,2}[a-z]?)\s*[.:]?\s+and\s+(\d{1,2}[a-z]?)\b"
-    found = [F.filter(F.array(F.regexp_extract(low, both, 1), F.regexp_extract(low, both, 2)), lambda x: x != "")]
-    for pattern in (r"item\s+(\d{1,2}[a-z]?)\b", r"part\s+[ivx]+\s*[.:-]?\s*(\d{1,2}[a-z]?)\s*[.:]", r"(?<!\d)(\d{1,2}[a-z]?)\s*[.:]\s*[a-z]"):
+    found = [F.filter(F.array(F.regexp_extract(low, forms.PAIR, 1), F.regexp_extract(low, forms.PAIR, 2)), lambda x: x != "")]
+    for pattern in forms.SEVERAL:
         found.append(F.regexp_extract_all(low, F.lit(pattern), F.lit(1)))
     return F.transform(F.array_distinct(F.concat(*found)), lambda x: F.upper(x))
 
@@ -92,7 +93,8 @@ def item_numbers(c: Column) -> Column:
 def item_number(c: Column) -> Column:
     """The item number of a heading, null if there is none: "item N", "part X - item N", "NBusiness", "N. Abc", "N Abc".
     A letter belongs to the number only if no lower-case letter follows it."""
-    patterns = (r"(?i)item\s+(\d{1,2}[a-z]?)\b", r"\A\s*(\d{1,2}[A-Z]?)(?=[A-Z][a-z])", r"(?i)\A\s*(\d{1,2}[a-z]?)\s*[.:-]\s*[a-z]", r"(?i)\A\s*(\d{1,2}[a-z]?)\s+[a-z]")
+    first, _, *others = (f"(?i){p}" for p in forms.SINGLE)
+    patterns = (first, forms.GLUED, *others)
     return F.upper(F.coalesce(*(F.nullif(F.regexp_extract(c, p, 1), F.lit("")) for p in patterns)))
 
 

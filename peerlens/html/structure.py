@@ -16,8 +16,7 @@ _HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 _BLOCKS = (*_HEADINGS, "p", "li", "div", "table")
 # Styles, noise lines and names by which blocks are told apart.
 _BOLD = re.compile(r"font-weight\s*:\s*(bold|[6-9]00)")
-_ITALIC = re.compile(r"font-style\s*:\s*italic")
-_UNDERLINE = re.compile(r"text-decoration\s*:\s*underline")
+_SLANTED = re.compile(r"font-style\s*:\s*italic|text-decoration\s*:\s*underline")
 _CENTER = re.compile(r"text-align\s*:\s*center")
 _ITEM = re.compile(r"\s*items?\s+\d+[a-z]?\b", re.IGNORECASE)
 _NOISE = re.compile(r"table of contents\Z|index to exhibits\Z|index to financial statements\Z|part\s+[ivxlcdm]+\Z|table\s+\d+(?:\.\d+)*[:.]?\b|\d{1,4}\Z|page\s+\d{1,4}(?:\s+of\s+\d{1,4})?\Z", re.IGNORECASE)
@@ -27,6 +26,23 @@ _NAME = r"[A-Z][A-Za-z'\-]+"
 _BIOGRAPHY = re.compile(rf"(?:Mr|Ms|Mrs|Dr)\.\s+{_NAME}(?:\s+{_NAME}){{0,3}}\s+is\b|{_NAME}(?:\s+{_NAME}){{1,4}}(?:\s*,\s*\d{{1,3}}\s*,?\s+has\b|\s+is\b)")
 # Lengths of headings: least, most, most for a bold sentence, most of a bold lead.
 _LEAST, _MOST, _MOST_SENTENCE, _MOST_LEAD = 3, 220, 520, 120
+# Few words, mostly capitals, a long sentence, a title's most characters and least words, a short heading.
+_FEW_WORDS, _MOSTLY, _LONG, _MOST_TITLE, _TITLE_WORDS, _SHORT = 18, 0.6, 140, 260, 4, 90
+# Lengths of a biography's first sentence, and where it has no colon.
+_BIOGRAPHY_LENGTHS, _NO_COLON = (40, 520), 80
+# Weights of a heading's features, and the weight that is enough without bold.
+_WEIGHTS = {"bold": 2, "slanted": 1, "centered": 1, "few words": 1, "capitals": 1, "title-like": 1, "long sentence": -2}
+_ENOUGH = 3
+# Layers by features, the first that fits.
+_LAYERS = (
+    (3, ("no bold",)),
+    (3, ("sentence in a layer",)),
+    (2, ("capitalised",)),
+    (2, ("centered",)),
+    (2, ("capitals",)),
+    (2, ("short",)),
+    (3, ()),
+)
 
 
 @dataclass
@@ -72,35 +88,43 @@ def bold_lead(block: Node, text: str) -> tuple[str, str] | None:
 
 
 def heading_layer(block: Node, text: str) -> int | None:
-    """The layer of a block that is a heading (1 an item, 2 a title, 3 deeper), None for body text."""
+    """The layer of a block that is a heading (1 an item, 2 a title, 3 deeper), None for body text: a block with enough
+    weight in its features is a heading, and the first rule of _LAYERS that holds gives its layer."""
     if len(text) < _LEAST or block.name == "table":
         return None
-    style = block.styles()
-    bold = bool(_BOLD.search(style)) or block.find("b", "strong") is not None
-    slanted = bool(_ITALIC.search(style) or _UNDERLINE.search(style)) or block.find("i", "em") is not None
-    centered = bool(_CENTER.search(style)) or block.attrs.get("align", "").lower() == "center"
     if _ITEM.match(text):
         return 1
-    sentence = text.endswith(".")
-    if bold:
-        biography = 40 <= len(text) <= 520 and ":" not in text[:80] and _BIOGRAPHY.match(text)
-        bullet = all(clean(n.text()) in ("", "•") for n in block.walk() if _bold(n)) and any(_bold(n) for n in block.walk())
-        if biography or bullet:
-            return None
-    if len(text) > _MOST and not (bold and sentence and len(text) <= _MOST_SENTENCE):
+    has = _features(block, text)
+    if has["bold"] and (has["biography"] or has["bullet"]) or len(text) > _MOST and not has["bold sentence"]:
         return None
-    letters = [c for c in text if c.isascii() and c.isalpha()]
-    capital = sum(c.isupper() for c in letters) / len(letters) if letters else 0.0
-    score = 2 * bold + slanted + centered + (len(text.split()) <= 18) + (capital >= 0.6)
-    score += bool(_TITLE_LIKE.match(text)) and not sentence
-    score -= 2 * (len(text) > 140 and sentence and not bold)
-    if score < 3 and not bold:
+    if not has["bold"] and sum(weight for name, weight in _WEIGHTS.items() if has[name]) < _ENOUGH:
         return None
-    if not bold or sentence and len(text) <= 260:
-        return 3
-    words = re.findall(r"[A-Za-z][A-Za-z'\\-]*", text)
-    title = not sentence and len(text) <= 260 and len(words) >= 4 and sum(w[0].isupper() for w in words) >= 0.6 * len(words)
-    return 2 if title or centered or capital >= 0.6 or len(text) <= 90 else 3
+    return next(layer for layer, names in _LAYERS if all(has[n.removeprefix("no ")] != n.startswith("no ") for n in names))
+
+
+def _features(block: Node, text: str) -> dict[str, bool]:
+    """What is known of a block that may be a heading, by name."""
+    style, length, sentence = block.styles(), len(text), text.endswith(".")
+    marked = lambda shape, *tags: bool(shape.search(style)) or block.find(*tags) is not None
+    letters = [c for c in text if c.isascii() and c.isalpha()]
+    words = re.findall(r"[A-Za-z][A-Za-z'\-]*", text)
+    bold, strong = marked(_BOLD, "b", "strong"), [n for n in block.walk() if _bold(n)]
+    share = lambda yes, of: sum(yes) / of if of else 0.0
+    return {
+        "bold": bold,
+        "slanted": marked(_SLANTED, "i", "em"),
+        "centered": bool(_CENTER.search(style)) or block.attrs.get("align", "").lower() == "center",
+        "few words": len(text.split()) <= _FEW_WORDS,
+        "capitals": share((c.isupper() for c in letters), len(letters)) >= _MOSTLY,
+        "title-like": bool(_TITLE_LIKE.match(text)) and not sentence,
+        "long sentence": length > _LONG and sentence and not bold,
+        "bold sentence": bold and sentence and length <= _MOST_SENTENCE,
+        "sentence in a layer": sentence and length <= _MOST_TITLE,
+        "capitalised": not sentence and length <= _MOST_TITLE and len(words) >= _TITLE_WORDS and share((w[0].isupper() for w in words), len(words)) >= _MOSTLY,
+        "short": length <= _SHORT,
+        "biography": _BIOGRAPHY_LENGTHS[0] <= length <= _BIOGRAPHY_LENGTHS[1] and ":" not in text[:_NO_COLON] and bool(_BIOGRAPHY.match(text)),
+        "bullet": bool(strong) and all(clean(n.text()) in ("", "•") for n in strong),
+    }
 
 
 def elements(root: Node) -> list[tuple[int | None, str]]:

@@ -12,6 +12,8 @@ _HARD_RULE = re.compile(r"<hr[^>]*page-break-after\s*:\s*always[^>]*>", re.IGNOR
 # Ornaments that become spaces, and punctuation that becomes ASCII.
 _ORNAMENTS = dict.fromkeys(map(ord, "•●■▪◦⁃∙"), " ")
 _ASCII = str.maketrans({"‘": "'", "’": "'", "“": '"', "”": '"', "–": "-", "—": "-"})
+# Quotes that become ASCII in tables of contents, where ornaments and dashes stay.
+_TOC_QUOTES = str.maketrans(dict.fromkeys("‘’‚‛′ʼ´", "'") | dict.fromkeys("“”„″", '"'))
 # What headers and footers of pages consist of.
 _EDGE_PHRASES = frozenset(("table of contents", "page", "form", "10-k", "10-q", "10-a", "form 10-k summary", "not applicable"))
 _EDGE_SHAPES = re.compile(r"\d{1,3}$|[a-z\s]+(?:inc|corp|ltd|llc|co)\.?$|[a-z]+ (?:inc|corp|ltd)\s*\|\s*\d{4}|(?:inc|form|10-?k)\s*\|")
@@ -19,12 +21,21 @@ _PAGE_LINE = re.compile(r"page\s+\d{1,4}(?:\s+of\s+\d{1,4})?")
 _LEAST_WORDS = 10
 
 
+def _visible(text: str) -> str:
+    """Compatibility forms without invisible characters."""
+    text = unicodedata.normalize("NFKC", text)
+    return text if text.isascii() else "".join(c for c in text if unicodedata.category(c) != "Cf")
+
+
 def normalize(text: str) -> str:
     """Compatibility forms, no invisible characters, ornaments as spaces, plain quotes and dashes."""
-    text = unicodedata.normalize("NFKC", text)
-    if not text.isascii():
-        text = "".join(c for c in text if unicodedata.category(c) != "Cf")
-    return text.translate(_ORNAMENTS).translate(_ASCII)
+    return _visible(text).translate(_ORNAMENTS).translate(_ASCII)
+
+
+def clean_toc(text: str) -> str:
+    """The text of a table of contents: compatibility forms, no invisible characters, plain quotes of all kinds, white
+    space collapsed."""
+    return " ".join(_visible(text).translate(_TOC_QUOTES).split()) if text else ""
 
 
 def clean(text: str) -> str:

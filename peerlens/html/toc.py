@@ -9,19 +9,19 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+from peerlens.functions import forms
 from peerlens.html.dom import Node, parse
-from peerlens.html.text import clean
+from peerlens.html.text import clean_toc as clean
 
 _MARKER = re.compile(r"table\s+of\s+contents|index\s+to\s+financial\s+statements", re.IGNORECASE)
 # Where a marker may stand, what is read around it, and what is read without one.
 _MARKER_LIMIT, _BEFORE, _REGION, _PREFIX = 4_000_000, 3_000, 260_000, 800_000
 # Phrases of a table of contents.
 _INDICATORS = ("table of contents", "index to financial statements", "item 1.", "item 1a", "part i", "part ii", "item 1 ")
-# Forms in which item numbers are written.
-_PAIR = re.compile(r"\bitems?\s+(\d{1,2}[a-z]?)\s*[.:]?\s+and\s+(\d{1,2}[a-z]?)\b")
-_SEVERAL = tuple(map(re.compile, (r"item\s+(\d{1,2}[a-z]?)\b", r"part\s+[ivx]+\s*[.:-]?\s*(\d{1,2}[a-z]?)\s*[.:]", r"(?<!\d)(\d{1,2}[a-z]?)\s*[.:]\s*[a-z]")))
-_SINGLE = tuple(re.compile(p, re.IGNORECASE) for p in (r"item\s+(\d{1,2}[a-z]?)\b", r"\A\s*(\d{1,2}[a-z]?)(?=[a-z])", r"\A\s*(\d{1,2}[a-z]?)\s*[.:-]\s*[a-z]", r"\A\s*(\d{1,2}[a-z]?)\s+[a-z]"))
-_GLUED = re.compile(r"\A\s*(\d{1,2}[A-Z]?)(?=[A-Z][a-z])")
+_PAIR = re.compile(forms.PAIR)
+_SEVERAL = tuple(map(re.compile, forms.SEVERAL))
+_SINGLE = tuple(re.compile(p, re.IGNORECASE) for p in forms.SINGLE)
+_GLUED = re.compile(forms.GLUED)
 
 
 @dataclass

@@ -15,8 +15,8 @@ from peerlens.functions import text as X
 from peerlens.html.dom import Node, parse
 from peerlens.operators.index_records import download_status
 from peerlens.plans import stage
-from peerlens.sources.remote import fetch
-from peerlens.sources.sinks import write_new
+from peerlens.sources.remote import DELAY, fetch
+from peerlens.sources.sinks import exists, write_new
 
 BASE = "https://www.sec.gov"
 #: A URL to its text; empty for a page that isn't there.
@@ -25,12 +25,14 @@ Getter = Callable[[str], str]
 
 @dataclass
 class HttpGetter:
-    """Pages over HTTP with a user agent; refusals for too many requests are tried again."""
+    """Pages over HTTP with a user agent, `delay` seconds before each; refusals for too many requests are tried again.
+    Tasks at work at once divide the public limit of ten requests a second: give each so many tenths as there are tasks."""
 
     agent: str
+    delay: float = DELAY
 
     def __call__(self, url: str) -> str:
-        return fetch(url, self.agent)
+        return fetch(url, self.agent, delay=self.delay)
 
 
 def index_url(cik: str, accession: str, base: str = BASE) -> str:
@@ -94,9 +96,9 @@ def document(get: Getter, cik: str, accession: str, base: str = BASE) -> tuple[s
     return url, "htm" if url.endswith(".htm") else "html", html
 
 
-def fetch_documents(records: DataFrame, get: Getter, base: str = BASE) -> DataFrame:
-    """records (cik_padded, accession_number, ...) with url, extension, html and error. Stage the result: what isn't
-    staged is fetched again whenever it is used."""
+def fetch_documents(records: DataFrame, get: Getter, base: str = BASE, tasks: int = 1) -> DataFrame:
+    """records (cik_padded, accession_number, ...) with url, extension, html and error, fetched by so many tasks. Stage
+    the result: what isn't staged is fetched again whenever it is used."""
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in records.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,21 +113,19 @@ def fetch_documents(records: DataFrame, get: Getter, base: str = BASE) -> DataFr
                     row = row.append_column(name, pa.array([value], pa.string()))
                 yield row
 
-    return records.mapInArrow(run, f"{fields}, url STRING, extension STRING, html STRING, error STRING")
+    return records.repartition(tasks).mapInArrow(run, f"{fields}, url STRING, extension STRING, html STRING, error STRING")
 
 
-def download(records: DataFrame, table: str, targets: Sequence[int], get: Getter, form: str, overwrite: bool = False, base: str = BASE) -> DataFrame:
+def download(records: DataFrame, table: str, targets: Sequence[int], get: Getter, form: str, overwrite: bool = False, base: str = BASE, tasks: int = 1) -> DataFrame:
     """Fetches filings, reads their tags and appends new ones of the target years to the table, new by firm, year and form: cik, year, form,
     source_path, filing_date, period_of_report, accession_number, ticker_symbols, html. Returns a row for each record
     with fiscal_year and status."""
     spark = records.sparkSession
-    got = stage(fetch_documents(records.select("cik_padded", "accession_number", "date_filed"), get, base), "fetched")
+    got = stage(fetch_documents(records.select("cik_padded", "accession_number", "date_filed"), get, base, tasks), "fetched")
     tagged = got.withColumn("tags", X.ixbrl_tags(F.col("html"))).select("*", "tags.*").drop("tags")
     have = None
-    try:
+    if exists(spark, table):
         have = spark.read.parquet(table).where(F.col("form") == form).select(F.col("cik").alias("cik_padded"), F.col("year").cast("int").alias("fiscal_year"), F.lit(True).alias("_have")).distinct()
-    except Exception:  # noqa: BLE001 - no table yet
-        pass
     marked = tagged.join(have, ["cik_padded", "fiscal_year"], "left") if have is not None and not overwrite else tagged.withColumn("_have", F.lit(None).cast("boolean"))
     done = stage(download_status(marked, targets, F.coalesce("_have", F.lit(False)), F.col("error").isNotNull()).drop("_have"), "downloaded")
     new = done.where("status = 'downloaded'").select(F.col("cik_padded").alias("cik"), F.col("fiscal_year").alias("year"), F.lit(form).alias("form"), F.col("url").alias("source_path"), F.col("date_filed").alias("filing_date"), "period_of_report", "accession_number", "ticker_symbols", "html")

@@ -69,13 +69,22 @@ def rerank_prompt(focal: Column, peer: Column, item: Column, most: int = MAX_CHA
 
 
 def parse_reply(reply: Column) -> Column:
-    """score (0 to 1) and reason of a reply that is JSON or holds an object in braces. A missing score is 0, one out of
-    range is clamped; a reply without any object has a null score."""
-    kind = "struct<score:double,reason:string>"
+    """score (0 to 1), reason and error of a reply: JSON, or with text around it what stands between its first and last
+    brace. A score may be a number or a string of one; a missing one is 0, one out of range is clamped. A reply without
+    such an object, or whose score is no number, has an error and no score; null has neither."""
+    # a list of exactly one value: the parser alone would pass over what follows the first
+    only = lambda text: F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    at = lambda v, path, kind: F.try_variant_get(v, path, kind)
     braced = F.nullif(F.regexp_extract(reply, r"(?s)(\{.*\})", 1), F.lit(""))
-    found = F.from_json(braced, kind)
-    score = F.when(braced.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.coalesce(found["score"], F.lit(0.0)))) / 100)
-    return F.struct(score.alias("score"), found["reason"].alias("reason"))
+    single = lambda v: F.when(at(v, "$[1]", "variant").isNull(), at(v, "$[0]", "variant"))
+    payload = F.coalesce(single(only(reply)), single(only(braced)))
+    is_object = F.coalesce(F.startswith(F.schema_of_variant(payload), F.lit("OBJECT")), F.lit(False))
+    given = F.coalesce(F.schema_of_variant(at(payload, "$.score", "variant")), F.lit("none"))
+    number = F.when(given == "none", F.lit(0.0)).otherwise(at(payload, "$.score", "double"))
+    score = F.when(is_object & number.isNotNull() & ~F.isnan(number), F.greatest(F.lit(0.0), F.least(F.lit(100.0), number)) / 100)
+    reason = F.when(score.isNotNull(), F.trim(F.coalesce(at(payload, "$.reason", "string"), F.lit(""))))
+    error = F.when(reply.isNotNull() & score.isNull(), F.when(is_object, F.lit("the score is no number")).otherwise(F.lit("no JSON object in the reply")))
+    return F.struct(score.alias("score"), reason.alias("reason"), error.alias("error"))
 
 
 def call(df: DataFrame, prompt: str, generator: Generator, out: str, as_json: bool = False, error: str | None = None) -> DataFrame:
@@ -144,14 +153,15 @@ def summarize(items: DataFrame, keys: list[str], item: str, text: str, generator
 
 
 def rerank(candidates: DataFrame, texts: DataFrame, generator: Generator = overlap_scorer, most: int = MAX_CHARS) -> DataFrame:
-    """Candidates (focal_firm, year, item_id, peer_firm, ...) with rerank_score and reason. texts: firm, year, item_id,
-    text, one row each; pairs without both texts are dropped before any call. Staged, as calls are dear."""
+    """Candidates (focal_firm, year, item_id, peer_firm, ...) with rerank_score, reason and error. texts: firm, year,
+    item_id, text, one row each; pairs without both texts are dropped before any call. A reply that can't be read leaves
+    its error and no score, and final_ranking leaves such a pair out. Staged, as calls are dear."""
     side = lambda who: texts.where("trim(text) <> ''").select(F.col("firm").alias(f"{who}_firm"), "year", "item_id", F.col("text").alias(f"_{who}"))
     both = candidates.join(side("focal"), ["focal_firm", "year", "item_id"]).join(side("peer"), ["peer_firm", "year", "item_id"])
     asked = both.withColumn("_prompt", rerank_prompt(F.col("_focal"), F.col("_peer"), F.col("item_id"), most)).drop("_focal", "_peer")
     done = stage(call(asked, "_prompt", generator, "_reply", as_json=True).drop("_prompt"), "reranked")
     reply = parse_reply(F.col("_reply"))
-    return done.withColumn("rerank_score", reply["score"]).withColumn("reason", reply["reason"]).drop("_reply")
+    return done.withColumn("_r", reply).select("*", F.col("_r.score").alias("rerank_score"), F.col("_r.reason").alias("reason"), F.col("_r.error").alias("error")).drop("_reply", "_r")
 
 
 def expected_calls(universe: int, items: int, q_share: float) -> int:

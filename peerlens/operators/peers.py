@@ -32,9 +32,10 @@ def final_ranking(detail: DataFrame, requested_items: int, top_share: float | No
 
     detail: focal_firm, year, item_id, peer_firm, cosine_score, rerank_score, universe_n. Coverage counts against the
     items asked for, even those that a year lacks. Of each focal firm and year max(1, ceil(n * top_share)) peers are
-    kept, n being the largest universe; all with top_share None. Scores are rounded to 6 places.
+    kept, n being the largest universe; all with top_share None. Scores are rounded to 6 places. Rows without a
+    rerank_score don't count.
     """
-    rows = detail.withColumn("_s", fuse(F.col("cosine_score"), F.col("rerank_score")))
+    rows = detail.where("rerank_score IS NOT NULL").withColumn("_s", fuse(F.col("cosine_score"), F.col("rerank_score")))
     mean = lambda c: F.round(F.avg(c), 6)
     g = rows.groupBy("focal_firm", "year", "peer_firm").agg(F.count_distinct("item_id").alias("items_matched"), mean("cosine_score").alias("avg_cosine"), mean("rerank_score").alias("avg_rerank"), mean("_s").alias("avg_item_score"), F.max("universe_n").alias("_u"))
     g = g.withColumn("coverage_share", F.round(F.col("items_matched") / max(1, requested_items), 6))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from peerlens.plans import stage
 
 
+#: Partitions up to which a batch's own ones are listed; beyond, the keys of the whole table are read.
+MOST_PARTITIONS = 200
+
+
 def exists(df_or_spark, path: str) -> bool:
     spark = getattr(df_or_spark, "sparkSession", df_or_spark)
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -20,7 +24,7 @@ def exists(df_or_spark, path: str) -> bool:
 
 
 def write_new(df: DataFrame, path: str, keys: list[str], partitions: tuple[str, ...] = (), overwrite: bool = False, unit: list[str] | None = None) -> None:
-    """Appends the rows whose keys the table lacks; with overwrite, replaces the rows that agree with one of df in `unit`
+    """Appends the rows whose keys the table lacks, of which only the partitions of df are read; with overwrite, replaces the rows that agree with one of df in `unit`
     (the keys, if it isn't given) and keeps all others.
 
     What is replaced is staged with what is kept before the table is touched: partitions of df are then overwritten, a
@@ -32,8 +36,12 @@ def write_new(df: DataFrame, path: str, keys: list[str], partitions: tuple[str,
     elif overwrite:
         _replace(stage(df, "new-rows"), path, unit or keys, partitions, writer)
     else:
-        have = df.sparkSession.read.schema(df.schema).parquet(path).select(*keys).distinct()
-        writer(df.join(have, keys, "left_anti")).mode("append").parquet(path)
+        have = df.sparkSession.read.schema(df.schema).parquet(path)
+        inside = [p for p in partitions if p in keys]
+        if inside and len(found := df.select(*inside).distinct().limit(MOST_PARTITIONS + 1).collect()) <= MOST_PARTITIONS:
+            same = lambda r: reduce(and_, (F.col(p).eqNullSafe(F.lit(r[p])) for p in inside))
+            have = have.where(reduce(or_, map(same, found), F.lit(False)))
+        writer(df.join(have.select(*keys).distinct(), keys, "left_anti")).mode("append").parquet(path)
 
 
 def _replace(df: DataFrame, path: str, unit: list[str], partitions: tuple[str, ...], writer) -> None:

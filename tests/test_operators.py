@@ -230,9 +230,28 @@ def test_metrics_and_stability(spark):
 
 
 def test_replies(spark):
-    replies = ['{"score": 50, "reason": "r"}', 'Sure! {"score": 140} bye', '{"reason": "x"}', "no object", None]
-    df = spark.createDataFrame([(r,) for r in replies], "x STRING").select(models.parse_reply(F.col("x")).alias("r"))
-    assert [(r.r.score, r.r.reason) for r in df.collect()] == [(0.5, "r"), (1.0, None), (0.0, "x"), (None, None), (None, None)]
+    none, bad = "no JSON object in the reply", "the score is no number"
+    want = {
+        '{"score": 50, "reason": "r"}': (0.5, "r", None),
+        'Sure! {"score": 140} bye': (1.0, "", None),
+        '{"reason": " x "}': (0.0, "x", None),
+        '{"score": "90", "reason": 5}': (0.9, "5", None),
+        '{"score": " 7 ", "reason": null}': (0.07, "", None),
+        '{"score": -3}': (0.0, "", None),
+        "{bad}": (None, None, none),
+        '{"score": 80} or {"score": 20}': (None, None, none),
+        '{"score": 80}, {"score": 20}': (None, None, none),
+        '{"score": null}': (None, None, bad),
+        '{"score": "high"}': (None, None, bad),
+        '{"score": [1]}': (None, None, bad),
+        "[1, 2]": (None, None, none),
+        "5": (None, None, none),
+        "": (None, None, none),
+        "no object": (None, None, none),
+        None: (None, None, None),
+    }
+    df = spark.createDataFrame([(r,) for r in want], "x STRING").select("x", models.parse_reply(F.col("x")).alias("r"))
+    assert {r.x: tuple(r.r) for r in df.collect()} == want
 
 
 def test_summaries_in_windows(spark):

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from peerlens import cli
+from peerlens.operators import index_records
 from peerlens.sources import files, remote, sinks
 from peerlens.streaming import ingest
 from tests.test_html import filing
@@ -88,13 +89,18 @@ def test_incremental_writes(spark, tmp_path):
 
 
 def quarter(year, number):
+    if year == 2022:
+        raise OSError("closed")
     return "" if number == 4 else f"x\n---\nA|10-K|{number}|{year}-01-01|f.txt\n"
 
 
 def test_quarterly_source(spark):
     spark.dataSource.register(remote.QuarterlyIndex)
     rows = spark.read.format("quarterly_index").option("years", "2020,2021").option("fetcher", "tests.test_pipeline:quarter").load()
-    assert rows.count() == 6 and rows.rdd.getNumPartitions() == 8
+    assert rows.count() == 6 and rows.rdd.getNumPartitions() == 1
+    rows = spark.read.format("quarterly_index").option("years", "2021,2022").option("fetcher", "tests.test_pipeline:quarter").option("tasks", "3").load()
+    assert rows.where("value IS NULL").select("error").distinct().first().error == "closed" and rows.count() == 7 and rows.rdd.getNumPartitions() == 3
+    assert index_records.parse_index(rows).count() == 3
 
 
 def test_fetch_retries_only_refusals(monkeypatch):
@@ -107,6 +113,8 @@ def test_fetch_retries_only_refusals(monkeypatch):
 
     monkeypatch.setattr(remote.urllib.request, "urlopen", refuse)
     assert remote.fetch("http://x", "me", wait=waits.append) == "" and waits == [1.0, 1.0]
+    codes[:] = [404]
+    assert remote.fetch("http://x", "me", wait=waits.append, delay=0.1) == "" and waits[2:] == [0.1]
     codes[:] = [500]
     with pytest.raises(urllib.error.HTTPError):
         remote.fetch("http://x", "me", wait=waits.append)
