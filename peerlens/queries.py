@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,31 +9,21 @@ from peerlens.config import FORM_ITEMS
 from peerlens.functions import text as X
 from peerlens.functions import vectors as V
 from peerlens.operators import chunks, evaluate, filings, index_records, models, peers, vectors
+from peerlens.registry import REGISTER, Query, query
 from peerlens.sources import table
 
-Query = Callable[[SparkSession, str], DataFrame]
-_ALL: dict[str, tuple[Query, str | None]] = {}
-
 #: White space and its opposite in RE2.
 _WS, _NWS = r"[\t\n\x0B\f\r \x{85}\p{Z}]", r"[^\t\n\x0B\f\r \x{85}\p{Z}]"
 _DIM = 64
 _YEARS = range(2017, 2026)
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        _ALL[f.__name__] = (f, sql)
-        return f
-
-    return add
-
-
 def queries() -> dict[str, Query]:
-    return {k: f for k, (f, _) in _ALL.items()}
+    return {k: f for k, (f, _) in REGISTER.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: sql for k, (_, sql) in _ALL.items() if sql}
+    return {k: sql() if callable(sql) else sql for k, (_, sql) in REGISTER.items() if sql}
 
 
 # --- filing index ---
@@ -361,19 +349,7 @@ def orthogonal_candidates(spark: SparkSession, d: str) -> DataFrame:
     return vectors.orthogonal_candidates(_keyed(spark, d), _DIM, F.expr(_FOCAL.format("firm")))
 
 
-# --- filing HTML and model calls ---
-
-
-@query()
-def html_texts(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "filing_item").where("html_content IS NOT NULL").select("row_id", "html_content")
-    return filings.html_texts(rows, "html_content", "item").drop("html_content")
-
-
-@query()
-def structure_nodes(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "filing_item").where("html_content IS NOT NULL").select("row_id", "item_title", "html_content")
-    return filings.structure_nodes(rows)
+# --- texts and model calls ---
 
 
 @query()
@@ -381,12 +357,6 @@ def normalized_texts(spark: SparkSession, d: str) -> DataFrame:
     return filings.normalized(table(spark, d, "filing_item").select("row_id", "text_content"), "text_content").select("row_id", F.md5("normalized").alias("normalized"))
 
 
-@query()
-def tidied_items(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "filing_item").select("row_id", "text_content", X.item_id(F.col("item_number")).alias("item"))
-    return filings.tidied(rows, "text_content", "item").select("row_id", F.md5("tidied").alias("tidied"))
-
-
 @query(f"WITH t AS (SELECT row_id, CAST(len({_WORDS}) AS INT) AS tokens FROM filing_item WHERE text_content IS NOT NULL) SELECT row_id, tokens, 150 AS overlap, CAST(CASE WHEN tokens <= 400 THEN 1 ELSE ceil(tokens / 250) END AS INT) AS windows, CAST(least(300, greatest(120, ceil(1000 / CASE WHEN tokens <= 400 THEN 1 ELSE ceil(tokens / 250) END))) AS INT) AS part_words FROM t")
 def summary_windows(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "filing_item").where("text_content IS NOT NULL").select("row_id", X.token_count(F.col("text_content")).alias("tokens"))
@@ -428,3 +398,6 @@ def reranked_peers(spark: SparkSession, d: str) -> DataFrame:
     texts = rows.groupBy(X.cik(F.col("cik")).alias("firm"), F.col("year").cast("int").alias("year"), X.item_id(F.col("item_number")).alias("item_id")).agg(F.max_by("text_content", "row_id").alias("text"))
     detail = models.rerank(_candidates(spark, d), texts)
     return peers.final_ranking(detail, 23, None)
+
+
+import peerlens.filing_queries  # noqa: E402, F401 - registers its queries
