@@ -4,10 +4,11 @@ one search for spans for each filing."""
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
+from functools import reduce
+from operator import or_
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from peerlens.config import FORM_ITEMS
@@ -67,6 +68,12 @@ def _added(df: DataFrame, inputs: list, name: str, kind: pa.DataType, ddl: str,
     return rows.mapInArrow(run, f"{fields}{name} {ddl}")
 
 
+def in_scope(form: Column, item: Column) -> Column:
+    """True for items that a form asks for; forms without a list ask for all."""
+    listed = [(form == name) & item.isin(list(items)) for name, items in FORM_ITEMS.items()]
+    return F.coalesce(reduce(or_, listed, ~form.isin(list(FORM_ITEMS))), F.lit(False))
+
+
 def extract_items(filings: DataFrame, html: str = "html", form: str = "form", boundary: bool = True) -> DataFrame:
     """A row for each item of each filing: the filing's columns but html, and ord, item_id, item_title, anchor,
     start_pos, end_pos, html_content, text_content, error, out_of_order. Filings without HTML have no items."""
@@ -117,7 +124,3 @@ def tidied(df: DataFrame, text: str, item: str) -> DataFrame:
     """Adds tidied: the item's text without preamble, headers, footers and page numbers."""
     tidy = lambda t, i: None if t is None else H.tidy_item(H.strip_headers_footers(" ".join(t.split())), i or "")
     return _added(df, [F.col(text), F.col(item)], "tidied", pa.string(), "STRING", tidy)
-
-
-def forms_in_scope() -> list[tuple[str, str]]:
-    return list(chain.from_iterable(((form, i) for i in items) for form, items in FORM_ITEMS.items()))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from peerlens.config import FORM_ITEMS
@@ -115,30 +115,36 @@ def _scope_values() -> str:
 
 @query(f"WITH s(form, item) AS (VALUES {_scope_values()}) SELECT row_id, filing, item_number FROM filing_item WHERE filing NOT IN (SELECT form FROM s) OR EXISTS (SELECT 1 FROM s WHERE form = filing AND item = {_ITEM})")
 def items_in_scope(spark: SparkSession, d: str) -> DataFrame:
-    rows, item = table(spark, d, "filing_item"), X.item_id(F.col("item_number"))
-    inside = ~F.col("filing").isin(list(FORM_ITEMS))
-    for form, items in FORM_ITEMS.items():
-        inside |= (F.col("filing") == form) & item.isin(list(items))
-    return rows.where(inside).select("row_id", "filing", "item_number")
+    rows = table(spark, d, "filing_item")
+    return rows.where(filings.in_scope(F.col("filing"), X.item_id(F.col("item_number")))).select("row_id", "filing", "item_number")
 
 
 @query("WITH n AS (SELECT *, row_number() OVER (PARTITION BY lpad(cik, 10, '0'), year, filing, upper(trim(item_number)) ORDER BY extracted_at DESC NULLS LAST, row_id DESC) AS k FROM filing_item) SELECT row_id FROM n WHERE k = 1")
 def latest_items(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy(F.lpad("cik", 10, "0"), "year", "filing", F.upper(F.btrim("item_number"))).orderBy(F.col("extracted_at").desc_nulls_last(), F.desc("row_id"))
-    return table(spark, d, "filing_item").withColumn("k", F.row_number().over(w)).where("k = 1").select("row_id")
+    rows = table(spark, d, "filing_item").select(F.lpad("cik", 10, "0").alias("firm"), "year", "filing", F.upper(F.btrim("item_number")).alias("item"), "extracted_at", "row_id")
+    late = F.col("row_id") % 3 == 0
+    return index_records.upsert(rows.where(~late), rows.where(late), ["firm", "year", "filing", "item"], [F.col("extracted_at").desc_nulls_last(), F.desc("row_id")]).select("row_id")
 
 
-@query(rf"SELECT row_id, title, array_to_string(list_distinct_ordered, ',') AS numbers FROM (SELECT row_id, 'Item ' || item_number || '. ' || item_title || ' 12' AS title, [regexp_extract(lower('Item ' || item_number || '. ' || item_title || ' 12'), 'item\s+(\d{{1,2}}[a-z]?)\b', 1)] AS l, list_transform(list_filter(l, lambda x: x <> ''), lambda x: upper(x)) AS list_distinct_ordered FROM filing_item WHERE regexp_full_match(item_number, '[0-9]+[A-Za-z]?') AND item_title IS NOT NULL)")
+_HEADINGS = "SELECT row_id, CASE row_id % 3 WHEN 0 THEN 'Item ' || item_number || '. ' || item_title || ' 12' WHEN 1 THEN 'Items 1 and 2. ' || item_title || ' Part II 5. ' || item_number ELSE item_number || ': ' || item_title || '...57' END AS title FROM filing_item WHERE item_title IS NOT NULL AND item_number IS NOT NULL"
+
+
+def _headings(spark: SparkSession, d: str) -> DataFrame:
+    """Headings of every item in one of three forms."""
+    rows = table(spark, d, "filing_item").where("item_title IS NOT NULL AND item_number IS NOT NULL")
+    n, t, form = F.col("item_number"), F.col("item_title"), F.col("row_id") % 3
+    forms = F.when(form == 0, F.concat(F.lit("Item "), n, F.lit(". "), t, F.lit(" 12"))).when(form == 1, F.concat(F.lit("Items 1 and 2. "), t, F.lit(" Part II 5. "), n)).otherwise(F.concat(n, F.lit(": "), t, F.lit("...57")))
+    return rows.select("row_id", forms.alias("title"))
+
+
+@query(rf"WITH h AS ({_HEADINGS}), l AS (SELECT row_id, title, list_concat(list_filter([regexp_extract(lower(title), '\bitems?\s+(\d{{1,2}}[a-z]?)\s*[.:]?\s+and\s+(\d{{1,2}}[a-z]?)\b', 1), regexp_extract(lower(title), '\bitems?\s+(\d{{1,2}}[a-z]?)\s*[.:]?\s+and\s+(\d{{1,2}}[a-z]?)\b', 2)], lambda x: x <> ''), regexp_extract_all(lower(title), 'item\s+(\d{{1,2}}[a-z]?)\b', 1), regexp_extract_all(lower(title), 'part\s+[ivx]+\s*[.:-]?\s*(\d{{1,2}}[a-z]?)\s*[.:]', 1), regexp_extract_all(lower(title), '(?:^|[^0-9])(\d{{1,2}}[a-z]?)\s*[.:]\s*[a-z]', 1)) AS l FROM h) SELECT row_id, title, upper(array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ',')) AS numbers FROM l")
 def item_numbers(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "filing_item").where(F.rlike("item_number", F.lit(r"\A[0-9]+[A-Za-z]?\z")) & F.col("item_title").isNotNull())
-    title = F.concat(F.lit("Item "), "item_number", F.lit(". "), "item_title", F.lit(" 12"))
-    return rows.select("row_id", title.alias("title"), F.array_join(X.item_numbers(title), ",").alias("numbers"))
+    return _headings(spark, d).select("row_id", "title", F.array_join(X.item_numbers(F.col("title")), ",").alias("numbers"))
 
 
-@query("SELECT row_id, 'Item ' || item_number || ' ' || item_title AS title FROM filing_item WHERE item_title IS NOT NULL AND item_number IS NOT NULL AND NOT regexp_matches(item_title, '[0-9]\\s*$')")
+@query(rf"WITH h AS ({_HEADINGS}) SELECT row_id, title, trim(regexp_replace(regexp_replace(regexp_replace(title, '[ \t\n\x0B\f\r]+[0-9]+[ \t\n\x0B\f\r]*\z', ''), '\.[ \t\n\x0B\f\r]*[0-9]+[ \t\n\x0B\f\r]*\z', '.'), '[0-9]+[ \t\n\x0B\f\r]*\z', ''), ' ') AS cleaned FROM h")
 def clean_titles(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "filing_item").where(F.col("item_title").isNotNull() & F.col("item_number").isNotNull() & ~F.rlike("item_title", F.lit(r"[0-9]\s*$")))
-    return rows.select("row_id", X.clean_title(F.concat(F.lit("Item "), "item_number", F.lit(" "), "item_title", F.lit(" 57"))).alias("title"))
+    return _headings(spark, d).select("row_id", "title", X.clean_title(F.col("title")).alias("cleaned"))
 
 
 @query(f"SELECT row_id, md5({_COLLAPSED}) AS collapsed, md5({_CANONICAL}) AS canonical, CAST(len({_WORDS}) AS INT) AS tokens FROM filing_item WHERE text_content IS NOT NULL")
@@ -184,7 +190,25 @@ def chunk_sizes(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("overlap_tokens", chunks.overlap_tokens(F.col("item_id"), F.col("chunk_tokens")))
 
 
-@query()
+def _packed_sql() -> str:
+    """units: row_id, item_id, unit_id, unit_text, ... of every item with at least two. A recursion over paragraphs keeps
+    what is packed so far; a full pack and each window of a long paragraph is a unit."""
+    from peerlens.config import CHUNK_TOKENS
+
+    known = " ".join(f"WHEN '{k}' THEN {v}" for k, v in CHUNK_TOKENS.items())
+    size = f"CASE item_id {known} ELSE 280 END"
+    words = lambda x: f"regexp_extract_all({x}, '{_NWS}+')"
+    return rf"""c AS (SELECT row_id, {_ITEM} AS item_id, {_CANONICAL} AS x FROM filing_item WHERE text_content IS NOT NULL),
+q AS (SELECT row_id, item_id, CAST({size} AS INT) AS chunk, CAST(greatest(40, least(120, round_even({size} * 0.2, 0))) AS INT) AS overlap, list_filter(list_transform(regexp_split_to_array(x, '\n{_WS}*\n'), lambda p: regexp_replace(p, '\A{_WS}+|{_WS}+\z', '', 'g')), lambda p: p <> '') AS p FROM c WHERE x <> ''),
+w AS (SELECT row_id, 0 AS i, CAST([] AS VARCHAR[]) AS done, '' AS pack, 0 AS filled FROM q UNION ALL
+  SELECT row_id, i, CASE WHEN n >= chunk THEN list_concat(done, list_transform(list_filter(range(0, n, greatest(1, chunk - overlap)), lambda a: least(n - a, chunk) >= 20), lambda a: array_to_string(l[a + 1 : a + chunk], ' '))) WHEN filled + n > chunk AND filled >= 20 THEN list_append(done, pack) ELSE done END,
+    CASE WHEN n >= chunk THEN pack WHEN filled + n > chunk OR filled = 0 THEN t ELSE pack || chr(10) || chr(10) || t END, CASE WHEN n >= chunk THEN filled WHEN filled + n > chunk THEN n ELSE filled + n END
+  FROM (SELECT w.row_id, w.i + 1 AS i, done, pack, filled, chunk, overlap, q.p[w.i + 1] AS t, {words("q.p[w.i + 1]")} AS l, len({words("q.p[w.i + 1]")}) AS n FROM w JOIN q USING (row_id) WHERE w.i < len(q.p))),
+f AS (SELECT w.row_id, item_id, chunk, overlap, CASE WHEN filled >= 20 THEN list_append(done, pack) ELSE done END AS u FROM w JOIN q USING (row_id) WHERE i = len(p)),
+units AS (SELECT row_id, item_id, CAST(unnest(range(1, len(u) + 1)) AS INT) AS unit_id, unnest(u) AS unit_text, chunk AS chunk_tokens, overlap AS overlap_tokens FROM f WHERE len(u) >= 2)"""
+
+
+@query(lambda: f"WITH RECURSIVE {_packed_sql()} SELECT row_id, item_id, unit_id, unit_text, chunk_tokens, overlap_tokens, CAST(len(regexp_extract_all(unit_text, '{_NWS}+')) AS INT) AS unit_tokens FROM units")
 def packed_units(spark: SparkSession, d: str) -> DataFrame:
     return chunks.units(table(spark, d, "filing_item"), ["row_id"], "item_number", "text_content", least=20, min_units=2)
 
@@ -196,12 +220,12 @@ def unit_rollup(spark: SparkSession, d: str) -> DataFrame:
     return chunks.unit_rollup(rows.withColumn("unit_tokens", X.token_count(F.col("w"))), ["doc_id"], 3)
 
 
-@query("WITH i AS (SELECT lpad(cik, 10, '0') AS firm_id, CAST(year AS INT) AS year, filing, upper(trim(item_number)) AS item_id, max(row_id) AS row_id, max(length(text_content)) AS n FROM filing_item WHERE item_number IS NOT NULL GROUP BY ALL) SELECT c.firm_id, c.year, c.filing, c.item_id, c.row_id, p.row_id AS previous_row_id, p.row_id IS NOT NULL AS previous_year_available FROM i c LEFT JOIN i p ON c.firm_id = p.firm_id AND c.filing = p.filing AND c.item_id = p.item_id AND p.year = c.year - 1")
+@query(f"WITH i AS (SELECT lpad(cik, 10, '0') AS firm_id, CAST(year AS INT) AS year, filing, upper(trim(item_number)) AS item_id, max(row_id) AS row_id FROM filing_item WHERE item_number IS NOT NULL GROUP BY ALL), t AS (SELECT i.*, text_content FROM i JOIN filing_item USING (row_id)), c AS (SELECT *, CASE WHEN len({_WORDS}) > 50 THEN array_to_string({_WORDS}[:50], ' ') ELSE text_content END AS first_50 FROM t) SELECT c.firm_id, c.year, c.filing, c.item_id, c.row_id, md5(p.first_50) AS previous, p.first_50 IS NOT NULL AS previous_year_available FROM c LEFT JOIN c p ON c.firm_id = p.firm_id AND c.filing = p.filing AND c.item_id = p.item_id AND c.year = p.year + 1")
 def previous_year(spark: SparkSession, d: str) -> DataFrame:
     keys = ["firm_id", "filing", "item_id"]
-    rows = table(spark, d, "filing_item").where("item_number IS NOT NULL").groupBy(F.lpad("cik", 10, "0").alias("firm_id"), F.col("year").cast("int").alias("year"), "filing", F.upper(F.btrim("item_number")).alias("item_id")).agg(F.max("row_id").alias("row_id"))
-    before = rows.select(*keys, (F.col("year") + 1).alias("year"), F.col("row_id").alias("previous_row_id"))
-    return rows.join(before, [*keys, "year"], "left").select("firm_id", "year", "filing", "item_id", "row_id", "previous_row_id", F.col("previous_row_id").isNotNull().alias("previous_year_available"))
+    rows = table(spark, d, "filing_item").where("item_number IS NOT NULL").groupBy(F.lpad("cik", 10, "0").alias("firm_id"), F.col("year").cast("int").alias("year"), "filing", F.upper(F.btrim("item_number")).alias("item_id")).agg(F.max(F.struct("row_id", "text_content")).alias("r"))
+    rows = rows.select(*keys, "year", "r.*")
+    return models.with_previous_year(rows, keys, "text_content", 50).select(*keys, "year", "row_id", F.md5("previous_text").alias("previous"), "previous_year_available")
 
 
 # --- vectors ---
@@ -297,8 +321,13 @@ h AS (SELECT *, round(items_matched / 23, 6) AS coverage_share, round(avg_item_s
 o AS (SELECT *, CAST(row_number() OVER (PARTITION BY focal_firm, year ORDER BY final_score DESC, avg_rerank DESC, avg_cosine DESC, peer_firm) AS INT) AS rank, max(u) OVER (PARTITION BY focal_firm, year) AS mu FROM h)
 SELECT focal_firm, year, peer_firm, items_matched, avg_cosine, avg_rerank, avg_item_score, coverage_share, final_score, rank FROM o WHERE rank <= greatest(1, ceil(mu * 0.1))""")
 def peer_final_ranking(spark: SparkSession, d: str) -> DataFrame:
+    return peer_ranking(spark, d, F.expr(_FOCAL.format("firm")))
+
+
+def peer_ranking(spark: SparkSession, d: str, focal: Column) -> DataFrame:
+    """The best peers of the focal firms by vectors and the scores of peer_ranking."""
     scores = peers.clean_scores(table(spark, d, "peer_ranking"))
-    detail = _candidates(spark, d).join(scores, ["focal_firm", "year", "peer_firm"], "left")
+    detail = vectors.candidates(_keyed(spark, d), focal).join(scores, ["focal_firm", "year", "peer_firm"], "left")
     detail = detail.withColumn("rerank_score", F.coalesce("score", F.lit(0.0)) / 100)
     return peers.final_ranking(detail, 23, top_share=0.1)
 
@@ -352,7 +381,23 @@ def orthogonal_candidates(spark: SparkSession, d: str) -> DataFrame:
 # --- texts and model calls ---
 
 
-@query()
+def _normalized_sql() -> str:
+    """Compatibility forms by a table made from the Unicode database, composed again by SQL."""
+    import sys
+    import unicodedata
+
+    every = [chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
+    pairs = [(ord(c), unicodedata.normalize("NFKD", c)) for c in every if not c.isascii() and unicodedata.normalize("NFKD", c) != unicodedata.normalize("NFD", c)]
+    wide = ", ".join(f"({a}, '{b.replace(chr(39), chr(39) * 2)}')" for a, b in pairs)
+    hidden = ", ".join(str(ord(c)) for c in every if unicodedata.category(c) == "Cf")
+    return f"""WITH m(c, r) AS (VALUES {wide}),
+t AS (SELECT row_id, unnest(range(1, length(text_content) + 1)) AS i, unnest(string_split(text_content, '')) AS c FROM filing_item WHERE text_content <> ''),
+k AS (SELECT row_id, nfc_normalize(string_agg(coalesce(r, t.c), '' ORDER BY i)) AS n FROM t LEFT JOIN m ON unicode(t.c) = m.c GROUP BY row_id),
+v AS (SELECT row_id, translate(array_to_string(list_filter(string_split(n, ''), lambda c: unicode(c) NOT IN ({hidden})), ''), '•●■▪◦⁃∙‘’“”–—', '       ' || chr(39) || chr(39) || '""--') AS n FROM k)
+SELECT f.row_id, md5(CASE WHEN text_content = '' THEN '' ELSE coalesce(v.n, CASE WHEN text_content IS NOT NULL THEN '' END) END) AS normalized FROM filing_item f LEFT JOIN v USING (row_id)"""
+
+
+@query(_normalized_sql)
 def normalized_texts(spark: SparkSession, d: str) -> DataFrame:
     return filings.normalized(table(spark, d, "filing_item").select("row_id", "text_content"), "text_content").select("row_id", F.md5("normalized").alias("normalized"))
 
@@ -364,18 +409,25 @@ def summary_windows(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("part_words", models.partial_target(1000, F.col("windows")))
 
 
-@query()
+@query(f"WITH t AS (SELECT row_id, regexp_extract_all(text_content, '{_NWS}+') AS w FROM filing_item WHERE text_content IS NOT NULL) SELECT row_id, array_to_string(w[:120], ' ') AS summary, 1000 AS target_words, 'llama3.2:3b' AS llm, CAST(CASE WHEN len(w) <= 3500 THEN 1 ELSE ceil(len(w) / 3150) END AS INT) AS windows FROM t WHERE len(w) > 0")
 def summaries(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "filing_item").where("text_content IS NOT NULL").select("row_id", F.coalesce("item_number", F.lit("")).alias("item"), "text_content")
     return models.summarize(rows, ["row_id"], "item", "text_content", models.lead_words(), "llama3.2:3b")
 
 
-@query("WITH r AS (SELECT focal_firm, year, peer_firm, score, 'Reply: {\"score\": ' || CAST(CAST(score AS DECIMAL(12, 4)) AS VARCHAR) || ', \"reason\": \"alike\"} end' AS reply FROM peer_ranking WHERE isfinite(score) AND abs(score) < 1e6) SELECT DISTINCT focal_firm, year, peer_firm, round(greatest(0, least(100, CAST(json_extract(regexp_extract(reply, '(\\{.*\\})', 1), '$.score') AS DOUBLE))) / 100, 6) + 0.0 AS score, json_extract_string(regexp_extract(reply, '(\\{.*\\})', 1), '$.reason') AS reason FROM r")
+@query("""WITH r AS (SELECT DISTINCT focal_firm, year, peer_firm, score, CAST(right(trim(peer_firm), 1) AS INT) % 7 AS form, score IS NOT NULL AND isfinite(score) AND abs(score) < 1e6 AS good FROM peer_ranking WHERE peer_firm IS NOT NULL),
+v AS (SELECT *, CASE WHEN form IN (0, 1, 2) AND good THEN greatest(0, least(100, CAST(CAST(score AS DECIMAL(12, 4)) AS DOUBLE))) / 100 WHEN form = 3 THEN 0.0 END AS s FROM r)
+SELECT DISTINCT focal_firm, year, peer_firm, round(s, 6) + 0.0 AS score, CASE WHEN form = 0 AND s IS NOT NULL THEN 'alike' WHEN form = 3 THEN 'none' WHEN s IS NOT NULL THEN '' END AS reason,
+CASE WHEN s IS NOT NULL THEN NULL WHEN form = 1 AND NOT good THEN 'the score is no number' ELSE 'no JSON object in the reply' END AS error FROM v""")
 def rerank_replies(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "peer_ranking").where("NOT isnan(score) AND abs(score) < 1e6")
-    reply = F.concat(F.lit('Reply: {"score": '), F.col("score").cast("decimal(12,4)").cast("string"), F.lit(', "reason": "alike"} end'))
-    rows = rows.select("focal_firm", "year", "peer_firm", models.parse_reply(reply).alias("r"))
-    return rows.select("focal_firm", "year", "peer_firm", (F.round("r.score", 6) + 0.0).alias("score"), "r.reason").distinct()
+    """Replies of seven forms, by the last digit of the peer."""
+    score = F.col("score")
+    good = score.isNotNull() & ~F.isnan(score) & (F.abs(score) < 1e6)
+    text = F.when(good, F.when(good, score).otherwise(F.lit(0.0)).cast("decimal(12,4)").cast("string")).otherwise("NaN")
+    reply = [F.concat(F.lit('{"score": '), text, F.lit(', "reason": "alike"}')), F.concat(F.lit('Reply: {"score": "'), F.when(good, text).otherwise("high"), F.lit('"} end')), F.concat(F.lit('{"score": '), text, F.lit(', "reason": null}')), F.lit('{"reason": " none "}'), F.concat(F.lit('{"score": '), F.lit("80"), F.lit('} or {"score": 20}')), F.concat(F.lit("["), text, F.lit("]")), F.lit("no object")]
+    form = F.right(F.btrim("peer_firm"), F.lit(1)).cast("int") % 7
+    rows = table(spark, d, "peer_ranking").where("peer_firm IS NOT NULL").select("focal_firm", "year", "peer_firm", models.parse_reply(F.element_at(F.array(*reply), form + 1)).alias("r"))
+    return rows.select("focal_firm", "year", "peer_firm", (F.round("r.score", 6) + 0.0).alias("score"), "r.reason", "r.error").distinct()
 
 
 @query("SELECT focal_firm, year, peer_firm, round(avg_cosine * 0.3 + avg_rerank * 0.7, 6) + 0.0 AS fused FROM peer_ranking WHERE isfinite(avg_cosine) AND isfinite(avg_rerank)")
@@ -384,7 +436,17 @@ def fused_scores(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("focal_firm", "year", "peer_firm", (F.round(peers.fuse(F.col("avg_cosine"), F.col("avg_rerank")), 6) + 0.0).alias("fused"))
 
 
-@query()
+@query(lambda: f"""WITH RECURSIVE {_packed_sql()},
+x AS (SELECT row_id, unit_id, unnest(regexp_extract_all(lower(unit_text), '{_NWS}+')) AS w FROM units),
+h AS (SELECT row_id, unit_id, CAST(('0x' || substr(md5(w), 15, 2)) AS INT) % 64 AS pos, CASE WHEN substr(md5(w), 1, 1) >= '8' THEN 1 ELSE -1 END AS s FROM x),
+a AS (SELECT row_id, unit_id, pos, sum(s) AS s FROM h GROUP BY ALL), l AS (SELECT row_id, unit_id, sqrt(sum(s * s)) AS l FROM a GROUP BY ALL),
+z AS (SELECT row_id, unit_id, pos, coalesce(CAST(CAST(s / (l + 1e-12) AS FLOAT) AS DOUBLE), 0) AS x FROM (SELECT row_id, unit_id, unnest(range(0, 64)) AS pos FROM units) LEFT JOIN a USING (row_id, unit_id, pos) LEFT JOIN l USING (row_id, unit_id)),
+c2 AS (SELECT row_id, pos, avg(x) AS c, count(*) AS n FROM z GROUP BY ALL),
+w2 AS (SELECT row_id, unit_id, sqrt(sum((x - c) * (x - c))) + 1e-6 AS w FROM z JOIN c2 USING (row_id, pos) GROUP BY ALL),
+p2 AS (SELECT row_id, quantile_cont(w, 0.95) AS cap, count(*) AS num_units FROM w2 GROUP BY ALL),
+l2 AS (SELECT row_id, unit_id, least(w, cap) AS w FROM w2 JOIN p2 USING (row_id)),
+s2 AS (SELECT row_id, pos, sum(x * w) / (sum(w) + 1e-12) AS m FROM z JOIN l2 USING (row_id, unit_id) GROUP BY ALL), t2 AS (SELECT row_id, sqrt(sum(m * m)) AS nrm FROM s2 GROUP BY ALL)
+SELECT row_id, num_units, CAST(pos AS INT) AS pos, round(m / (nrm + 1e-12), 6) + 0.0 AS value FROM s2 JOIN t2 USING (row_id) JOIN p2 USING (row_id)""")
 def pooled_units(spark: SparkSession, d: str) -> DataFrame:
     units = chunks.units(table(spark, d, "filing_item"), ["row_id"], "item_number", "text_content", least=20, min_units=2)
     embedded = vectors.embed(units, "unit_text", vectors.HashEmbedder(64))
@@ -392,12 +454,19 @@ def pooled_units(spark: SparkSession, d: str) -> DataFrame:
     return _long(pooled.select("row_id", "num_units", "pooled"), ["row_id", "num_units"], "pooled")
 
 
-@query()
+@query(f"""WITH {_SCORED}, t AS (SELECT lpad(trim(cik), 10, '0') AS firm, arg_max(text_content, row_id) AS x FROM filing_item WHERE text_content IS NOT NULL GROUP BY ALL),
+e AS (SELECT firm, CASE WHEN length(c) > 12000 THEN left(c, 6000) || chr(10) || '...' || chr(10) || right(c, 6000) ELSE c END AS x FROM (SELECT firm, {_COLLAPSED.replace('text_content', 'x')} AS c FROM t WHERE trim(x) <> '')),
+w AS (SELECT firm, list_distinct(regexp_extract_all(lower(x), '{_NWS}+')) AS w FROM e),
+dt AS (SELECT q.*, coalesce(round(100 * len(list_intersect(a.w, b.w)) / nullif(len(list_distinct(list_concat(a.w, b.w))), 0), 4), 0) / 100 AS rerank_score FROM q JOIN w a ON a.firm = focal_firm JOIN w b ON b.firm = peer_firm WHERE focal_firm <> peer_firm),
+g AS (SELECT focal_firm, year, peer_firm, count(DISTINCT item_id) AS items_matched, round(avg(cosine_score), 6) AS avg_cosine, round(avg(rerank_score), 6) AS avg_rerank, round(avg(cosine_score * 0.3 + rerank_score * 0.7), 6) AS avg_item_score FROM dt GROUP BY ALL),
+h AS (SELECT *, round(items_matched / 23, 6) AS coverage_share, round(avg_item_score * round(items_matched / 23, 6), 6) AS final_score FROM g)
+SELECT *, CAST(row_number() OVER (PARTITION BY focal_firm, year ORDER BY final_score DESC, avg_rerank DESC, avg_cosine DESC, peer_firm) AS INT) AS rank FROM h""")
 def reranked_peers(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "filing_item").where("text_content IS NOT NULL")
-    texts = rows.groupBy(X.cik(F.col("cik")).alias("firm"), F.col("year").cast("int").alias("year"), X.item_id(F.col("item_number")).alias("item_id")).agg(F.max_by("text_content", "row_id").alias("text"))
-    detail = models.rerank(_candidates(spark, d), texts)
-    return peers.final_ranking(detail, 23, None)
+    """All peers of the focal firms that have both a vector and a text, the latest of any item, reranked."""
+    rows, keyed = table(spark, d, "filing_item").where("text_content IS NOT NULL"), _keyed(spark, d)
+    latest = rows.groupBy(X.cik(F.col("cik")).alias("firm")).agg(F.max_by("text_content", "row_id").alias("text"))
+    texts = keyed.select("firm", "year", "item_id").join(latest, "firm")
+    return peers.final_ranking(models.rerank(vectors.candidates(keyed, F.expr(_FOCAL.format("firm")), 1.0), texts), 23, None)
 
 
 import peerlens.filing_queries  # noqa: E402, F401 - registers its queries
