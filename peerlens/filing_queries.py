@@ -3,14 +3,18 @@ come out: a table of contents with links, a section for each item, and an end ma
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from peerlens.config import FORM_ITEMS
 from peerlens.functions import text as X
-from peerlens.operators import filings, index_records
+from peerlens.operators import download, filings, index_records, models
+from peerlens.plans import shared_folder, stage
 from peerlens.registry import query
-from peerlens.sources import table
+from peerlens.sources import files, remote, sinks, table
+from peerlens.streaming import ingest
 
 _LEAD, _SUB = "several statements about material matters were made here within this annual report", "Overview Of Important Matters"
 
@@ -102,3 +106,126 @@ def parsed_index(spark: SparkSession, d: str) -> DataFrame:
 def html_texts(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "filing_item").where("html_content IS NOT NULL").select("row_id", "html_content")
     return filings.html_texts(rows, "html_content", "visible").select("row_id", X.collapse(F.col("text")).alias("text"))
+
+
+# --- files, fetches and streams ---
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query(f"WITH {_PARTS} SELECT cik, year, filing AS form, ord, item_id, anchor, toc_title AS title FROM toc")
+def filing_files(spark: SparkSession, d: str) -> DataFrame:
+    """Filings written as files of their own and read back by their paths."""
+    folder = _folder(spark, "filings")
+    sinks.write_files(_filings(spark, d), folder, sinks.artifact_path(".htm"), F.col("html"))
+    found = files.filings(spark, folder).withColumn("year", F.col("year").cast("string"))
+    return filings.toc_entries(found).select("cik", "year", "form", "ord", "item_id", "anchor", "title")
+
+
+@query(f"WITH {_PARTS} SELECT cik AS firm_id, CAST(year AS INT) AS year, filing AS form, item_id, toc_title AS item_title, md5('ITEM ' || item_id || '. ' || title || ' {_SUB} ' || body) AS text, 'composed' AS source FROM s WHERE filing = '10-K'")
+def item_artifacts(spark: SparkSession, d: str) -> DataFrame:
+    """Items of annual reports written as JSON artifacts and read back."""
+    folder = _folder(spark, "items")
+    items = filings.extract_items(_filings(spark, d).withColumn("source_path", F.lit("composed")))
+    sinks.write_items(items, folder)
+    found = files.item_files(spark, folder, "10-K")
+    return found.select("firm_id", "year", "form", "item_id", "item_title", F.md5("text_content").alias("text"), F.lit("composed").alias("source"))
+
+
+@query(f"WITH {_PARTS} SELECT cik AS firm_id, CAST(year AS INT) AS year, filing AS form, item_id, n.node_ord, n.node_ord - 1 AS parent_ord, 'heading' AS type, n.node_ord + 1 AS layer, CASE n.node_ord WHEN 0 THEN toc_title ELSE '{_SUB}' END AS heading, CASE n.node_ord WHEN 1 THEN md5(body) END AS body FROM s, (VALUES (0), (1)) n(node_ord)")
+def structure_artifacts(spark: SparkSession, d: str) -> DataFrame:
+    folder = _folder(spark, "structures")
+    sinks.write_structures(filings.structure_nodes(filings.extract_items(_filings(spark, d)).drop("text_content")), folder)
+    found = files.structure_files(spark, folder)
+    return found.select("firm_id", "year", "form", "item_id", "node_ord", "parent_ord", "type", "layer", "heading", F.md5("body").alias("body"))
+
+
+@query(f"WITH {_PARTS} SELECT cik AS firm_id, CAST(year AS INT) AS year, filing AS form, item_id, array_to_string((string_split('ITEM ' || item_id || '. ' || title || ' {_SUB} ' || body, ' '))[:120], ' ') AS summary, 1000 AS target_words, 'llama3.2:3b' AS llm FROM s")
+def summary_artifacts(spark: SparkSession, d: str) -> DataFrame:
+    folder, keys = _folder(spark, "summaries"), ["firm_id", "year", "form", "item_id"]
+    items = filings.extract_items(_filings(spark, d)).select(F.col("cik").alias("firm_id"), F.col("year").cast("int").alias("year"), "form", "item_id", F.col("item_id").alias("_i"), "text_content")
+    done = models.summarize(items, keys, "_i", "text_content", models.lead_words(), "llama3.2:3b").withColumn("previous_year_available", F.lit(False))
+    sinks.write_summaries(done, folder)
+    return files.summary_files(spark, folder).select(*keys, "summary", "target_words", "llm")
+
+
+@query("""WITH r AS (SELECT file_name, accession_number, CAST(right(cik, 1) AS INT) AS e, CAST(right(cik, 2) AS INT) + 1980 AS fy FROM index_record WHERE cik IS NOT NULL)
+SELECT file_name, accession_number, CASE WHEN e < 8 THEN fy END AS fiscal_year, CASE WHEN e < 8 AND e <> 3 THEN 'December 31, ' || fy END AS period_of_report, CASE WHEN e % 2 = 0 THEN 'AB' || e || ',XY' ELSE '' END AS ticker_symbols FROM r""")
+def ixbrl_tags(spark: SparkSession, d: str) -> DataFrame:
+    """Tags of composed filings, of which some lack the year, the period or the symbols."""
+    rows = table(spark, d, "index_record").where("cik IS NOT NULL")
+    ending, year = F.right("cik", F.lit(1)).cast("int"), (F.right("cik", F.lit(2)).cast("int") + 1980).cast("string")
+    tag = lambda name, value: F.concat(F.lit(f'<ix:nonNumeric contextRef="c" name="dei:{name}" id="x"><span>'), value, F.lit("</span></ix:nonNumeric>\n"))
+    focus = F.when(ending.isin(0, 1, 2, 3), tag("DocumentFiscalYearFocus", year)).otherwise("")
+    period = F.when((ending < 8) & (ending != 3), tag("DocumentPeriodEndDate", F.concat(F.lit("December  31,</span> <b>"), year, F.lit("</b><span>")))).otherwise("")
+    symbol = F.concat(F.lit("ab"), ending.cast("string"))
+    symbols = F.when(ending % 2 == 0, F.concat(tag("TradingSymbol", symbol), tag("TradingSymbol", F.lit(" xy ")), tag("TradingSymbol", F.upper(symbol)))).otherwise("")
+    tags = X.ixbrl_tags(F.concat(F.lit("<html>"), focus, period, symbols, F.lit("</html>")))
+    return rows.select("file_name", "accession_number", tags.alias("t")).select("file_name", "accession_number", "t.fiscal_year", "t.period_of_report", F.array_join("t.ticker_symbols", ",").alias("ticker_symbols"))
+
+
+def quarter(year: int, number: int) -> str:
+    """The index file of a quarter, by rule: as many firms as its number, none in the first of odd years; 2022 is closed."""
+    if year == 2022:
+        raise OSError("closed")
+    if year % 2 and number == 1:
+        return ""
+    rows = [f"Firm {i}|10-{'KQ'[i % 2]}|{year * 10 + i}|{year}-0{number}-1{i}|edgar/{year * 10 + i:010}-{year % 100:02}-{number:06}.txt" for i in range(number)]
+    return "\n".join(["Company Name|Form Type|CIK|Date Filed|File Name", "-" * 80, *rows, ""])
+
+
+@query("""WITH y AS (SELECT unnest([2019, 2020, 2021]) AS y), q AS (SELECT unnest(range(1, 5)) AS q), r AS (SELECT y, q, unnest(range(0, q)) AS i FROM y, q WHERE NOT (y % 2 = 1 AND q = 1))
+SELECT y || '/QTR' || q || '/company.idx' AS path, 'Firm ' || i AS company_name, CASE i % 2 WHEN 0 THEN '10-K' ELSE '10-Q' END AS form_type, lpad(CAST(y * 10 + i AS VARCHAR), 10, '0') AS cik_padded, y || '-0' || q || '-1' || i AS date_filed, lpad(CAST(y * 10 + i AS VARCHAR), 10, '0') || '-' || lpad(CAST(y % 100 AS VARCHAR), 2, '0') || '-' || lpad(CAST(q AS VARCHAR), 6, '0') AS accession_number, CAST(NULL AS VARCHAR) AS error FROM r
+UNION ALL SELECT '2022/QTR' || q || '/company.idx', NULL, NULL, NULL, NULL, NULL, 'closed' FROM q""")
+def fetched_quarters(spark: SparkSession, d: str) -> DataFrame:
+    """Records of quarters from a fetcher, with the quarters that failed."""
+    spark.dataSource.register(remote.QuarterlyIndex)
+    got = stage(spark.read.format("quarterly_index").option("years", "2019,2020,2021,2022").option("fetcher", "peerlens.filing_queries:quarter").option("tasks", "4").load(), "quarters")
+    none = [F.lit(None).cast("string").alias(c) for c in ("company_name", "form_type", "cik_padded", "date_filed", "accession_number")]
+    records = index_records.parse_index(got).select("path", "company_name", "form_type", "cik_padded", "date_filed", "accession_number", F.lit(None).cast("string").alias("error"))
+    return records.unionByName(got.where("error IS NOT NULL").select("path", *none, "error"))
+
+
+def site(url: str) -> str:
+    """Pages of filings, by rule: of the last digit of the accession number 9 there is no page, 8 has no year, the others
+    end in the fiscal year 2015 + digit."""
+    number = url.rsplit("/", 1)[-1].removesuffix("-index.html").removesuffix(".htm")
+    digit = int(number[-1]) if number[-1:].isdigit() else 9
+    if digit == 9:
+        return ""
+    if url.endswith("-index.html"):
+        return f'<table class="tableFile"><tr><th>Seq</th></tr><tr><td>1</td><td>d</td><td><a href="/ix?doc=/Archives/{number}.htm">{number}.htm</a></td><td>10-K</td></tr></table>'
+    return "<p>plain</p>" if digit == 8 else f'<ix:nonNumeric name="dei:DocumentFiscalYearFocus">{2015 + digit}</ix:nonNumeric>'
+
+
+@query("""WITH r AS (SELECT DISTINCT cik_padded, accession_number, CAST(right(accession_number, 1) AS INT) AS e FROM index_record WHERE trim(accession_number) <> '' AND cik_padded IS NOT NULL)
+SELECT cik_padded, accession_number, CASE WHEN e < 8 THEN 2015 + e END AS fiscal_year, CASE WHEN e = 9 THEN 'failed_download' WHEN e = 8 THEN 'missing_fiscal_metadata' WHEN e IN (3, 4) THEN 'downloaded' ELSE 'skipped_outside_target_fy' END AS status FROM r""")
+def downloads(spark: SparkSession, d: str) -> DataFrame:
+    """Filings fetched from a site that follows a rule, of which two fiscal years are kept."""
+    records = table(spark, d, "index_record").where("trim(accession_number) <> '' AND cik_padded IS NOT NULL").select("cik_padded", "accession_number").distinct().withColumn("date_filed", F.lit("2020-01-01"))
+    return download.download(records, _folder(spark, "downloads"), [2018, 2019], site, "10-K", tasks=4).select("cik_padded", "accession_number", "fiscal_year", "status")
+
+
+@query("SELECT CAST(date_trunc('day', ts) AS DATE)::VARCHAR AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
+def stream_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Events of each hour and type, counted by a stream over files and added up by day."""
+    folder = _folder(spark, "stream")
+    source = table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    source.write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 4).parquet(f"{folder}/in")
+    counts = ingest.windowed_counts(stream, "ts", "event_type", "1 hour", "0 seconds")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out")
+
+    counts.writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/state").foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.parquet(f"{folder}/out")
+    return out.groupBy(F.to_date("window_start").cast("string").alias("day"), "event_type").agg(F.sum("n").alias("n"))
+
+
+@query("SELECT form_type, CAST(count(DISTINCT date_filed[:4]) AS INT) AS years, CASE form_type WHEN '10-K' THEN 4500 WHEN '10-Q' THEN 13500 ELSE 5000 END * CAST(count(DISTINCT date_filed[:4]) AS INT) AS filings, 4 * CAST(count(DISTINCT date_filed[:4]) AS INT) AS quarters FROM index_record WHERE form_type IS NOT NULL GROUP BY form_type")
+def filing_estimates(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "index_record").where("form_type IS NOT NULL").groupBy("form_type").agg(F.count_distinct(F.left("date_filed", F.lit(4))).cast("int").alias("years"))
+    return rows.select("form_type", "years", *index_records.estimates(F.col("form_type"), F.col("years")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -48,6 +49,12 @@ def filing_estimate(form: str, years: int) -> dict[str, int]:
     return {"filings": FILINGS_A_YEAR.get(form, OTHER_FILINGS_A_YEAR) * years, "quarters": 4 * years}
 
 
+def estimates(form: Column, years: Column) -> list[Column]:
+    """filing_estimate as columns: filings and quarters."""
+    a_year = reduce(lambda e, kv: e.when(form == kv[0], kv[1]), FILINGS_A_YEAR.items(), F.when(F.lit(False), 0)).otherwise(OTHER_FILINGS_A_YEAR)
+    return [(a_year * years).cast("int").alias("filings"), (years * 4).cast("int").alias("quarters")]
+
+
 def fiscal_windows(spark: SparkSession, years: Sequence[int], lookahead: int = LOOKAHEAD) -> DataFrame:
     """fiscal_year, first_day, last_day: from January of the year to the end of the month `lookahead` after December."""
     fy = spark.createDataFrame([(int(y),) for y in sorted(set(years))], "fiscal_year INT")

@@ -26,15 +26,25 @@ def shared_folder(spark: SparkSession) -> str:
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: lineage is cut, and each row is computed once.
 
-    The written table is removed when the driver ends.
+    The written table is removed by release(), or else when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
+    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+_written: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def release() -> None:
+    """Removes all stages written so far: for long sessions, once their results have been read."""
+    while _written:
+        _remove(*_written.pop())
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import os
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import DataFrame
+import pandas as pd
+import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from peerlens.plans import stage
@@ -76,6 +81,75 @@ def write_table(df: DataFrame, path: str) -> None:
         df.write.mode("overwrite").option("header", "true").csv(path)
 
 
+def write_files(rows: DataFrame, root: str, path: Column, content: Column) -> int:
+    """Writes each row's text as a file of its own below root, a folder that all executors share, and returns how many. A
+    file is written beside its place and then moved there, so that a task that runs again leaves whole files."""
+    uri = root if "://" in root else "file://" + os.path.abspath(root)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, folder = pafs.FileSystem.from_uri(uri)
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                target = f"{folder.rstrip('/')}/{name}"
+                beside = f"{target}.{uuid.uuid4().hex}"
+                fs.create_dir(target.rpartition("/")[0], recursive=True)
+                with fs.open_output_stream(beside) as f:
+                    f.write(text.encode())
+                fs.move(beside, target)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    chosen = rows.select(path.alias("path"), content.alias("content")).where("path IS NOT NULL AND content IS NOT NULL")
+    return chosen.mapInArrow(run, "n BIGINT").agg(F.sum("n")).first()[0] or 0
+
+
+def artifact_path(suffix: str, cik: str = "cik", year: str = "year", form: str = "form") -> Column:
+    """<cik>/<year>/<form>/<cik>_<year>_<form><suffix>."""
+    parts = [F.col(c).cast("string") for c in (cik, year, form)]
+    return F.concat(F.concat_ws("/", *parts), F.lit("/"), F.concat_ws("_", *parts), F.lit(suffix))
+
+
+def write_items(items: DataFrame, root: str) -> int:
+    """An _item.json for each filing, as files.item_files reads it, of rows as filings.extract_items gives them (cik, year,
+    form, source_path, item_id, item_title, anchor, html_content, text_content, error)."""
+    entry = F.struct(F.col("item_id").alias("item_number"), "item_title", "html_content", "text_content", "error")
+    link = F.struct("anchor", F.col("item_title").alias("title"))
+    of = lambda v: F.map_from_entries(F.array_distinct(F.sort_array(F.collect_list(F.struct(F.col("item_id").alias("key"), v.alias("value"))))))
+    filed = items.groupBy("cik", "year", "form", "source_path").agg(of(link).alias("toc_items"), of(entry).alias("items"))
+    body = F.to_json(F.struct("cik", F.col("year").cast("string").alias("year"), F.col("form").alias("filing"), F.col("source_path").alias("source_file"), "toc_items", "items"))
+    return write_files(filed, root, artifact_path("_item.json"), body)
+
+
+def write_summaries(summaries: DataFrame, root: str) -> int:
+    """An _item_summ.json for each filing, as files.summary_files reads it, of firm_id, year, form, item_id, summary,
+    target_words, llm, previous_year_available."""
+    entry = F.struct("summary", "target_words", "llm", F.lit(None).cast("string").alias("source_path"), "previous_year_available")
+    filed = summaries.groupBy("firm_id", "year", "form").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("item_id", entry)))).alias("items"))
+    body = F.to_json(F.struct("firm_id", "year", F.col("form").alias("filing_type"), "items"))
+    return write_files(filed, root, artifact_path("_item_summ.json", "firm_id"), body)
+
+
+def write_structures(nodes: DataFrame, root: str) -> int:
+    """A _str.json for each filing, as files.structure_files reads it, of rows as filings.structure_nodes gives them: each
+    item's nodes nested again."""
+    node = F.struct("node_ord", "parent_ord", "type", "layer", "heading", "body")
+    trees = nodes.groupBy("cik", "year", "form", "item_id").agg(F.sort_array(F.collect_list(node)).alias("nodes"))
+    item = F.struct("item_id", "nodes")
+    filed = trees.groupBy("cik", "year", "form").agg(F.to_json(F.sort_array(F.collect_list(item))).alias("flat"))
+
+    @F.pandas_udf("string")
+    def nested(flat: pd.Series) -> pd.Series:
+        def tree(rows: list[dict]) -> list[dict]:
+            made = [{k: r.get(k) for k in ("type", "layer", "heading", "body")} | {"children": []} for r in rows]
+            for r, m in zip(rows, made):
+                if r["parent_ord"] >= 0:
+                    made[r["parent_ord"]]["children"].append(m)
+            return [m for r, m in zip(rows, made) if r["parent_ord"] < 0]
+
+        return flat.map(lambda text: json.dumps({"structures": {i["item_id"]: tree(i["nodes"]) for i in json.loads(text)}}))
+
+    return write_files(filed, root, artifact_path("_str.json"), nested("flat"))
+
+
 def write_json(items: DataFrame, path: str, keys: list[str], key: str, fields: list[str], name: str = "items") -> None:
     """One JSON object for each value of keys, with a map `name` from `key` to the fields, partitioned by the keys."""
     entry = F.struct(F.col(key), F.struct(*fields))
