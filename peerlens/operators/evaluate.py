@@ -82,6 +82,12 @@ def metrics(ranking: DataFrame, labels: DataFrame, recall_k: int = 50, ndcg_k: i
     return rows.select(*keys, "label_count", F.when(there, F.round(F.col("_h") / F.col("label_count"), 6)).alias(f"recall_at_{recall_k}"), F.when(there, F.round(F.col("_dcg") / ideal, 6)).alias(f"ndcg_at_{ndcg_k}"))
 
 
+def summary(measured: DataFrame, recall_k: int = 50, ndcg_k: int = 10) -> DataFrame:
+    """One row: rows, labelled (rows with labels) and the mean of each metric over these, rounded to 6 places."""
+    mean = lambda c: (F.round(F.avg(c), 6) + 0.0).alias(c)
+    return measured.agg(F.count("*").alias("rows"), F.count(f"recall_at_{recall_k}").alias("labelled"), mean(f"recall_at_{recall_k}"), mean(f"ndcg_at_{ndcg_k}"))
+
+
 def stability(ranking: DataFrame, top_k: int = 10) -> DataFrame:
     """focal_firm, prev_year, year, top_k, jaccard of the best peers of neighbouring observed years (gaps allowed)."""
     tops = ranking.where((F.col("rank") <= top_k) & F.col("year").isNotNull()).groupBy("focal_firm", "year").agg(F.collect_set("peer_firm").alias("_now"))

@@ -25,8 +25,6 @@ PART, BLOCK = 32_768, 4_000_000
 class Embedder(Protocol):
     """Texts to unit vectors."""
 
-    dim: int
-
     def __call__(self, texts: list[str]) -> np.ndarray: ...
 
 
@@ -45,18 +43,46 @@ class HashEmbedder:
         return (out / (np.linalg.norm(out, axis=1, keepdims=True) + 1e-12)).astype(np.float32)
 
 
-def embed(df: DataFrame, text: str, embedder: Embedder, out: str = "embedding") -> DataFrame:
-    """Adds the vector of each text; the embedder is made once for each worker. Null texts have null vectors."""
+def embed(df: DataFrame, text: str, model: Embedder, out: str = "embedding") -> DataFrame:
+    """Adds the vector of each text; the model is made once for each worker. Null texts have null vectors."""
 
     @F.pandas_udf("array<float>")
     def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            found = embedder([t or "" for t in texts])
+            found = model([t or "" for t in texts])
             yield pd.Series([None if t is None else v for t, v in zip(texts, found)])
 
     return df.withColumn(out, vectors(F.col(text)))
 
 
+class SentenceEmbedder:
+    """A sentence-transformers model, loaded once in each worker that uses it; the library must be installed there."""
+
+    def __init__(self, name: str = "BAAI/bge-m3", batch: int = 32):
+        self.name, self.batch = name, batch
+        self._model = None
+
+    def __getstate__(self) -> dict:
+        return {"name": self.name, "batch": self.batch, "_model": None}
+
+    def __call__(self, texts: list[str]) -> np.ndarray:
+        if self._model is None:
+            from sentence_transformers import SentenceTransformer
+
+            self._model = SentenceTransformer(self.name)
+        return np.asarray(self._model.encode(texts, batch_size=self.batch, normalize_embeddings=True), dtype=np.float32)
+
+
+def embedder(name: str, dim: int = 384) -> Embedder:
+    """`hash` for the stand-in, anything else names a sentence-transformers model."""
+    return HashEmbedder(dim) if name == "hash" else SentenceEmbedder(name)
+
+
+def item_years(vectors: DataFrame) -> DataFrame:
+    """The items and years that have vectors."""
+    return vectors.select("item_id", "year").where("item_id IS NOT NULL AND year IS NOT NULL").distinct()
+
+
 def _components(vec: Column, dim: int, weight: Column | None = None, how=F.avg) -> Column:
     """Element-wise aggregate of a vector column, without exploding it."""
     return F.array(*(how(vec[i].cast("double") * (weight if weight is not None else F.lit(1.0))) for i in range(dim)))

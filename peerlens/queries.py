@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,8 +11,9 @@ from peerlens.config import FORM_ITEMS
 from peerlens.functions import text as X
 from peerlens.functions import vectors as V
 from peerlens.operators import chunks, evaluate, filings, index_records, models, peers, vectors
+from peerlens.plans import shared_folder
 from peerlens.registry import REGISTER, Query, query
-from peerlens.sources import table
+from peerlens.sources import matrices, table
 
 #: White space and its opposite in RE2.
 _WS, _NWS = r"[\t\n\x0B\f\r \x{85}\p{Z}]", r"[^\t\n\x0B\f\r \x{85}\p{Z}]"
@@ -262,6 +265,20 @@ def item_centroids(spark: SparkSession, d: str) -> DataFrame:
     return _long(vectors.centroid(rows, ["item_id", "year"], "u", _DIM), ["item_id", "year"], "centroid")
 
 
+@query(f"WITH {_UNITS}, n AS (SELECT *, row_number() OVER (PARTITION BY firm, item_id, year ORDER BY built_at DESC NULLS LAST, vec_id) AS k FROM u) SELECT firm, item_id, year, CAST(unnest(range(0, 64)) AS INT) AS pos, round(unnest(v), 6) + 0.0 AS value FROM n WHERE k = 1 AND firm IS NOT NULL AND item_id IS NOT NULL AND year IS NOT NULL")
+def vector_files(spark: SparkSession, d: str) -> DataFrame:
+    """The latest vectors written as matrix files, in parts, and read back."""
+    folder = f"{shared_folder(spark).rstrip('/')}/matrices-{uuid.uuid4().hex}"
+    matrices.write_matrices(_keyed(spark, d), folder, 500)
+    back = matrices.read_matrices(spark, folder)
+    return _long(back.withColumn("vec", F.col("vec").cast("array<double>")), ["firm", "item_id", "year"], "vec")
+
+
+@query("SELECT DISTINCT item_id, year FROM vector_matrix WHERE item_id IS NOT NULL AND year IS NOT NULL")
+def item_years(spark: SparkSession, d: str) -> DataFrame:
+    return vectors.item_years(table(spark, d, "vector_matrix"))
+
+
 @query(f"""WITH {_KEYED}, e AS (SELECT firm, item_id, year, unnest(range(0, 64)) AS pos, unnest(e) AS x FROM f),
 c AS (SELECT item_id, year, pos, avg(x) AS c, count(*) AS n FROM e GROUP BY ALL),
 w AS (SELECT firm, item_id, year, CASE WHEN max(n) = 1 THEN 1.0 ELSE sqrt(sum((x - c) * (x - c))) + 1e-6 END AS w FROM e JOIN c USING (item_id, year, pos) GROUP BY ALL),
@@ -356,13 +373,21 @@ def labels_with_analysts(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.with_analysts(_labels(spark, d), table(spark, d, "peer_ranking").where("score > 99 AND score <= 100"))
 
 
-@query(f"""WITH {_LABELS}, {_SCORES}, k AS (SELECT DISTINCT focal_firm, year FROM rk WHERE CAST(focal_firm AS BIGINT) % 20 = 0), n AS (SELECT focal_firm, year, count(*) AS n FROM lb GROUP BY ALL),
+_METRICS = f"""WITH {_LABELS}, {_SCORES}, k AS (SELECT DISTINCT focal_firm, year FROM rk WHERE CAST(focal_firm AS BIGINT) % 20 = 0), n AS (SELECT focal_firm, year, count(*) AS n FROM lb GROUP BY ALL),
 h AS (SELECT focal_firm, year, count(*) FILTER (rank <= 50) AS h, coalesce(sum(1 / log2(rank + 1)) FILTER (rank <= 10), 0) AS dcg FROM rk JOIN lb USING (focal_firm, year, peer_firm) WHERE rank <= 50 GROUP BY ALL)
-SELECT focal_firm, year, coalesce(n, 0) AS label_count, CASE WHEN n > 0 THEN round(coalesce(h, 0) / n, 6) END AS recall_at_50, CASE WHEN n > 0 THEN round(coalesce(dcg, 0) / list_sum(list_transform(range(1, CAST(least(10, n) AS BIGINT) + 1), lambda i: 1 / log2(i + 1))), 6) END AS ndcg_at_10 FROM k LEFT JOIN n USING (focal_firm, year) LEFT JOIN h USING (focal_firm, year)""")
+SELECT focal_firm, year, coalesce(n, 0) AS label_count, CASE WHEN n > 0 THEN round(coalesce(h, 0) / n, 6) END AS recall_at_50, CASE WHEN n > 0 THEN round(coalesce(dcg, 0) / list_sum(list_transform(range(1, CAST(least(10, n) AS BIGINT) + 1), lambda i: 1 / log2(i + 1))), 6) END AS ndcg_at_10 FROM k LEFT JOIN n USING (focal_firm, year) LEFT JOIN h USING (focal_firm, year)"""
+
+
+@query(_METRICS)
 def eval_metrics(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.metrics(_ranking(spark, d).where(_FOCAL.format("focal_firm")), _labels(spark, d))
 
 
+@query(f"WITH m AS ({_METRICS}) SELECT count(*) AS rows, count(recall_at_50) AS labelled, round(avg(recall_at_50), 6) + 0.0 AS recall_at_50, round(avg(ndcg_at_10), 6) + 0.0 AS ndcg_at_10 FROM m")
+def eval_summary(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.summary(eval_metrics(spark, d))
+
+
 @query(f"""WITH {_SCORES}, t AS (SELECT focal_firm, year, list(peer_firm) AS p FROM rk WHERE rank <= 10 AND year IS NOT NULL GROUP BY ALL), l AS (SELECT *, lag(year) OVER (PARTITION BY focal_firm ORDER BY year) AS prev_year, lag(p) OVER (PARTITION BY focal_firm ORDER BY year) AS pp FROM t)
 SELECT focal_firm, prev_year, year, 10 AS top_k, round(len(list_intersect(p, pp)) / len(list_distinct(list_concat(p, pp))), 6) AS jaccard FROM l WHERE prev_year IS NOT NULL""")
 def yoy_stability(spark: SparkSession, d: str) -> DataFrame:

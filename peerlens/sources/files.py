@@ -123,8 +123,13 @@ def any_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return rows.select(*(F.col(c).cast(kinds.get(c, "string")).alias(c) for c in rows.columns))
 
 
-def ticker_map(spark: SparkSession, path: str) -> DataFrame:
-    """fiscal_year, cik, ticker, source, updated_at; a byte-order mark is tolerated."""
+def ticker_map(spark: SparkSession, path: str, legacy: str | None = None) -> DataFrame:
+    """fiscal_year, cik, ticker, source, updated_at; a byte-order mark is tolerated. If the map is missing or has no rows,
+    the legacy one is read."""
+    from peerlens.sources.sinks import exists
+
+    if legacy and (not exists(spark, path) or not spark.read.option("header", "true").csv(path).limit(1).count()):
+        path = legacy
     rows = spark.read.option("header", "true").csv(path)
     rows = rows.toDF(*(c.lstrip("﻿").strip() for c in rows.columns))
     names = [f.split()[0] for f in TICKERS.split(", ")]

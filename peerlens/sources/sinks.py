@@ -81,10 +81,17 @@ def write_table(df: DataFrame, path: str) -> None:
         df.write.mode("overwrite").option("header", "true").csv(path)
 
 
+def shared_uri(root: str) -> str:
+    """The URI of a folder that all executors share; a path without scheme is a file path."""
+    if root.startswith("file:"):
+        return "file://" + root.removeprefix("file:").removeprefix("//")
+    return root if "://" in root else "file://" + os.path.abspath(root)
+
+
 def write_files(rows: DataFrame, root: str, path: Column, content: Column) -> int:
     """Writes each row's text as a file of its own below root, a folder that all executors share, and returns how many. A
     file is written beside its place and then moved there, so that a task that runs again leaves whole files."""
-    uri = root if "://" in root else "file://" + os.path.abspath(root)
+    uri = shared_uri(root)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, folder = pafs.FileSystem.from_uri(uri)

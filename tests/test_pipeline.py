@@ -2,12 +2,13 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from peerlens import cli
 from peerlens.operators import index_records
-from peerlens.sources import files, remote, sinks
+from peerlens.sources import files, matrices, remote, sinks
 from peerlens.streaming import ingest
 from tests.test_html import filing
 
@@ -34,11 +35,16 @@ def test_commands(spark, tree, tmp_path):
     assert spark.read.parquet(f"{out}/nodes").where("heading = 'We may fail.'").count() == 6
     run("extract", "--filing_dir", tree, "--out", out)
     assert spark.read.parquet(f"{out}/items").count() == 18  # the second run adds nothing
-    run("summarize", "--out", out)
+    json_root = tmp_path / "json"
+    run("extract", "--filing_dir", tree, "--out", out, "--json", json_root)
+    assert files.item_files(spark, str(json_root)).count() == 18 and files.structure_files(spark, str(json_root)).count() == spark.read.parquet(f"{out}/nodes").count()
+    run("summarize", "--out", out, "--json", json_root)
+    assert files.summary_files(spark, str(json_root)).count() == 18
     done = spark.read.parquet(f"{out}/summaries")
     assert done.count() == 18 and done.where("previous_year_available").count() == 9
     for scope in ("all", "summary", "heading", "body"):
-        run("vectors", "--out", out, "--scope", scope, "--dim", 64, "--min_unit_tokens", 2, "--min_units_per_item", 1)
+        run("vectors", "--out", out, "--scope", scope, "--dim", 64, "--min_unit_tokens", 2, "--min_units_per_item", 1, "--matrices", tmp_path / "npz")
+    assert matrices.read_matrices(spark, str(tmp_path / "npz" / "all")).count() == 18
     table = spark.read.parquet(f"{out}/item_vectors")
     assert table.where("scope = 'all'").count() == 18 and table.where("scope = 'summary'").count() == 18
     got = run("peers", "--out", out, "--focalfirm", "1", "--year", 2022, "--item", "1", "1a", "--peer_path", f"{out}/peers", "--q_share", "0.5", "--top_share", "1").orderBy("rank").collect()
@@ -46,7 +52,7 @@ def test_commands(spark, tree, tmp_path):
     metadata = tmp_path / "meta.csv"
     metadata.write_text("firm_id,year,sic\n0000000001,2022,10\n0000000002,2022,10\n")
     total = run("evaluate", "--peer_path", f"{out}/peers.parquet", "--metadata_path", metadata, "--out", out).first()
-    assert total.recall_at_50 == 1.0
+    assert total.recall_at_50 == 1.0 and spark.read.json(f"{out}/runs").count() == 1
 
 
 def test_index_command(spark, tmp_path):
@@ -55,6 +61,27 @@ def test_index_command(spark, tmp_path):
     assert [tuple(r) for r in got.collect()] == [(2021, 2, 2)]
 
 
+def test_items_without_text_are_read_from_their_html(spark, tmp_path):
+    rows = [("1", 2020, "10-K", "1", "text", "<p>html</p>", None), ("2", 2020, "10-K", "1", " ", "<p>from <b>html</b></p><script>x</script>", None), ("3", 2020, "10-K", "1", None, None, None), ("4", 2020, "10-K", "1", None, "<p>bad</p>", "error")]
+    spark.createDataFrame(rows, "cik STRING, year INT, form STRING, item_id STRING, text_content STRING, html_content STRING, error STRING").write.parquet(str(tmp_path / "items"))
+    args = cli.parser().parse_args(["vectors", "--out", str(tmp_path)])
+    assert {r.firm_id: r.text for r in cli._items(spark, args).collect()} == {"1": "text", "2": "from html", "3": None}
+
+
+def test_legacy_tickers(spark, tmp_path):
+    (tmp_path / "empty.csv").write_text("fiscal_year,cik,ticker\n")
+    (tmp_path / "old.csv").write_text("fiscal_year,cik,ticker\n2020,1,ABC\n")
+    for name in ("empty.csv", "none.csv"):
+        assert files.ticker_map(spark, str(tmp_path / name), str(tmp_path / "old.csv")).first().ticker == "ABC"
+
+
+def test_matrices_whose_ids_do_not_fit_are_refused(spark, tmp_path):
+    (tmp_path / "1" / "2020").mkdir(parents=True)
+    np.savez(tmp_path / "1" / "2020" / "0.npz", mat=np.ones((3, 2)), ids=np.array(["a", "b"]))
+    with pytest.raises(Exception, match="2 ids for a matrix"):
+        matrices.read_matrices(spark, str(tmp_path)).collect()
+
+
 def test_json_artifacts(spark, tmp_path):
     folder = tmp_path / "0000000001" / "2022" / "10-K"
     folder.mkdir(parents=True)
