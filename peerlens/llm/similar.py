@@ -20,12 +20,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peerlens.llm.kernels import BASE, U64, Words, mix, prefix_hash, ranges, span_hash, text_blocks
+from peerlens.llm.kernels import BASE, U64, Words, mix, prefix_hash, span_hash, text_blocks
 from peerlens.plans import shuffle_partitions, stage
 
 SAMPLES, BITS = 256, 1024
 #: Members of a key that are compared with each other in one step.
 BLOCK = 2_048
+#: Texts of one side of a cell, in which pairs are verified.
+CELL = 2_048
 #: Pairs within small keys, and their bytes of sketches, that are compared at once.
 PAIRED, SMALL = 50_000, 32
 #: Copies that are all named in pairs; of more copies each is paired with the first one only.
@@ -178,26 +180,39 @@ def _compare(limit: int):
 
 
 def _verify(shingle: int, threshold: float):
-    """Pairs whose sets of shingles have the similarity; each text of a block is taken apart once."""
+    """Rows sorted by cell, with the texts of a cell (id in a, text) before its pairs (a, b), to the pairs whose sets of
+    shingles have the similarity. Each text of a cell is taken apart once."""
     over, under = round(threshold * 1_000_000), 1_000_000
 
+    def sets_of(texts: pa.Array) -> list[np.ndarray]:
+        out = []
+        for a, b, block in text_blocks(texts):
+            h, doc = Words(block).shingles(shingle)
+            edges = np.searchsorted(doc, np.arange(b - a + 1))
+            out += [np.unique(h[x:y]) for x, y in zip(edges, edges[1:])]
+        return out
+
+    def alike(x: np.ndarray, y: np.ndarray) -> bool:
+        # the smaller set bounds what both can share
+        if min(len(x), len(y)) * under < over * max(len(x), len(y)):
+            return False
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return both > 0 and both * under >= over * (len(x) + len(y) - both)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, known = None, {}
         for batch in batches:
-            n = batch.num_rows
-            keep = np.zeros(n, dtype=bool)
-            weight = pc.add(pc.utf8_length(batch.column("text_a")), pc.utf8_length(batch.column("text_b"))).to_numpy(zero_copy_only=False)
-            for s, e in ranges(weight):
-                ids = pa.chunked_array([batch.column(c).slice(s, e - s) for c in ("a", "b")]).combine_chunks().dictionary_encode().indices.to_numpy()
-                texts = pa.chunked_array([batch.column(c).slice(s, e - s) for c in ("text_a", "text_b")]).combine_chunks()
-                _, first, of = np.unique(ids, return_index=True, return_inverse=True)
-                h, doc = Words(texts.take(pa.array(first)).to_pylist()).shingles(shingle)
-                edges = np.searchsorted(doc, np.arange(len(first) + 1))
-                sets = [np.unique(h[a:b]) for a, b in zip(edges, edges[1:])]
-                for k in range(e - s):
-                    x, y = sets[of[k]], sets[of[e - s + k]]
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    union = len(x) + len(y) - both
-                    keep[s + k] = union > 0 and both * under >= over * union
+            is_text = batch.column("text").is_valid()
+            sets = iter(sets_of(batch.column("text").filter(is_text)))
+            keep = np.zeros(batch.num_rows, dtype=bool)
+            columns = (batch.column("cell").to_pylist(), is_text.to_pylist(), batch.column("a").to_pylist(), batch.column("b").to_pylist())
+            for i, (cell, text, a, b) in enumerate(zip(*columns)):
+                if cell != now:
+                    now, known = cell, {}
+                if text:
+                    known.setdefault(a, []).append(next(sets))
+                else:
+                    keep[i] = any(alike(x, y) for x in known[a] for y in known[b])
             yield batch.filter(pa.array(keep)).select(["a", "b"])
 
     return run
@@ -240,8 +255,15 @@ def similar_pairs(df: DataFrame, id_col: str, text_col: str, shingle: int = 5, t
     spread = spread.repartition(shuffle_partitions(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j")
     close = stage(spread.mapInArrow(_compare(sketch_limit(threshold)), f"a {kind}, b {kind}").distinct(), "similar-close")
 
-    both = close.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    linked = both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(shingle, threshold), f"a {kind}, b {kind}").distinct()
+    # pairs are dealt to cells by the hashes of both ids, so that a text is sent once to each cell that has pairs of it
+    sides = max(1, -(-features.count() // CELL))
+    side = lambda x: F.pmod(F.xxhash64(x), F.lit(sides))
+    dealt = close.withColumn("cell", side("a") * F.lit(sides) + side("b"))
+    wanted = dealt.select("cell", F.explode(F.array("a", "b")).alias("id")).distinct()
+    sent = wanted.join(texts.select("id", "text"), "id").select("cell", F.col("id").alias("a"), F.lit(None).cast(kind).alias("b"), "text")
+    rows_ = sent.unionByName(dealt.select("cell", "a", "b", F.lit(None).cast("string").alias("text")))
+    rows_ = rows_.repartition(shuffle_partitions(spark), "cell").sortWithinPartitions("cell", F.col("text").isNull())
+    linked = rows_.mapInArrow(_verify(shingle, threshold), f"a {kind}, b {kind}")
 
     named = members.where((F.col("size") <= expand) | (F.col("id") == F.col("first"))).select("rep", "id").distinct()
     side = lambda x: named.select(F.col("rep").alias(x), F.col("id").alias(f"{x}_id"))

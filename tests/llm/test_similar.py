@@ -116,3 +116,17 @@ def test_sketch_estimates():
         bits = int(np.unpackbits(x ^ y).sum())
         assert abs(bits - S.differing_bits(j)) < 50
         assert bits <= S.sketch_limit(0.6)
+
+
+def test_cells_hold_all_texts_of_an_id(spark, monkeypatch):
+    """Many cells, and an id that comes with two texts, either of which makes it similar to others."""
+    monkeypatch.setattr(S, "CELL", 5)
+    rng = random.Random(11)
+    rows = corpus(rng, 120)
+    rows += [(0, rows[50][1]), (1, rows[60][1] + " more")]
+    sets = {}
+    for i, t in rows:
+        sets.setdefault(i, []).append(shingles(t, 3))
+    near = lambda x, y: x[1] >= 20 and y[1] >= 20 and len(x[0] & y[0]) >= 0.6 * len(x[0] | y[0]) - 1e-12
+    want = {(a, b) for a in sets for b in sets if a < b and any(near(x, y) for x in sets[a] for y in sets[b])}
+    assert run(spark, rows, shingle=3, threshold=0.6) == want
