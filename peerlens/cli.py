@@ -119,7 +119,7 @@ def _vectors(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     if a.scope == "summary":
         units = texts.where("trim(text) <> ''").select(*keys, F.lit(1).alias("unit_id"), F.col("text").alias("unit_text"), F.lit(None).cast("int").alias("chunk_tokens"), F.lit(None).cast("int").alias("overlap_tokens"), X.token_count(F.col("text")).alias("unit_tokens"))
     else:
-        units = chunks.units(texts.withColumnRenamed("item_id", "_raw"), ["firm_id", "year"], "_raw", "text", a.chunk_tokens, a.overlap_tokens, a.min_unit_tokens, a.min_units_per_item)
+        units = chunks.units(texts.withColumnRenamed("item_id", "_raw"), ["firm_id", "year"], "_raw", "text", a.chunk_tokens, a.overlap_tokens, a.min_unit_tokens, a.min_units_per_item, chunks.FileCounter(a.tokenizer) if a.tokenizer else None)
     units = stage(vectors.embed(units, "unit_text", embedder), "units")
     sinks.write_new(units.withColumn("scope", F.lit(a.scope)).drop("embedding"), f"{a.out}/units", [*keys, "unit_id", "scope"], ("scope", "year"), a.overwrite, [*keys, "scope"])
     dim = units.select(F.size("embedding").alias("n")).where("n > 0").limit(1).collect()
@@ -206,6 +206,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--embed_model", default="hash", help="hash, or the name of a sentence-transformers model")
     p.add_argument("--dim", type=int, default=384, help="length of hash vectors")
     p.add_argument("--matrices", help="folder for matrix files")
+    p.add_argument("--tokenizer", help="tokenizer file (JSON) by whose tokens paragraphs are packed; else words count")
     p.add_argument("--chunk_tokens", type=int)
     p.add_argument("--overlap_tokens", type=int)
     p.add_argument("--min_unit_tokens", type=int, default=config.MIN_UNIT_TOKENS)

@@ -108,6 +108,23 @@ def test_units_have_least_words(text, chunk, overlap, least):
     assert all(least <= len(u.split()) <= chunk for u in units)
 
 
+def test_units_by_another_counter(spark):
+    text = "\n\n".join(f"{'ab ' * 5}" for _ in range(6))
+    df = spark.createDataFrame([(1, "1", text)], "k INT, item STRING, t STRING")
+    letters = lambda x: sum(c.isalpha() for c in x)
+    got = chunks.units(df, ["k"], "item", "t", chunk=25, overlap=0, least=5, min_units=1, counter=letters).orderBy("unit_id").collect()
+    assert [(r.unit_id, r.unit_tokens) for r in got] == [(1, 20), (2, 20), (3, 20)]
+
+
+def test_tokenizer_file(tmp_path):
+    tokenizers = pytest.importorskip("tokenizers")
+    path = str(tmp_path / "t.json")
+    t = tokenizers.Tokenizer(tokenizers.models.WordLevel({"a": 0, "b": 1, "?": 2}, "?"))
+    t.pre_tokenizer = tokenizers.pre_tokenizers.Whitespace()
+    t.save(path)
+    assert chunks.FileCounter(path)("a b, c") == 4
+
+
 def test_units_and_windows(spark):
     df = spark.createDataFrame([(1, "1a", "w " * 1000), (2, "1A", "w " * 90), (3, "9", None), (4, "9", " ")], "k INT, item STRING, t STRING")
     got = chunks.units(df, ["k"], "item", "t").groupBy("k", "item_id", "chunk_tokens", "overlap_tokens").count().collect()
