@@ -3,15 +3,13 @@ come out: a table of contents with links, a section for each item, and an end ma
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from peerlens.config import FORM_ITEMS
 from peerlens.functions import text as X
 from peerlens.operators import download, filings, index_records, models
-from peerlens.plans import shared_folder, stage
+from peerlens.plans import new_folder, stage
 from peerlens.registry import query
 from peerlens.sources import files, remote, sinks, table
 from peerlens.streaming import ingest
@@ -111,14 +109,10 @@ def html_texts(spark: SparkSession, d: str) -> DataFrame:
 # --- files, fetches and streams ---
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query(f"WITH {_PARTS} SELECT cik, year, filing AS form, ord, item_id, anchor, toc_title AS title FROM toc")
 def filing_files(spark: SparkSession, d: str) -> DataFrame:
     """Filings written as files of their own and read back by their paths."""
-    folder = _folder(spark, "filings")
+    folder = new_folder(spark, "filings")
     sinks.write_files(_filings(spark, d), folder, sinks.artifact_path(".htm"), F.col("html"))
     found = files.filings(spark, folder).withColumn("year", F.col("year").cast("string"))
     return filings.toc_entries(found).select("cik", "year", "form", "ord", "item_id", "anchor", "title")
@@ -127,7 +121,7 @@ def filing_files(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_PARTS} SELECT cik AS firm_id, CAST(year AS INT) AS year, filing AS form, item_id, toc_title AS item_title, md5('ITEM ' || item_id || '. ' || title || ' {_SUB} ' || body) AS text, 'composed' AS source FROM s WHERE filing = '10-K'")
 def item_artifacts(spark: SparkSession, d: str) -> DataFrame:
     """Items of annual reports written as JSON artifacts and read back."""
-    folder = _folder(spark, "items")
+    folder = new_folder(spark, "items")
     items = filings.extract_items(_filings(spark, d).withColumn("source_path", F.lit("composed")))
     sinks.write_items(items, folder)
     found = files.item_files(spark, folder, "10-K")
@@ -136,7 +130,7 @@ def item_artifacts(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_PARTS} SELECT cik AS firm_id, CAST(year AS INT) AS year, filing AS form, item_id, n.node_ord, n.node_ord - 1 AS parent_ord, 'heading' AS type, n.node_ord + 1 AS layer, CASE n.node_ord WHEN 0 THEN toc_title ELSE '{_SUB}' END AS heading, CASE n.node_ord WHEN 1 THEN md5(body) END AS body FROM s, (VALUES (0), (1)) n(node_ord)")
 def structure_artifacts(spark: SparkSession, d: str) -> DataFrame:
-    folder = _folder(spark, "structures")
+    folder = new_folder(spark, "structures")
     sinks.write_structures(filings.structure_nodes(filings.extract_items(_filings(spark, d)).drop("text_content")), folder)
     found = files.structure_files(spark, folder)
     return found.select("firm_id", "year", "form", "item_id", "node_ord", "parent_ord", "type", "layer", "heading", F.md5("body").alias("body"))
@@ -144,7 +138,7 @@ def structure_artifacts(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_PARTS} SELECT cik AS firm_id, CAST(year AS INT) AS year, filing AS form, item_id, array_to_string((string_split('ITEM ' || item_id || '. ' || title || ' {_SUB} ' || body, ' '))[:120], ' ') AS summary, 1000 AS target_words, 'llama3.2:3b' AS llm FROM s")
 def summary_artifacts(spark: SparkSession, d: str) -> DataFrame:
-    folder, keys = _folder(spark, "summaries"), ["firm_id", "year", "form", "item_id"]
+    folder, keys = new_folder(spark, "summaries"), ["firm_id", "year", "form", "item_id"]
     items = filings.extract_items(_filings(spark, d)).select(F.col("cik").alias("firm_id"), F.col("year").cast("int").alias("year"), "form", "item_id", F.col("item_id").alias("_i"), "text_content")
     done = models.summarize(items, keys, "_i", "text_content", models.lead_words(), "llama3.2:3b").withColumn("previous_year_available", F.lit(False))
     sinks.write_summaries(done, folder)
@@ -205,13 +199,13 @@ SELECT cik_padded, accession_number, CASE WHEN e < 8 THEN 2015 + e END AS fiscal
 def downloads(spark: SparkSession, d: str) -> DataFrame:
     """Filings fetched from a site that follows a rule, of which two fiscal years are kept."""
     records = table(spark, d, "index_record").where("trim(accession_number) <> '' AND cik_padded IS NOT NULL").select("cik_padded", "accession_number").distinct().withColumn("date_filed", F.lit("2020-01-01"))
-    return download.download(records, _folder(spark, "downloads"), [2018, 2019], site, "10-K", tasks=4).select("cik_padded", "accession_number", "fiscal_year", "status")
+    return download.download(records, new_folder(spark, "downloads"), [2018, 2019], site, "10-K", tasks=4).select("cik_padded", "accession_number", "fiscal_year", "status")
 
 
 @query("SELECT CAST(date_trunc('day', ts) AS DATE)::VARCHAR AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_counts(spark: SparkSession, d: str) -> DataFrame:
     """Events of each hour and type, counted by a stream over files and added up by day."""
-    folder = _folder(spark, "stream")
+    folder = new_folder(spark, "stream")
     source = table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
     source.write.parquet(f"{folder}/in")
     stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 4).parquet(f"{folder}/in")

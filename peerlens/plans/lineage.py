@@ -29,16 +29,25 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     The written table is removed by release(), or else when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     df.write.parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """The path of a new folder within the shared one, removed with the stages."""
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not _written:
+        # after the session's own exit handlers, so as to run before them
+        atexit.unregister(release)
+        atexit.register(release)
+    _written.append((spark, path))
+    return path
+
+
 _written: list[tuple[SparkSession, str]] = []
 
 
-@atexit.register
 def release() -> None:
     """Removes all stages written so far: for long sessions, once their results have been read."""
     while _written:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +9,7 @@ from peerlens.config import FORM_ITEMS
 from peerlens.functions import text as X
 from peerlens.functions import vectors as V
 from peerlens.operators import chunks, evaluate, filings, index_records, models, peers, vectors
-from peerlens.plans import shared_folder
+from peerlens.plans import new_folder
 from peerlens.registry import REGISTER, Query, query
 from peerlens.sources import matrices, table
 
@@ -268,7 +266,7 @@ def item_centroids(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_UNITS}, n AS (SELECT *, row_number() OVER (PARTITION BY firm, item_id, year ORDER BY built_at DESC NULLS LAST, vec_id) AS k FROM u) SELECT firm, item_id, year, CAST(unnest(range(0, 64)) AS INT) AS pos, round(unnest(v), 6) + 0.0 AS value FROM n WHERE k = 1 AND firm IS NOT NULL AND item_id IS NOT NULL AND year IS NOT NULL")
 def vector_files(spark: SparkSession, d: str) -> DataFrame:
     """The latest vectors written as matrix files, in parts, and read back."""
-    folder = f"{shared_folder(spark).rstrip('/')}/matrices-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "matrices")
     matrices.write_matrices(_keyed(spark, d), folder, 500)
     back = matrices.read_matrices(spark, folder)
     return _long(back.withColumn("vec", F.col("vec").cast("array<double>")), ["firm", "item_id", "year"], "vec")

@@ -50,3 +50,14 @@ def test_columns_with_the_same_names_do_not_clash(spark):
 
     df = spark.createDataFrame([(1, "1", "w " * 300, "x", 3)], "k INT, item STRING, t STRING, units STRING, unit_id INT")
     assert chunks.units(df, ["k"], "item", "t").count() >= 0
+
+
+def test_stages_are_removed_on_release(spark):
+    from peerlens.plans import new_folder, release, stage
+
+    kept, folder = stage(spark.range(3), "kept"), new_folder(spark, "made")
+    spark.range(2).write.parquet(folder)
+    path = kept.inputFiles()[0]
+    assert kept.count() == 3 and os.path.exists(path.removeprefix("file://"))
+    release()
+    assert not os.path.exists(path.removeprefix("file://")) and not os.path.exists(folder.removeprefix("file:").removeprefix("//"))
