@@ -31,7 +31,7 @@ def _index(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     else:
         wanted = spark.createDataFrame([(t,) for t in a.id], "id STRING").withColumn("cik", X.cik(F.col("id"))) if a.id else None
     if wanted is not None:
-        records = records.join(wanted.select(F.col("cik").alias("cik_padded")).distinct(), "cik_padded", "left_semi")
+        records = index_records.of_firms(records, wanted)
     records = index_records.dedupe_accessions(records, [F.desc("path"), F.desc("line_no")])
     if not a.list_only:
         sinks.write_new(records, f"{a.out}/records", ["accession_number"])

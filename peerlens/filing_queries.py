@@ -106,6 +106,12 @@ def html_texts(spark: SparkSession, d: str) -> DataFrame:
     return filings.html_texts(rows, "html_content", "visible").select("row_id", X.collapse(F.col("text")).alias("text"))
 
 
+@query(f"WITH {_PARTS} SELECT cik, year, filing AS form, item_id, md5(body) AS text FROM s")
+def body_texts(spark: SparkSession, d: str) -> DataFrame:
+    nodes = filings.structure_nodes(filings.extract_items(_filings(spark, d)).drop("text_content"))
+    return filings.field_text(nodes, ["cik", "year", "form", "item_id"], "body").withColumn("text", F.md5("text"))
+
+
 # --- files, fetches and streams ---
 
 

@@ -40,6 +40,11 @@ def first_filings(records: DataFrame, order: Sequence[str | Column]) -> DataFram
     return dated.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+def of_firms(records: DataFrame, firms: DataFrame, cik: str = "cik") -> DataFrame:
+    """Records of the firms named in a table, each once; ids in any spelling."""
+    return records.join(firms.select(X.cik(F.col(cik)).alias("cik_padded")).distinct(), "cik_padded", "left_semi")
+
+
 def cik_list(records: DataFrame) -> DataFrame:
     return records.select("cik_padded").where("cik_padded IS NOT NULL").distinct().orderBy("cik_padded")
 

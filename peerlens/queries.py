@@ -53,6 +53,12 @@ def records_of_form(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "index_record").where("form_type = '10-K'").orderBy(F.desc("date_filed"))
 
 
+@query("SELECT file_name, accession_number, cik_padded FROM index_record WHERE cik_padded IN (SELECT lpad(trim(focal_firm), 10, '0') FROM peer_ranking WHERE year = 2020)")
+def records_of_firms(spark: SparkSession, d: str) -> DataFrame:
+    firms = table(spark, d, "peer_ranking").where("year = 2020").select("focal_firm")
+    return index_records.of_firms(table(spark, d, "index_record"), firms, "focal_firm").select("file_name", "accession_number", "cik_padded")
+
+
 @query(f"WITH r AS (SELECT *, {_DATE} AS filed FROM index_record), n AS (SELECT *, row_number() OVER (PARTITION BY cik_padded, year(filed) ORDER BY {_ORDER_SQL}) AS k FROM r) SELECT cik_padded, CAST(year(filed) AS INT) AS filed_year, accession_number, file_name FROM n WHERE k = 1")
 def company_first_filing(spark: SparkSession, d: str) -> DataFrame:
     return index_records.first_filings(_index(spark, d), _ORDER).select("cik_padded", "filed_year", "accession_number", "file_name")
@@ -477,6 +483,24 @@ def pooled_units(spark: SparkSession, d: str) -> DataFrame:
     return _long(pooled.select("row_id", "num_units", "pooled"), ["row_id", "num_units"], "pooled")
 
 
+@query(f"WITH t AS (SELECT row_id, item_number, CASE WHEN length({_COLLAPSED}) > 500 THEN left({_COLLAPSED}, 250) || chr(10) || '...' || chr(10) || right({_COLLAPSED}, 250) ELSE {_COLLAPSED} END AS x, text_content FROM filing_item WHERE text_content IS NOT NULL AND item_number IS NOT NULL) SELECT row_id, length(x) AS n, md5('Judge from these texts of item ' || item_number || ' alone how alike the two companies are in business, products, customers, regions, strategy, risks and finances; shared legal phrases do not count. Reply as JSON {{\"score\": 0-100, \"reason\": \"...\"}}.' || chr(10) || 'FOCAL:' || chr(10) || x || chr(10) || 'PEER:' || chr(10) || x) AS pair, md5('Merge these partial summaries of item ' || item_number || ' into one of about 700 words, without repeating points.' || chr(10) || 'TEXT:' || chr(10) || text_content) AS merged FROM t")
+def prompts(spark: SparkSession, d: str) -> DataFrame:
+    rows, text, item = table(spark, d, "filing_item").where("text_content IS NOT NULL AND item_number IS NOT NULL"), F.col("text_content"), F.col("item_number")
+    pair, merged = models.rerank_prompt(text, text, item, 500), models.reduce_prompt(text, item, F.lit(700))
+    return rows.select("row_id", F.length(X.head_and_tail(text, 500)).alias("n"), F.md5(pair).alias("pair"), F.md5(merged).alias("merged"))
+
+
+@query(f"""WITH t AS (SELECT row_id, regexp_extract_all(text_content, '{_NWS}+') AS w FROM filing_item WHERE text_content IS NOT NULL),
+x AS (SELECT row_id, unnest(regexp_extract_all(lower(array_to_string(w[:120], ' ')), '{_NWS}+')) AS w FROM t),
+h AS (SELECT row_id, CAST(('0x' || substr(md5(w), 15, 2)) AS INT) % 64 AS pos, sum(CASE WHEN substr(md5(w), 1, 1) >= '8' THEN 1 ELSE -1 END) AS s FROM x GROUP BY ALL),
+l AS (SELECT row_id, sqrt(sum(s * s)) AS l FROM h GROUP BY ALL)
+SELECT g.row_id, CAST(p AS INT) AS pos, round(coalesce(CAST(CAST(s / (l + 1e-12) AS FLOAT) AS DOUBLE), 0), 6) + 0.0 AS value FROM (SELECT row_id, l, unnest(range(0, 64)) AS p FROM l) g LEFT JOIN h ON h.row_id = g.row_id AND h.pos = p""")
+def summary_vectors(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "filing_item").where("text_content IS NOT NULL").select("row_id", F.coalesce("item_number", F.lit("")).alias("item"), "text_content")
+    done = models.summarize(rows, ["row_id"], "item", "text_content", models.lead_words(), "llama3.2:3b")
+    return _long(vectors.embed(done, "summary", vectors.HashEmbedder(64)).select("row_id", F.col("embedding").cast("array<double>").alias("v")), ["row_id"], "v")
+
+
 @query(f"""WITH {_SCORED}, t AS (SELECT lpad(trim(cik), 10, '0') AS firm, arg_max(text_content, row_id) AS x FROM filing_item WHERE text_content IS NOT NULL GROUP BY ALL),
 e AS (SELECT firm, CASE WHEN length(c) > 12000 THEN left(c, 6000) || chr(10) || '...' || chr(10) || right(c, 6000) ELSE c END AS x FROM (SELECT firm, {_COLLAPSED.replace('text_content', 'x')} AS c FROM t WHERE trim(x) <> '')),
 w AS (SELECT firm, list_distinct(regexp_extract_all(lower(x), '{_NWS}+')) AS w FROM e),
