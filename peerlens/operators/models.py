@@ -156,7 +156,7 @@ def rerank(candidates: DataFrame, texts: DataFrame, generator: Generator = overl
     """Candidates (focal_firm, year, item_id, peer_firm, ...) with rerank_score, reason and error. texts: firm, year,
     item_id, text, one row each; pairs without both texts are dropped before any call. A reply that can't be read leaves
     its error and no score, and final_ranking leaves such a pair out. Staged, as calls are dear."""
-    side = lambda who: texts.where("trim(text) <> ''").select(F.col("firm").alias(f"{who}_firm"), "year", "item_id", F.col("text").alias(f"_{who}"))
+    side = lambda who: texts.where(F.rlike("text", F.lit(X.NOT_WS))).select(F.col("firm").alias(f"{who}_firm"), "year", "item_id", F.col("text").alias(f"_{who}"))
     both = candidates.join(side("focal"), ["focal_firm", "year", "item_id"]).join(side("peer"), ["peer_firm", "year", "item_id"])
     asked = both.withColumn("_prompt", rerank_prompt(F.col("_focal"), F.col("_peer"), F.col("item_id"), most)).drop("_focal", "_peer")
     done = stage(call(asked, "_prompt", generator, "_reply", as_json=True).drop("_prompt"), "reranked")

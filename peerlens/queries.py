@@ -502,7 +502,7 @@ def summary_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {_SCORED}, t AS (SELECT lpad(trim(cik), 10, '0') AS firm, arg_max(text_content, row_id) AS x FROM filing_item WHERE text_content IS NOT NULL GROUP BY ALL),
-e AS (SELECT firm, CASE WHEN length(c) > 12000 THEN left(c, 6000) || chr(10) || '...' || chr(10) || right(c, 6000) ELSE c END AS x FROM (SELECT firm, {_COLLAPSED.replace('text_content', 'x')} AS c FROM t WHERE trim(x) <> '')),
+e AS (SELECT firm, CASE WHEN length(c) > 12000 THEN left(c, 6000) || chr(10) || '...' || chr(10) || right(c, 6000) ELSE c END AS x FROM (SELECT firm, {_COLLAPSED.replace('text_content', 'x')} AS c FROM t WHERE regexp_matches(x, '{_NWS}'))),
 w AS (SELECT firm, list_distinct(regexp_extract_all(lower(x), '{_NWS}+')) AS w FROM e),
 dt AS (SELECT q.*, coalesce(round(100 * len(list_intersect(a.w, b.w)) / nullif(len(list_distinct(list_concat(a.w, b.w))), 0), 4), 0) / 100 AS rerank_score FROM q JOIN w a ON a.firm = focal_firm JOIN w b ON b.firm = peer_firm WHERE focal_firm <> peer_firm),
 g AS (SELECT focal_firm, year, peer_firm, count(DISTINCT item_id) AS items_matched, round(avg(cosine_score), 6) AS avg_cosine, round(avg(rerank_score), 6) AS avg_rerank, round(avg(cosine_score * 0.3 + rerank_score * 0.7), 6) AS avg_item_score FROM dt GROUP BY ALL),

@@ -294,6 +294,6 @@ def test_failed_calls_are_isolated_on_request(spark):
 
 def test_rerank_drops_pairs_without_text(spark):
     cand = spark.createDataFrame([("f", 2020, "1", "p", 0.5), ("f", 2020, "1", "q", 0.4)], "focal_firm STRING, year INT, item_id STRING, peer_firm STRING, cosine_score DOUBLE")
-    texts = spark.createDataFrame([("f", 2020, "1", "a b"), ("p", 2020, "1", "a c"), ("q", 2020, "1", " ")], "firm STRING, year INT, item_id STRING, text STRING")
+    texts = spark.createDataFrame([("f", 2020, "1", "a b"), ("p", 2020, "1", "a c"), ("q", 2020, "1", " \xa0\n")], "firm STRING, year INT, item_id STRING, text STRING")
     got = models.rerank(cand, texts).collect()
     assert [(r.peer_firm, r.rerank_score) for r in got] == [("p", pytest.approx(1 / 3, abs=1e-5))]
