@@ -232,6 +232,21 @@ def test_weak_labels_agree_with_the_plain_disjunction(spark):
     assert evaluate.weak_labels(spark.createDataFrame(rows, schema).drop("sic", "revenue")).count() <= len(want)
 
 
+def test_labels_and_analysts_without_a_shuffle_of_labels(spark):
+    """Every label once, also of firms with several rows, of analysts' pairs those that are no labels, and no exchange
+    above the step that finds the labels."""
+    meta = spark.createDataFrame([("20", 2020, "1", 5.0), ("7", 2020, "1", None), ("7", 2020, "2", 9.0), ("8", 2020, "3", 11.0), ("9", 2021, "1", 5.0), ("40", 2020, None, 10.0)], "firm_id STRING, year INT, sic STRING, market_cap DOUBLE")
+    analysts = spark.createDataFrame([("20", 2020, "7"), ("20", 2020, "8"), ("20", 2020, "8"), ("20", None, "8"), ("20", 2020, "20"), ("7", 2020, "20"), (None, 2020, "7")], "focal_firm STRING, year INT, peer_firm STRING")
+    focal = F.col("firm").cast("long") % 20 == 0
+    got = evaluate.labels_and_analysts(meta, analysts, focal)
+    want = evaluate.with_analysts(evaluate.weak_labels(meta, focal), analysts).collect()
+    labels = {(a.zfill(10), 2020, b.zfill(10)) for a, b in (("20", "7"), ("20", "40"), ("40", "20"), ("40", "7"), ("40", "8"))}
+    assert set(map(tuple, evaluate.weak_labels(meta, focal).collect())) == labels
+    assert sorted(map(str, got.collect())) == sorted(map(str, want)) and len(want) == 5 + 5
+    plan = evaluate.weak_labels(meta, focal)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("MapInArrow")] and "Exchange" in plan
+
+
 def test_metrics_and_stability(spark):
     ranking = spark.createDataFrame([("f", y, p, r) for y, ps in ((2020, "abc"), (2021, "bcd"), (2023, "xyz")) for r, p in enumerate(ps, 1)], "focal_firm STRING, year INT, peer_firm STRING, rank INT")
     labels = spark.createDataFrame([("f", 2020, "a"), ("f", 2020, "c"), ("f", 2020, "q")], "focal_firm STRING, year INT, peer_firm STRING")
