@@ -247,6 +247,18 @@ def test_labels_and_analysts_without_a_shuffle_of_labels(spark):
     assert "Exchange" not in plan[: plan.index("MapInArrow")] and "Exchange" in plan
 
 
+def test_metrics_of_agree_with_metrics_and_write_no_labels(spark):
+    rng = np.random.default_rng(5)
+    meta = spark.createDataFrame([(str(i), int(rng.integers(2020, 2022)), str(rng.integers(5)), float(rng.uniform(1, 9))) for i in range(1, 60) for _ in range(2)], "firm_id STRING, year INT, sic STRING, market_cap DOUBLE")
+    ranking = spark.createDataFrame([(f"{f:010}", y, f"{p:010}", r) for f in (20, 40, 61, 7) for y in (2020, 2021, None) for r, p in enumerate(rng.permutation(70)[:60].tolist(), 1) if p != f], "focal_firm STRING, year INT, peer_firm STRING, rank INT").where("rank > 0")
+    focal = F.col("firm").cast("long") % 20 == 0
+    want = evaluate.metrics(ranking, evaluate.weak_labels(meta, focal))
+    got = evaluate.metrics_of(ranking, meta, focal)
+    assert got.schema.names == want.schema.names and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    counts = {(r.focal_firm, r.year): r["count"] for r in evaluate.weak_labels(meta, focal).groupBy("focal_firm", "year").count().collect()}
+    assert {(r.focal_firm, r.year): r.label_count for r in evaluate.label_counts(meta, focal).collect()} == counts and counts
+
+
 def test_metrics_and_stability(spark):
     ranking = spark.createDataFrame([("f", y, p, r) for y, ps in ((2020, "abc"), (2021, "bcd"), (2023, "xyz")) for r, p in enumerate(ps, 1)], "focal_firm STRING, year INT, peer_firm STRING, rank INT")
     labels = spark.createDataFrame([("f", 2020, "a"), ("f", 2020, "c"), ("f", 2020, "q")], "focal_firm STRING, year INT, peer_firm STRING")
