@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from peerlens.functions import text as X
-from peerlens.operators import chunks, evaluate, index_records, models, peers, vectors
+from peerlens.operators import chunks, evaluate, index_records, models, overlap, peers, vectors
 
 
 def one(spark, value, f, kind="STRING"):
@@ -324,3 +324,26 @@ def test_rerank_drops_pairs_without_text(spark):
     texts = spark.createDataFrame([("f", 2020, "1", "a b"), ("p", 2020, "1", "a c"), ("q", 2020, "1", " \xa0\n")], "firm STRING, year INT, item_id STRING, text STRING")
     got = models.rerank(cand, texts).collect()
     assert [(r.peer_firm, r.rerank_score) for r in got] == [("p", pytest.approx(1 / 3, abs=1e-5))]
+
+
+def test_overlap_ranking_agrees_with_prompts_and_shuffles_no_pairs(spark):
+    rng = np.random.default_rng(6)
+    firms = [f"f{i:02}" for i in range(40)]
+    rows = [(f, y, i, rng.normal(size=6).tolist()) for f in firms for y in (2020, 2021) for i in ("1", "7") if rng.random() < 0.7]
+    vecs = spark.createDataFrame(rows, "firm STRING, year INT, item_id STRING, vec ARRAY<DOUBLE>")
+    word = lambda: rng.choice(["a", "B", "c", "d", "E", "f", "g", "\xe9"])
+    told = spark.createDataFrame([(f, " \xa0\n" if f == "f03" else " ".join(word() for _ in range(rng.integers(1, 12)))) for f in firms[:30]], "firm STRING, text STRING")
+    focal = F.col("firm").isin("f00", "f03", "f05", "f35")
+    texts = vecs.select("firm", "year", "item_id").join(told, "firm")
+    want = peers.final_ranking(models.rerank(vectors.candidates(vecs, focal, 1.0), texts), 3, None)
+    got = overlap.overlap_ranking(vecs, told, focal, 3)
+    assert got.schema.names == want.schema.names and [t for _, t in got.dtypes] == [t for _, t in want.dtypes]
+    a, b = ({(r.focal_firm, r.year, r.peer_firm): r for r in x.collect()} for x in (got, want))
+    assert a.keys() == b.keys() and {k[0] for k in a} == {"f00", "f05"}
+    for k, r in a.items():
+        assert r.items_matched == b[k].items_matched and all(math.isclose(r[c], b[k][c], abs_tol=2e-6) for c in ("avg_cosine", "avg_rerank", "avg_item_score", "coverage_share", "final_score"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("MapInArrow")]
+    best = sorted((r for r in a.values() if (r.focal_firm, r.year) == ("f00", 2020)), key=lambda r: r["rank"])
+    assert [r["rank"] for r in best] == list(range(1, len(best) + 1)) and best == sorted(best, key=lambda r: (-r.final_score, -r.avg_rerank, -r.avg_cosine, r.peer_firm))
+    assert overlap.half_away(np.array([0.5, -0.5, 1.5, 0.78125 * 1e-2]), 0).tolist() == [1.0, -1.0, 2.0, 0.0] and overlap.half_away(np.array([0.78125]), 4)[0] == 0.7813
