@@ -259,6 +259,20 @@ def test_metrics_of_agree_with_metrics_and_write_no_labels(spark):
     assert {(r.focal_firm, r.year): r.label_count for r in evaluate.label_counts(meta, focal).collect()} == counts and counts
 
 
+def test_label_counts_agree_with_weak_labels(spark):
+    """Counted without pairs: firms with one row and with several, equal numbers, numbers just at the band's ends, missing
+    and unusable values, columns that are not there."""
+    rng = np.random.default_rng(6)
+    pick = lambda x: None if rng.random() < 0.15 else x
+    size = lambda: float(rng.choice([1.0, 2.0, 4.0, 3.0, 6.0, np.nextafter(2, 3), 0.1, 0.2, 0.3, 0.0, -1.0, np.nan, np.inf, 5e-324, 1.7e308, rng.lognormal()]))
+    rows = [(str(i), y, pick(str(rng.integers(9))), pick(str(rng.integers(9))), pick(str(rng.integers(5))), pick(size()), pick(size())) for i in range(1, 160) for y in (2020, 2021, 2022) for _ in range(1 + (rng.random() < 0.15 and y != 2022))]
+    meta = spark.createDataFrame(rows, "firm_id STRING, year INT, sic STRING, naics STRING, gics STRING, market_cap DOUBLE, revenue DOUBLE")
+    for some in (meta, meta.drop("sic", "revenue"), meta.drop("naics", "gics", "sic"), meta.drop("market_cap", "revenue"), meta.where("firm_id = '1'")):
+        for ratio in (2.0, 1.1):
+            want = {(r.focal_firm, r.year): r["count"] for r in evaluate.weak_labels(some, ratio=ratio).groupBy("focal_firm", "year").count().collect()}
+            assert {(r.focal_firm, r.year): r.label_count for r in evaluate.label_counts(some, ratio=ratio).collect()} == want
+
+
 def test_metrics_and_stability(spark):
     ranking = spark.createDataFrame([("f", y, p, r) for y, ps in ((2020, "abc"), (2021, "bcd"), (2023, "xyz")) for r, p in enumerate(ps, 1)], "focal_firm STRING, year INT, peer_firm STRING, rank INT")
     labels = spark.createDataFrame([("f", 2020, "a"), ("f", 2020, "c"), ("f", 2020, "q")], "focal_firm STRING, year INT, peer_firm STRING")
