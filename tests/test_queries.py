@@ -37,6 +37,11 @@ def test_eval_summary_counts_all_focal_firms(spark):
     assert [tuple(r) for r in got.select(*want.columns).collect()] == want.fetchall()
 
 
+def test_labels_with_analysts_of_all_focal_firms(spark):
+    got, want = Q.queries()["labels_with_analysts"](spark, DATA), _whole("labels_with_analysts")
+    assert sorted(map(tuple, got.select(*want.columns).collect()), key=str) == sorted(want.fetchall(), key=str)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
